@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_count import op7_bpe_count
 from .minhash import op2_minhash
+from .mixing import op5_mixing
+from .packing import op6_packing
+from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
+    "op7_bpe_count": op7_bpe_count,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Only operators that SQL can express; the others are tested against brute force.
