@@ -6,11 +6,13 @@
    one row a task). Only classes go on.
 3. Bands give candidate buckets. Inside a bucket, packed signatures are compared by bit counts and the
    share of equal fields is corrected for chance collisions (an equal field says little at 4 bits).
-   A large bucket is dealt out in pairs of blocks. A class asks for its smallest similar partner and
-   its ``k`` most similar ones in other components, never for all pairs.
-4. Asked pairs are confirmed on full sets. Confirmed links are closed into components, and buckets in
-   which a class still had more partners in *other* components than it asked for go round again with
-   a larger ``k``. The loop ends when nothing was held back, so no link is lost to the limit.
+   A large bucket is dealt out in pairs of blocks. A class asks for its smallest similar partner and for
+   its most similar one, never for all pairs; asked pairs are confirmed on full sets.
+4. Buckets in which a class had more similar partners than it asked for are closed exactly: the classes
+   they hold are grouped, groups are dealt out in pairs of blocks of their full sets (the largest
+   component found so far isn't compared with itself), intersections of a pair of blocks are one matrix
+   product, and only the links that join components leave the task. So no link is lost to the limit in 3,
+   and rows stay linear in the group.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, table
 from .words import hash_words, mix, pieces, shingle_hashes, utf8, word_spans
 
-PERMS, ROWS, BITS = 64, 4, 4
+PERMS, ROWS, BITS = 96, 4, 4
 #: Classes of one bucket that are compared in one piece; larger buckets are dealt out in pairs of blocks.
 BLOCK = 1024
+#: Rows and shingles of a block whose full sets are compared.
+CLOSE_ROWS, CLOSE_SHINGLES = 512, 250_000
 _A = mix(np.arange(PERMS, dtype=np.uint64), 101) | np.uint64(1)
 _B = mix(np.arange(PERMS, dtype=np.uint64), 102)
 
@@ -212,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their ``k``-word shingle
     sets. ``slack`` is how far the estimate may fall below that before a pair is not even confirmed
-    (four standard deviations at ``PERMS`` minima).
+    (almost five standard deviations at ``PERMS`` minima).
 
     Null, empty and wordless texts have no shingles and link with nothing. Texts of fewer than ``k``
     words are one shingle. A row with a null id is kept, has a null component and links with nothing.
@@ -232,38 +236,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
-    """Confirmed links between classes, enough to span every component (all of them up to the ask limit)."""
-    spark = docs.sparkSession
+    """Confirmed links between classes that span every component."""
     member = classes.select(F.explode("bands").alias("bkey"), "rep")
     sizes = member.groupBy("bkey").agg(F.count("*").alias("n"), F.min("rep").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("fp")).filter("n > 1")
     sizes = sizes.groupBy("n", "m", "fp").agg(F.min("bkey").alias("bkey")).select("bkey", "n")  # bands that hold the same classes: one is enough
     member = cut(member.join(sizes, "bkey").select("bkey", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    sig = classes.select("rep", "sig")
-    comp = None
-    links = spark.createDataFrame([], "a long, b long")
-    sets = None
-    ask = 1
-    while True:
-        m = member.join(sig, "rep")
-        m = m.withColumn("comp", F.col("rep")) if comp is None else m.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        blk = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        m = m.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        m = m.select("bkey", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "comp", "sig")
-        dealt = m.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
-        found = cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=ask), "a long, b long"))
-        asked = found.filter("b is not null").distinct()
-        if sets is None:  # full sets of every class that was ever asked for, or may be later
-            held = found.filter("b is null").select(F.col("a").alias("bkey")).distinct()
-            need = asked.select("a").union(asked.select("b")).union(member.join(held, "bkey", "left_semi").select("rep")).toDF("rep").distinct()
-            sets = cut(docs.join(need, docs["doc_id"] == need["rep"]).select("doc_id", "text").mapInArrow(functools.partial(_sets, k=k), "rep long, shingles binary"))
-        ready = asked.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-        links = cut(links.union(ready.select("a", "b", "sa", "sb").mapInArrow(functools.partial(_confirm, percent=percent), "a long, b long")).distinct())
-        held = found.filter("b is null").select(F.col("a").alias("bkey")).distinct()
-        if not held.limit(1).count():
-            return links
-        comp = connected_components(links, "a", "b")
-        member = member.join(held, "bkey", "left_semi")
-        ask *= 8
+    m = member.join(classes.select("rep", "sig"), "rep").withColumn("comp", F.col("rep"))
+    m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("bkey", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "comp", "sig")
+    dealt = m.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
+    found = cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=1), "a long, b long"))
+    asked = found.filter("b is not null").distinct()
+    held = member.join(found.filter("b is null").select(F.col("a").alias("bkey")).distinct(), "bkey", "left_semi").select("bkey", "rep")
+    need = asked.select("a").union(asked.select("b")).union(held.select("rep")).toDF("rep").distinct()
+    sets = cut(docs.join(need, docs["doc_id"] == need["rep"]).select("doc_id", "text").mapInArrow(functools.partial(_sets, k=k), "rep long, shingles binary"))
+    ready = asked.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    links = cut(ready.select("a", "b", "sa", "sb").mapInArrow(functools.partial(_confirm, percent=percent), "a long, b long"))
+    if not held.limit(1).count():
+        return links
+    return links.union(_close(held, sets, connected_components(links, "a", "b"), percent))
+
+
+def _close(held: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links that join components among the classes of ``held`` (bkey, rep) buckets."""
+    hub = held.groupBy("bkey").agg(F.min("rep").alias("hub"))
+    group = connected_components(held.join(hub, "bkey").select("rep", "hub"), "rep", "hub").withColumnRenamed("component", "grp")
+    m = group.join(comp, "node", "left").select("grp", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
+    m = cut(m.join(sets.select("rep", (F.octet_length("shingles") / 8).alias("n")), "rep"))
+    most = m.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    m = m.join(most, "grp").withColumn("main", F.col("comp") == F.col("main"))
+    blocks = lambda mine: F.ceil(F.greatest(F.sum(F.when(mine, 1).otherwise(0)) / CLOSE_ROWS, F.sum(F.when(mine, F.col("n")).otherwise(0)) / CLOSE_SHINGLES)).cast("int")
+    shape = m.groupBy("grp").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
+    m = m.join(shape, "grp")
+    # blocks 0 .. mains-1 hold the main component, mains .. mains+others-1 the rest; no main block meets a main block
+    blk = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), F.col("others"))).cast("int")
+    m = m.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
+    m = m.select("grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "rep", "comp").join(sets, "rep")
+    dealt = m.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").select("grp", "bi", "bj", "rep", "comp", "shingles")
+    return cut(dealt.mapInArrow(functools.partial(_closed, percent=percent), "a long, b long"))
+
+
+def joins(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among the sets, by exact intersections, that join their components (a forest)."""
+    size = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(at, minlength=len(values)) > 1
+    column = np.cumsum(shared) - 1
+    row, at = row[shared[at]], column[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(at, [c, c + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[row[lo:hi], at[lo:hi] - c] = 1
+        both += held @ held.T
+    both = both.astype(np.int64)
+    x, y = np.nonzero((100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] < comp[None, :]))
+    if not len(x):
+        return []
+    pairs, first = np.unique(np.stack([comp[x], comp[y]], 1), axis=0, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    out = []
+    for (p, q), i in zip(pairs.tolist(), first):
+        p, q = find(p), find(q)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(rep[x[i]]), int(rep[y[i]])))
+    return out
+
+
+def _closed(batches, percent: int):
+    """Runs ``joins`` on each (grp, bi, bj) of rows sorted by these."""
+    rows: list = []
+    key = None
+
+    def done():
+        if len({r[1] for r in rows}) < 2:
+            return []
+        return joins(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], percent)
+
+    for batch in batches:
+        out = []
+        keys = list(zip(*[batch.column(c).to_pylist() for c in ("grp", "bi", "bj")]))
+        for k, rep, comp, s in zip(keys, batch.column("rep").to_pylist(), batch.column("comp").to_pylist(), batch.column("shingles").to_pylist()):
+            if k != key:
+                out += done()
+                rows, key = [], k
+            rows.append((rep, comp, np.frombuffer(s, np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+    out = done()
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
