@@ -7,7 +7,7 @@
 3. Bands give candidate buckets. Inside a bucket, packed signatures are compared by bit counts and the
    share of equal fields is corrected for chance collisions (an equal field says little at 4 bits).
    A large bucket is dealt out in pairs of blocks. A class asks for its smallest similar partner and for
-   its most similar one, never for all pairs; asked pairs are confirmed on full sets.
+   its two most similar ones, never for all pairs; asked pairs are confirmed on full sets.
 4. Buckets in which a class had more similar partners than it asked for are closed exactly: the classes
    they hold are grouped, groups are dealt out in pairs of blocks of their full sets (the largest
    component found so far isn't compared with itself), intersections of a pair of blocks are one matrix
@@ -123,7 +123,6 @@ def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     a_out, b_out, held = [], [], np.zeros(len(rep), bool)
     for x, y, ok_, est_ in ((left, right, ok, est), (right, left, ok.T, est.T)) if cross else ((left, right, ok, est),):
         count = ok_.sum(axis=1)
-        held[x[count > k + 1]] = True
         some = np.flatnonzero(count)
         if not len(some):
             continue
@@ -135,6 +134,8 @@ def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
         score = np.where(ok_, est_, -2.0)
         best = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < len(y) else np.broadcast_to(np.arange(len(y)), score.shape)
         r, c = np.nonzero(np.take_along_axis(ok_, best, 1))
+        asked = np.bincount(r, minlength=len(some)) + ~(best == hub[:, None]).any(axis=1)
+        held[x[some][count[some] > asked]] = True
         a_out.append(x[some][r])
         b_out.append(y[best[r, c]])
     a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a_out, b_out))
@@ -245,7 +246,7 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, least: flo
     m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("bkey", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "comp", "sig")
     dealt = m.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
-    found = cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=1), "a long, b long"))
+    found = cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=2), "a long, b long"))
     asked = found.filter("b is not null").distinct()
     held = member.join(found.filter("b is null").select(F.col("a").alias("bkey")).distinct(), "bkey", "left_semi").select("bkey", "rep")
     need = asked.select("a").union(asked.select("b")).union(held.select("rep")).toDF("rep").distinct()
