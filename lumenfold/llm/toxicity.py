@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut, fold, table
 from .minhash import shingle_sets
@@ -215,11 +216,29 @@ def _matched(batches, lexicon):
 
 
 def _scored(batches, lexicon, weights):
+    """Rows of (row, text) to (row, score); ``row`` is passed through as it is."""
     grammar = _grammar(lexicon)
     for batch in batches:
         x = np.log1p(np.array([grammar.features(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(CLASSES)))
         score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["row", "score"])
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, score): every row of ``docs`` whole, as a struct, with its score."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    known = known.filter(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = cut(known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    taught = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")  # at most ``sample`` rows
+    taught = cut(taught.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]).select("text", "toxic"))
+    lexicon = tuple(sorted(learn_lexicon(taught).items()))
+    kind = "toxic int, " + ", ".join(f"{c} double" for c in CLASSES)
+    seen = np.array([tuple(r) for r in taught.mapInArrow(functools.partial(_matched, lexicon=lexicon), kind).collect()], float).reshape(-1, 1 + len(CLASSES))
+    weights = fit_logistic(np.log1p(seen[:, 1:]), seen[:, 0], _PRIOR) if len(seen) else _PRIOR
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    kind = StructType([rows.schema["row"], StructField("score", DoubleType())])
+    return rows.mapInArrow(functools.partial(_scored, lexicon=lexicon, weights=weights), kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,16 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: s
     coefficients are used. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    known = known.filter(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = cut(known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample))
-    taught = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")  # at most ``sample`` rows
-    taught = cut(taught.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]).select("text", "toxic"))
-    lexicon = tuple(sorted(learn_lexicon(taught).items()))
-    kind = "toxic int, " + ", ".join(f"{c} double" for c in CLASSES)
-    seen = np.array([tuple(r) for r in taught.mapInArrow(functools.partial(_matched, lexicon=lexicon), kind).collect()], float).reshape(-1, 1 + len(CLASSES))
-    weights = fit_logistic(np.log1p(seen[:, 1:]), seen[:, 0], _PRIOR) if len(seen) else _PRIOR
-    scored = docs.mapInArrow(functools.partial(_scored, lexicon=lexicon, weights=weights), "doc_id long, score double")
+    scored = score_rows(docs, labels, sample).select("row.doc_id", "score")
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
