@@ -30,6 +30,8 @@ WEIGHTS = (3, 1, 2)
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)))
 BUCKET = 4096
 FILLS = 3
+#: Sources whose totals are broadcast; with more, they are joined with ``SALT`` salts.
+SOURCES, SALT = 50_000, 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -50,6 +52,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return per.select("source", "source_size", "n_docs", "turn", "weight", target.alias("target"))
 
 
+def _by_source(rows: DataFrame, side: DataFrame, few: bool) -> DataFrame:
+    """Joins one row a source to ``rows``: broadcast if they were counted to be ``SOURCES`` at most, else salted."""
+    if few:
+        return rows.join(F.broadcast(side), "skey")
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["skey", "_salt"]).drop("_salt")
+
+
 def _running(rows: DataFrame, amount: Column, name: str) -> DataFrame:
     """Adds the sum of ``amount`` over the rows of the same source up to and with this one, in the source's order."""
     rows = rows.withColumn("_amount", amount)
@@ -90,7 +100,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=S
     targets = source_targets(sized, weights, budget, most)
     skey = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     targets = cut(targets.withColumn("skey", skey).drop("source"))
-    rows = sized.withColumn("skey", skey).join(targets, "skey")
+    few = targets.count() <= SOURCES
+    rows = _by_source(sized.withColumn("skey", skey), targets, few)
     ordinal = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = rows.withColumn("ord", ordinal).withColumn("bucket", F.floor(F.conv(F.substring("ord", 1, 8), 16, 10).cast("double") / 2.0**32 * F.ceil(F.col("n_docs") / BUCKET)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -102,13 +113,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=S
         rows = rows.withColumn("_took", F.when(took, F.col("size")).otherwise(0))
         rows = cut(rows.withColumn("more", F.when(F.col("_took") > 0, 1).otherwise(F.col("more"))).drop("_upto"))
         used = rows.groupBy("skey").agg(F.sum("_took").alias("_used"))
-        rows = rows.drop("_took").join(used, "skey").withColumn("gap", F.col("gap") - F.col("_used")).drop("_used")
+        rows = _by_source(rows.drop("_took"), used, few).withColumn("gap", F.col("gap") - F.col("_used")).drop("_used")
     rows = rows.withColumn("copies", (F.col("passes") + F.col("more")).cast("int"))
     # words that the source supplies before copy c of a document: c passes, and the documents before it in this one
     rows = _running(rows, F.col("size"), "_all")
     rows = _running(rows, F.col("size") * F.col("more"), "_last")
     total = rows.groupBy("skey").agg(F.sum(F.col("size") * F.col("more")).alias("_more"))
-    rows = rows.join(total, "skey").withColumn("supplied", F.col("passes") * F.col("source_size") + F.col("_more"))
+    rows = _by_source(rows, total, few).withColumn("supplied", F.col("passes") * F.col("source_size") + F.col("_more"))
 
     def at(copy: Column) -> Column:
         inside = F.when(copy < F.col("passes"), F.col("_all") - F.col("size")).otherwise(F.col("_last") - F.col("size"))
