@@ -23,3 +23,30 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words, without making them: removing all but one byte of each word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, salt: int = 1) -> DataFrame:
+    """At most ``most`` rows of ``df``, picked by a hash of ``key``; all of them where there are no more.
+
+    Rows are filtered where they are; unlike an ordered limit, no task sends ``most`` rows of its own.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    share = int(0.9 * most / n * (1 << 40))
+    return df.filter(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < share).limit(most)
+
+
+def threshold(df: DataFrame, column: str, most: int) -> int:
+    """The smallest of a grid of values (64 to a doubling) that at most ``most`` rows reach, from two passes of sums."""
+
+    def reach(values: list[int]) -> list[int]:
+        row = df.agg(*[F.coalesce(F.sum(F.when(F.col(column) >= v, 1)), F.lit(0)).alias(f"n{i}") for i, v in enumerate(values)]).first()
+        return list(row)
+
+    powers = [1 << k for k in range(63)]
+    k = next(i for i, n in enumerate([*reach(powers), 0]) if n <= most)
+    if k == 0:
+        return 1
+    steps = sorted({(1 << k - 1) + max(1, (1 << k - 1) * i // 64) for i in range(65)})
+    return next((v for v, n in zip(steps, reach(steps)) if n <= most), 1 << k)

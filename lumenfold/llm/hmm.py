@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, table
+from .common import bounded_sample, cut, fold, table, threshold
 from .words import _LOWER, hash_words, mix, pieces, utf8, word_spans
 
 TOP, SHAPES, KNOWN = 32_768, 4096, 131_072
@@ -294,8 +294,8 @@ def score_corpus(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", fold(F.col("doc_id"), modulus) == 0).select("doc_id", "held_out", "text")
     train = docs.filter(~F.col("held_out"))
     counts = cut(train.select("text").mapInArrow(_tally, "h long, shape int, c long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c")))
-    # ties in count go to the smaller hash, so a rerun picks the same words
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
+    # at most KNOWN rows; ties in count go to the smaller hash, so a rerun picks the same words
+    top = counts.filter(F.col("c") >= threshold(counts, "c", KNOWN)).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     ends = train.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("v")).first()
     by_shape = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
@@ -330,7 +330,7 @@ def score_corpus(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", tex
 def _trained(train: DataFrame, states: int) -> Model:
     """Baum-Welch over all rows of ``train``."""
     spark = train.sparkSession
-    picked = train.select("cls", "row").orderBy(F.xxhash64("row"), "row").limit(START_DOCS).collect()
+    picked = sorted(bounded_sample(train.select("cls", "row"), "row", START_DOCS).collect(), key=lambda r: r["row"])
     model = start_model([np.frombuffer(r["cls"], "<u2") for r in picked], states)
     names = [f"s{j}" for j in range(states)]
     for _ in range(ROUNDS):
