@@ -8,7 +8,7 @@ of the sums by class. Isolated negation, targets or reporting words score nothin
 
 Learned from labelled rows outside the held-out fold: which words and word stems are insults (with
 weights, their log odds), and the classes' coefficients. At most ``sample`` labelled documents are used,
-picked by the MD5 of their ids; near copies among them count once. Everything else covers all rows.
+picked by a hash of their ids; near copies among them count once. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, fold, table
+from .common import bounded_sample, cut, fold, table, threshold
 from .minhash import shingle_sets
 
 #: Words that a grammar of insults starts from, before labels add to them or take them away.
@@ -162,7 +162,7 @@ def learn_lexicon(sample: DataFrame, most: int = 100_000, support: int = 4) -> d
         return seeds
     in_bad = cut(sample.filter("toxic = 1").mapInArrow(functools.partial(_counted, only=None), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")))
     looked = in_bad.count()
-    top = in_bad.filter(F.col("n") >= support).orderBy(F.desc("n"), "stem").limit(most)
+    top = in_bad.filter(F.col("n") >= max(support, threshold(in_bad, "n", most)))
     seen = {r["stem"]: r["n"] for r in top.collect()}
     seen |= {w: seen.get(w, 0) for w in seeds}
     only = sc.broadcast(set(seen))
@@ -238,7 +238,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col:
     """(row, score): every row of ``docs`` whole, as a struct, with its score."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = cut(known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample))
+    picked = cut(bounded_sample(cut(known), "doc_id", sample))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     taught = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")  # at most ``sample`` rows
     taught = cut(taught.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]).select("text", "toxic"))
