@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_sample, cut, table
 from .multi_index import _prepared
 
 SAMPLE, ROTATIONS, ROUNDS = 10_000, 2, 15
@@ -163,10 +163,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, id_
     good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=usable[0]["d"]), "vec_id long, raw binary, unit binary").drop("unit"))
     asks = good.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("raw").alias("raw"))
     n, q = good.count(), asks.count()
-    picked = good.orderBy(F.xxhash64("vec_id"), "vec_id", "raw").limit(SAMPLE).select("raw").collect()
+    picked = sorted(r["raw"] for r in bounded_sample(good, "vec_id", SAMPLE).select("raw").collect())
     if not picked or not q:
         return spark.createDataFrame([], kind)
-    codes = fit(np.frombuffer(b"".join(r["raw"] for r in picked), np.float64).reshape(len(picked), -1), k, recall)
+    codes = fit(np.frombuffer(b"".join(picked), np.float64).reshape(len(picked), -1), k, recall)
     shards, blocks = -(-n // SHARD), -(-q // QUERIES)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     here = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(m)), F.lit(m)).cast("int")

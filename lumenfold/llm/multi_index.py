@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import bounded_sample, connected_components, cut, table
 
 #: Rows that fit the codebooks; centres of a half, at most; vectors a cell should hold; visits, at most.
 SAMPLE, CENTRES, CELL, VISITS = 20_000, 512, 64, 64
@@ -200,13 +200,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = usable[0]["d"]
     good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=dim), "vec_id long, raw binary, unit binary"))
-    classes = cut(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("unit").alias("unit")).drop("raw").withColumn("salt", F.xxhash64("rep")))
+    classes = cut(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("unit").alias("unit")).drop("raw"))
     rows = classes.count()
-    picked = classes.orderBy("salt", "rep").limit(SAMPLE).select("unit").collect()
-    index = fit(np.frombuffer(b"".join(r["unit"] for r in picked), np.float64).reshape(len(picked), -1), rows, cosine, recall) if picked else None
+    picked = sorted(r["unit"] for r in bounded_sample(classes, "rep", SAMPLE).select("unit").collect())
+    index = fit(np.frombuffer(b"".join(picked), np.float64).reshape(len(picked), -1), rows, cosine, recall) if picked else None
     if index is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    placed = cut(classes.drop("salt").mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index)), "rep long, times long, unit binary, cells array<int>"))
+    placed = cut(classes.mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index)), "rep long, times long, unit binary, cells array<int>"))
     guests = placed.withColumn("cell", F.explode("cells")).withColumn("guest", F.lit(True))
     members = placed.withColumn("cell", F.element_at("cells", 1)).withColumn("guest", F.lit(False))
     # both counts are per cell, so a hot cell costs rows, not a task
