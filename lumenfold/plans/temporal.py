@@ -38,10 +38,10 @@ def paths(spark, sf_dir):
     return t.navigation_paths(events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query(f"WITH {_PATHS} SELECT user_id, path, any_value(event_type) AS event_type, count(*) AS frames, min(event_id) AS lowest, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS ms FROM p GROUP BY user_id, path")
+@query(f"WITH {_PATHS} SELECT user_id, path, any_value(event_type) AS event_type, count(*) AS frames, min(event_id) AS lowest, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS ms FROM p GROUP BY user_id, path")
 def nav_paths(spark, sf_dir):
     p = paths(spark, sf_dir)
-    return p.groupBy("user_id", "path").agg(F.first("event_type").alias("event_type"), F.count("*").alias("frames"), F.min("event_id").alias("lowest"), (F.max(_ms()) - F.min(_ms())).alias("ms"))
+    return p.groupBy("user_id", "path").agg(F.first("event_type").alias("event_type"), F.count("*").alias("frames"), F.min("event_id").alias("lowest"), F.expr("timestampdiff(MILLISECOND, min(ts), max(ts))").alias("ms"))
 
 
 @query(f"""WITH {_PATHS}, s AS (SELECT user_id, path, sqrt((value - lag(value) OVER w) ** 2 + (event_id - lag(event_id) OVER w) ** 2) AS st FROM p WINDOW w AS (PARTITION BY user_id, path ORDER BY ts, event_id)),
