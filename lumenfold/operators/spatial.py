@@ -3,6 +3,8 @@ touch, joined on the cell, refined, and a pair that shares several cells is kept
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +96,7 @@ def grid_query(points: DataFrame, queries: DataFrame, cell: float = 256.0, refin
 def viewport_tiles(tiles: DataFrame, x: float, y: float, w: float, h: float, scale: float, levels: int, size: int = 256) -> DataFrame:
     """Tiles of the level that suits a view scale, inside a view given in base pixels. Filters are plain
     comparisons on partition columns, so they prune."""
-    level = min(max(int(__import__("math").log2(scale) + 0.5), 0), levels - 1) if scale > 0 else 0
+    level = min(max(int(math.log2(scale) + 0.5), 0), levels - 1) if scale > 0 else 0
     s = size * 2**level
     lo, hi = (int(x // s), int(y // s)), (int((x + w) // s), int((y + h) // s))
     return tiles.filter((F.col("level") == level) & F.col("i").between(lo[0], hi[0]) & F.col("j").between(lo[1], hi[1]))
