@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import matching, spatial, temporal  # noqa: F401
+from . import aggregates, matching, spatial, temporal  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
