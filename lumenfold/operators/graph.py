@@ -50,3 +50,124 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest(frames: DataFrame, node: str = "frame", parent: str = "matched_to") -> DataFrame:
+    """(node, root, depth): pointer doubling up a parent forest, so depth d takes log2(d) joins. Roots have a
+    null parent, or one that is not a node; cycles raise."""
+    f = frames.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    known = f.select(F.col("node").alias("up"), F.lit(True).alias("is_node"))
+    f = cut(f.join(known, "up", "left").select("node", F.when(F.col("is_node"), F.col("up")).alias("up")).select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    for _ in range(64):
+        above = f.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        new = cut(f.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.when(F.col("up") == F.col("node"), 0).otherwise(F.col("more"))).alias("depth"), (F.col("up") != F.col("up2")).alias("moved")))
+        if not new.filter("moved").limit(1).count():
+            return new.select("node", F.col("up").alias("root"), "depth")
+        f = new.drop("moved")
+    raise ValueError("the parent links form a cycle")
+
+
+def tree_positions(frames: DataFrame, values: list[str], node: str = "frame", parent: str = "matched_to") -> DataFrame:
+    """(node, root, sums...): each value summed from the root down to the node (a root's own value counts),
+    by pointer doubling."""
+    f = frames.select(F.col(node).alias("node"), F.col(parent).alias("up"), *values)
+    known = f.select(F.col("node").alias("up"), F.lit(True).alias("is_node"))
+    f = cut(f.join(known, "up", "left").select("node", F.when(F.col("is_node"), F.col("up")).alias("up"), F.col("node").alias("root"), *values))
+    for _ in range(64):
+        if not f.filter("up is not null").limit(1).count():
+            return f.select("node", "root", *values)
+        above = f.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), *[F.col(v).alias(f"_{v}") for v in values])
+        f = f.join(above, "up", "left")
+        f = cut(f.select("node", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values]))
+    raise ValueError("the parent links form a cycle")
+
+
+def spawn_components(frames: DataFrame, node: str = "frame", parent: str = "matched_to") -> DataFrame:
+    """(node, root, component): components numbered by the order of their roots."""
+    f = forest(frames, node, parent)
+    roots = f.filter("depth = 0").select(F.col("node").alias("root"))
+    from pyspark.sql import Window
+
+    n = roots.withColumn("component", F.row_number().over(Window.orderBy("root")) - 1)
+    return f.join(n, "root").select("node", "root", "component")
+
+
+def tracks(matches: DataFrame) -> DataFrame:
+    """(frame, kp, track, conflict) from matches (src, dst, src_kp, dst_kp): the closure over all matches; a
+    track is in conflict if any frame appears in it with two keypoints. The flag does not depend on the
+    order of merging."""
+    key = lambda f, k: F.concat(F.lpad(F.col(f).cast("string"), 19, "0"), F.lit(":"), F.lpad(F.col(k).cast("string"), 19, "0"))
+    e = matches.select(key("src", "src_kp").alias("src"), key("dst", "dst_kp").alias("dst"))
+    c = connected_components(e)
+    part = lambda i: F.split_part("node", F.lit(":"), F.lit(i)).cast("long")
+    c = c.select(part(1).alias("frame"), part(2).alias("kp"), F.col("component").alias("track"))
+    twice = c.groupBy("track", "frame").agg(F.count("*").alias("n")).groupBy("track").agg((F.max("n") > 1).alias("conflict"))
+    return c.join(twice, "track").select("frame", "kp", "track", "conflict")
+
+
+def materialise_tracks(observed: DataFrame) -> DataFrame:
+    """(track, n_frames) of usable tracks: seen in two frames or more, and in none of them twice."""
+    return observed.filter("not conflict").groupBy("track").agg(F.count("*").alias("n_frames")).filter("n_frames > 1")
+
+
+def absorb(components: DataFrame, links: DataFrame) -> DataFrame:
+    """(component, into): joined components go to the largest of their group, ties to the smallest id.
+
+    ``components``: (component, size); ``links``: (a, b) pairs to join.
+    """
+    c = connected_components(links, "a", "b").withColumnRenamed("component", "grp")
+    j = components.join(c, components["component"] == c["node"], "left").withColumn("grp", F.coalesce("grp", components["component"]))
+    head = j.groupBy("grp").agg(F.max_by("component", F.struct(F.col("size"), -F.col("component"))).alias("into"))
+    return j.join(head, "grp").select("component", "into")
+
+
+def greedy_cover(covers: DataFrame, by: str, n: int = 4) -> DataFrame:
+    """(by, turn, item, gain): the item that covers most of what is still uncovered, up to ``n`` times; the
+    smallest item wins ties and a gain of 0 ends. ``covers``: (by, item, element), bounded per key."""
+    import pandas as pd
+
+    kinds = {k: covers.schema[k].dataType.simpleString() for k in (by, "item")}
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        sets = {i: set(g["element"]) for i, g in part.groupby("item")}
+        out, done = [], set()
+        for turn in range(1, n + 1):
+            best = min(sets, key=lambda i: (-len(sets[i] - done), i), default=None)
+            if best is None or not sets[best] - done:
+                break
+            out.append((part[by].iloc[0], turn, best, len(sets[best] - done)))
+            done |= sets.pop(best)
+        return pd.DataFrame(out, columns=[by, "turn", "item", "gain"])
+
+    return covers.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, turn int, item {kinds['item']}, gain int")
+
+
+def bridge_path(edges: DataFrame, members: DataFrame, by: str, start: str, goal: str) -> DataFrame:
+    """(by, path, cost): cheapest path between two nodes of each graph, a step to a non-member costing 1 and
+    an edge of the second kind its penalty, then fewest steps, then smallest ids. ``edges``: (by, a, b,
+    penalty); ``members``: (by, node). One bounded graph per key."""
+    import heapq
+
+    import pandas as pd
+
+    def run(key, e: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        inside, near = set(m["node"]), {}
+        for r in e.itertuples():
+            near.setdefault(r.a, []).append((r.b, r.penalty))
+            near.setdefault(r.b, []).append((r.a, r.penalty))
+        s, g = e[start].iloc[0] if len(e) else None, e[goal].iloc[0] if len(e) else None
+        heap, done = [(0.0, 0, [s], s)], set()
+        while heap:
+            cost, steps, path, v = heapq.heappop(heap)
+            if v == g:
+                return pd.DataFrame([(key[0], ",".join(map(str, path)), cost)], columns=[by, "path", "cost"])
+            if v in done:
+                continue
+            done.add(v)
+            for w, penalty in near.get(v, ()):
+                if w not in done:
+                    heapq.heappush(heap, (cost + penalty + (w not in inside), steps + 1, [*path, w], w))
+        return pd.DataFrame([], columns=[by, "path", "cost"])
+
+    kind = edges.schema[by].dataType.simpleString()
+    return edges.groupBy(by).cogroup(members.groupBy(by)).applyInPandas(run, f"{by} {kind}, path string, cost double")
