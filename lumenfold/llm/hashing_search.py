@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut, table
-from .multi_index import _prepared
+from .multi_index import _prepared, doubles
+from .words import tidy
 
 SAMPLE, ROTATIONS, ROUNDS = 10_000, 2, 15
 SHARD, QUERIES = 16_384, 1024
@@ -115,7 +116,8 @@ class Shard:
         return self.ids[rows][best], score[best]
 
 
-def _searched(batches, codes, k: int):
+@tidy
+def _searched(batches, codes, k: int, dim: int):
     """Rows sorted by (shard, blk, ask), the shard's rows first."""
     key, held = None, []
 
@@ -123,8 +125,7 @@ def _searched(batches, codes, k: int):
         rows, asks = [r for r in held if not r[2]], [r for r in held if r[2]]
         out = ([], [], [])
         if rows and asks:
-            x = np.frombuffer(b"".join(r[1] for r in rows), np.float64).reshape(len(rows), -1)
-            q = np.frombuffer(b"".join(r[1] for r in asks), np.float64).reshape(len(asks), -1)
+            x, q = doubles([r[1] for r in rows], dim), doubles([r[1] for r in asks], dim)
             shard = Shard(np.array([r[0] for r in rows], np.int64), x, codes.value)
             for (own, *_), v, code in zip(asks, q, codes.value(q)):
                 ids, score = shard.search(own, v, code, k)
@@ -160,13 +161,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, id_
     kind = "query_id long, rank int, vec_id long, score double"
     if not usable:
         return spark.createDataFrame([], kind)
-    good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=usable[0]["d"]), "vec_id long, raw binary, unit binary").drop("unit"))
+    dim = usable[0]["d"]
+    good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=dim), "vec_id long, raw binary"))
     asks = good.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("raw").alias("raw"))
     n, q = good.count(), asks.count()
     picked = sorted(r["raw"] for r in bounded_sample(good, "vec_id", SAMPLE).select("raw").collect())
     if not picked or not q:
         return spark.createDataFrame([], kind)
-    codes = fit(np.frombuffer(b"".join(picked), np.float64).reshape(len(picked), -1), k, recall)
+    codes = fit(doubles(picked, dim), k, recall)
     shards, blocks = -(-n // SHARD), -(-q // QUERIES)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     here = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(m)), F.lit(m)).cast("int")
@@ -174,7 +176,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, id_
     asks = asks.withColumn("shard", every(shards)).withColumn("blk", here(blocks)).withColumn("ask", F.lit(True))
     names = ["shard", "blk", "vec_id", "raw", "ask"]
     dealt = rows.select(names).union(asks.select(names)).repartition(F.col("shard"), F.col("blk")).sortWithinPartitions("shard", "blk", "ask")
-    found = dealt.mapInArrow(functools.partial(_searched, codes=spark.sparkContext.broadcast(codes), k=k), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(functools.partial(_searched, codes=spark.sparkContext.broadcast(codes), k=k, dim=dim), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, connected_components, cut, table
+from .words import tidy
 
 #: Rows that fit the codebooks; centres of a half, at most; vectors a cell should hold; visits, at most.
-SAMPLE, CENTRES, CELL, VISITS = 20_000, 512, 64, 64
+SAMPLE, CENTRES, CELL, VISITS = 20_000, 512, 1024, 64
 BLOCK = 1024
 
 
@@ -101,27 +102,38 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1), np.finfo(float).tiny)[:, None]
 
 
+@tidy
 def _prepared(batches, dim: int):
-    """Usable vectors as unit vectors in bytes, under a 64-bit-safe key: the bytes of the vector as given."""
+    """Usable vectors as bytes: single precision where that loses nothing, double otherwise. Equal vectors have equal bytes."""
     for batch in batches:
         x, ok = _floats(batch.column(1))
         if x.shape[1] != dim:
             ok &= False
             x = np.zeros((len(ok), dim))
-        u = unit(x)
         keep = np.flatnonzero(ok)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([(x[i] + 0.0).tobytes() for i in keep], pa.binary()), pa.array([u[i].tobytes() for i in keep], pa.binary())], ["vec_id", "raw", "unit"])
+        x = x + 0.0  # no negative zeros
+        with np.errstate(over="ignore"):
+            short = x.astype(np.float32)
+        exact = (short == x).all(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([(short if exact[i] else x)[i].tobytes() for i in keep], pa.binary())], ["vec_id", "raw"])
 
 
-def _visits(batches, index):
+def doubles(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors back from their bytes, in double precision."""
+    if all(len(r) == 4 * dim for r in raw):
+        return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), dim).astype(np.float64)
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in raw], np.float64).reshape(len(raw), dim)
+
+
+@tidy
+def _visits(batches, index, dim: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        u = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(batch.num_rows, -1)
-        cells = index.value.visit(u)
+        cells = index.value.visit(unit(doubles(batch.column("raw").to_pylist(), dim)))
         flat = pa.array(cells.reshape(-1), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("times"), batch.column("unit"), lists], ["rep", "times", "unit", "cells"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("times"), batch.column("raw"), lists], ["rep", "times", "raw", "cells"])
 
 
 def _meet(members: dict, guests: dict, cell: int, cosine: float):
@@ -137,7 +149,8 @@ def _meet(members: dict, guests: dict, cell: int, cosine: float):
     return a[keep], guests["times"][g][keep], b[keep], members["times"][m][keep]
 
 
-def _linked(batches, cosine: float):
+@tidy
+def _linked(batches, cosine: float, dim: int):
     """Rows sorted by (cell, mblk, gblk, guest), members first: link counts by vector and a spanning forest."""
     key, rows = None, []
 
@@ -145,7 +158,7 @@ def _linked(batches, cosine: float):
         return {
             "rep": np.array([r[0] for r in part], np.int64),
             "times": np.array([r[1] for r in part], np.int64),
-            "unit": np.frombuffer(b"".join(r[2] for r in part), np.float64).reshape(len(part), -1),
+            "unit": unit(doubles([r[2] for r in part], dim)),
             "cells": np.array([r[3] for r in part], np.int32).reshape(len(part), -1),
         }
 
@@ -176,7 +189,7 @@ def _linked(batches, cosine: float):
     for batch in batches:
         out = []
         c = batch.to_pydict()
-        for *k, rep, times, u, cells, guest in zip(c["cell"], c["mblk"], c["gblk"], c["rep"], c["times"], c["unit"], c["cells"], c["guest"]):
+        for *k, rep, times, u, cells, guest in zip(c["cell"], c["mblk"], c["gblk"], c["rep"], c["times"], c["raw"], c["cells"], c["guest"]):
             if k != key:
                 out += done()
                 key, rows = k, []
@@ -199,26 +212,26 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
     if not usable:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = usable[0]["d"]
-    good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=dim), "vec_id long, raw binary, unit binary"))
-    classes = cut(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("unit").alias("unit")).drop("raw"))
+    good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=dim), "vec_id long, raw binary"))
+    classes = cut(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
     rows = classes.count()
-    picked = sorted(r["unit"] for r in bounded_sample(classes, "rep", SAMPLE).select("unit").collect())
-    index = fit(np.frombuffer(b"".join(picked), np.float64).reshape(len(picked), -1), rows, cosine, recall) if picked else None
+    picked = sorted(r["raw"] for r in bounded_sample(classes, "rep", SAMPLE).select("raw").collect())
+    index = fit(unit(doubles(picked, dim)), rows, cosine, recall) if picked else None
     if index is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    placed = cut(classes.mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index)), "rep long, times long, unit binary, cells array<int>"))
-    guests = placed.withColumn("cell", F.explode("cells")).withColumn("guest", F.lit(True))
+    placed = cut(classes.select("rep", "times", "raw").mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index), dim=dim), "rep long, times long, raw binary, cells array<int>"))
+    guests = placed.withColumn("cell", F.explode("cells")).withColumn("cells", F.slice("cells", 1, 1)).withColumn("guest", F.lit(True))
     members = placed.withColumn("cell", F.element_at("cells", 1)).withColumn("guest", F.lit(False))
     # both counts are per cell, so a hot cell costs rows, not a task
     size = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mblks")).join(placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("gblks")), "cell")
     dealt_m = members.join(size, "cell").withColumn("mblk", F.pmod(F.xxhash64("rep"), F.col("mblks")).cast("int")).withColumn("gblk", F.explode(F.sequence(F.lit(0), F.col("gblks") - 1)))
     dealt_g = guests.join(size, "cell").withColumn("gblk", F.pmod(F.xxhash64("rep"), F.col("gblks")).cast("int")).withColumn("mblk", F.explode(F.sequence(F.lit(0), F.col("mblks") - 1)))
-    names = ["cell", "mblk", "gblk", "rep", "times", "unit", "cells", "guest"]
+    names = ["cell", "mblk", "gblk", "rep", "times", "raw", "cells", "guest"]
     dealt = dealt_m.select(names).union(dealt_g.select(names)).repartition("cell", "mblk", "gblk").sortWithinPartitions("cell", "mblk", "gblk")
-    found = cut(dealt.mapInArrow(functools.partial(_linked, cosine=cosine), "rep long, n long, root long"))
+    found = cut(dealt.mapInArrow(functools.partial(_linked, cosine=cosine, dim=dim), "rep long, n long, root long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = connected_components(found.select("rep", "root"), "rep", "root")
-    named = classes.select("rep", "times", "unit").join(links, "rep", "left").join(comp, classes["rep"] == comp["node"], "left")
+    named = classes.select("rep", "times").join(links, "rep", "left").join(comp, classes["rep"] == comp["node"], "left")
     return _answers(vectors, good, named)
 
 

@@ -7,6 +7,10 @@ made per word, and in pieces of ``PIECE`` bytes, so memory does not follow the b
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import hashlib
 
 import numpy as np
@@ -21,6 +25,25 @@ _BASIS, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 _LONG = 64
 
 
+def tidy(kernel):
+    """Wraps a kernel of Arrow batches: what it has freed goes back to the system when its task ends.
+
+    Python workers are reused by later stages, and allocators keep freed memory otherwise.
+    """
+
+    @functools.wraps(kernel)
+    def run(batches, *args, **kwargs):
+        try:
+            yield from kernel(batches, *args, **kwargs)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser; ``salt`` picks one of a family."""
     with np.errstate(over="ignore"):
