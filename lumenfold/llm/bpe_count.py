@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .words import tidy
 
 #: Words kept with their counts in one worker; the cache starts anew when full.
 CACHE = 300_000
@@ -140,6 +141,7 @@ def counter(path: str) -> MergeCounter:
     return MergeCounter(path)
 
 
+@tidy
 def _count(batches, vocabulary: str):
     import public_tokenizers
 

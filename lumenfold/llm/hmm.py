@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut, fold, table, threshold
-from .words import _LOWER, hash_words, mix, pieces, utf8, word_spans
+from .words import hash_words, _LOWER, mix, pieces, tidy, utf8, word_spans
 
 TOP, SHAPES, KNOWN = 32_768, 4096, 131_072
 STATES, ROUNDS, START_DOCS, START_ROUNDS = 8, 2, 1000, 4
@@ -46,6 +46,7 @@ def shapes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return (mix(h, 11) % np.uint64(SHAPES)).astype(np.int32)
 
 
+@tidy
 def _tally(batches):
     """Word hash, shape and count, summed inside the task as far as memory allows."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -100,6 +101,7 @@ END = TOP + SHAPES
 CLASSES = END + 1
 
 
+@tidy
 def _encode(batches, vocabulary):
     v: Vocabulary = vocabulary.value
     part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
@@ -233,6 +235,7 @@ def expected_counts(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, n
     return start, move * model.move, emit
 
 
+@tidy
 def _expect(batches, model):
     total = None
     for batch in batches:
@@ -276,6 +279,7 @@ def start_model(docs: list[np.ndarray], states: int, seed: int = 5) -> Model:
     return model
 
 
+@tidy
 def _score(batches, model):
     for batch in batches:
         docs = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(1)]

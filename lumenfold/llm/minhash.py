@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, table
-from .words import hash_words, mix, pieces, shingle_hashes, utf8, word_spans
+from .words import hash_words, mix, pieces, shingle_hashes, tidy, utf8, word_spans
 
 PERMS, ROWS, BITS = 96, 4, 4
 #: Classes of one bucket that are compared in one piece; larger buckets are dealt out in pairs of blocks.
@@ -92,6 +92,7 @@ def signatures(column, k: int):
     return whole(n, np.int64), whole(d1, np.int64), whole(d2, np.int64), packed, (np.concatenate(bands) if bands else np.zeros((0, PERMS // ROWS), np.int64))
 
 
+@tidy
 def _sign(batches, k: int):
     for batch in batches:
         n, d1, d2, packed, bands = signatures(batch.column(1), k)
@@ -118,7 +119,7 @@ def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     cross = bool(side.max() != side.min())
     rows = np.arange(len(rep))
     left, right = (rows[side == side.min()], rows[side == side.max()]) if cross else (rows, rows)
-    est = similarity(sig[left][:, None, :], sig[right][None, :, :])
+    est = np.concatenate([similarity(sig[left[s : s + 128]][:, None, :], sig[right][None, :, :]) for s in range(0, len(left), 128)])
     ok = (est >= least) & (comp[left][:, None] != comp[right][None, :])
     a_out, b_out, held = [], [], np.zeros(len(rep), bool)
     for x, y, ok_, est_ in ((left, right, ok, est), (right, left, ok.T, est.T)) if cross else ((left, right, ok, est),):
@@ -142,6 +143,7 @@ def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return a, b, held
 
 
+@tidy
 def _compare(batches, least: float, k: int):
     """Streams rows sorted by (bkey, bi, bj); a bucket piece is at most two blocks of rows."""
     names = ["bkey", "bi", "bj", "blk", "rep", "comp"]
@@ -195,12 +197,14 @@ def _compare(batches, least: float, k: int):
         yield batch_out(out, keys)
 
 
+@tidy
 def _sets(batches, k: int):
     for batch in batches:
         sets = [s.tobytes() for s in shingle_sets(batch.column(1), k)]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["rep", "shingles"])
 
 
+@tidy
 def _confirm(batches, percent: int):
     """Keeps the pairs whose sets have 100 * intersection >= percent * union."""
     for batch in batches:
@@ -314,6 +318,7 @@ def joins(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: in
     return out
 
 
+@tidy
 def _closed(batches, percent: int):
     """Runs ``joins`` on each (grp, bi, bj) of rows sorted by these."""
     rows: list = []

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .words import tidy
 
 BLOCK_TOKENS = 2_000_000
 _ODD = re.compile("[^\t\n\r -~À-ſ¡¿«»–—‘’“”…€]")
@@ -123,6 +124,7 @@ def pack_lengths(lengths: np.ndarray, size: int, linear: float = 1.0, quadratic:
     return (np.concatenate([doc, got[:, 0]]), np.concatenate([start, got[:, 1]]), np.concatenate([np.full(len(doc), size), got[:, 2]]), np.concatenate([seq, got[:, 3] + base]))
 
 
+@tidy
 def _pack(batches, vocabulary: str, end_id: int, size: int, with_ids: bool):
     import public_tokenizers
 

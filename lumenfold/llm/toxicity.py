@@ -27,6 +27,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_sample, cut, fold, table, threshold
 from .minhash import shingle_sets
+from .words import tidy
 
 #: Words that a grammar of insults starts from, before labels add to them or take them away.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile dumb idiota imbécil estúpido basura asqueroso dummkopf trottel abschaum widerlich crétin abruti connard débile"
@@ -131,12 +132,14 @@ def _stems(text: str) -> set[str]:
     return out
 
 
+@tidy
 def _keyed(batches):
     for batch in batches:
         key = [int(s.min()) - (1 << 63) if len(s) else 0 for s in shingle_sets(batch.column("text"), 5)]
         yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(key, pa.int64())], ["text", "toxic", "key"])
 
 
+@tidy
 def _counted(batches, only):
     """Documents that hold each stem. ``only``: a broadcast set to keep to, or None for all."""
     n: Counter = Counter()
@@ -218,6 +221,7 @@ def _grammar(lexicon: tuple[tuple[str, float], ...]) -> Grammar:
     return Grammar(dict(lexicon))
 
 
+@tidy
 def _matched(batches, lexicon):
     grammar = _grammar(lexicon)
     for batch in batches:
@@ -225,6 +229,7 @@ def _matched(batches, lexicon):
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c, pa.float64()) for c in zip(*rows)]] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.float64())] * len(CLASSES)], ["toxic", *CLASSES])
 
 
+@tidy
 def _scored(batches, lexicon, weights):
     """Rows of (row, text) to (row, score); ``row`` is passed through as it is."""
     grammar = _grammar(lexicon)
