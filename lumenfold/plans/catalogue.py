@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, matching, spatial, temporal  # noqa: F401
+from . import aggregates, graphs, matching, spatial, temporal, texts  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
