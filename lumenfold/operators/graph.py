@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,42 +52,38 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def forest(frames: DataFrame, node: str = "frame", parent: str = "matched_to") -> DataFrame:
-    """(node, root, depth): pointer doubling up a parent forest, so depth d takes log2(d) joins. Roots have a
-    null parent, or one that is not a node; cycles raise."""
-    f = frames.select(F.col(node).alias("node"), F.col(parent).alias("up"))
-    known = f.select(F.col("node").alias("up"), F.lit(True).alias("is_node"))
-    f = cut(f.join(known, "up", "left").select("node", F.when(F.col("is_node"), F.col("up")).alias("up")).select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(64):
-        above = f.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        new = cut(f.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.when(F.col("up") == F.col("node"), 0).otherwise(F.col("more"))).alias("depth"), (F.col("up") != F.col("up2")).alias("moved")))
-        if not new.filter("moved").limit(1).count():
-            return new.select("node", F.col("up").alias("root"), "depth")
-        f = new.drop("moved")
-    raise ValueError("the parent links form a cycle")
-
-
 def tree_positions(frames: DataFrame, values: list[str], node: str = "frame", parent: str = "matched_to") -> DataFrame:
     """(node, root, sums...): each value summed from the root down to the node (a root's own value counts),
-    by pointer doubling."""
+    by pointer doubling, so depth d takes log2(d) joins. Roots have a null parent, or one that is not a node.
+
+    A cycle raises: in a forest every round finishes some nodes, in a cycle none.
+    """
     f = frames.select(F.col(node).alias("node"), F.col(parent).alias("up"), *values)
     known = f.select(F.col("node").alias("up"), F.lit(True).alias("is_node"))
     f = cut(f.join(known, "up", "left").select("node", F.when(F.col("is_node"), F.col("up")).alias("up"), F.col("node").alias("root"), *values))
-    for _ in range(64):
-        if not f.filter("up is not null").limit(1).count():
+    left = None
+    while True:
+        now = f.filter("up is not null").count()
+        if not now:
             return f.select("node", "root", *values)
+        if now == left:
+            raise ValueError("the parent links form a cycle")
+        left = now
         above = f.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), *[F.col(v).alias(f"_{v}") for v in values])
         f = f.join(above, "up", "left")
         f = cut(f.select("node", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values]))
-    raise ValueError("the parent links form a cycle")
+
+
+def forest(frames: DataFrame, node: str = "frame", parent: str = "matched_to") -> DataFrame:
+    """(node, root, depth) of a parent forest; cycles raise."""
+    steps = frames.select(node, parent).withColumn("depth", F.lit(1).cast("long"))
+    return tree_positions(steps, ["depth"], node, parent).select("node", "root", (F.col("depth") - 1).alias("depth"))
 
 
 def spawn_components(frames: DataFrame, node: str = "frame", parent: str = "matched_to") -> DataFrame:
     """(node, root, component): components numbered by the order of their roots."""
     f = forest(frames, node, parent)
     roots = f.filter("depth = 0").select(F.col("node").alias("root"))
-    from pyspark.sql import Window
-
     n = roots.withColumn("component", F.row_number().over(Window.orderBy("root")) - 1)
     return f.join(n, "root").select("node", "root", "component")
 
