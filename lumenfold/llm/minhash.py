@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, small_batches, table
 from .words import hash_words, mix, pieces, shingle_hashes, tidy, utf8, word_spans
 
 PERMS, ROWS, BITS = 96, 4, 4
 #: Classes of one bucket that are compared in one piece; larger buckets are dealt out in pairs of blocks.
 BLOCK = 1024
+#: In buckets of more classes a class asks for one most similar partner, not k.
+CROWD = 64
 #: Rows and shingles of a block whose full sets are compared.
 CLOSE_ROWS, CLOSE_SHINGLES = 512, 250_000
 _A = mix(np.arange(PERMS, dtype=np.uint64), 101) | np.uint64(1)
@@ -131,7 +133,7 @@ def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
         hub = np.where(ok_, rep[y][None, :], np.iinfo(np.int64).max).argmin(axis=1)
         a_out.append(x[some])
         b_out.append(y[hub])
-        take = min(k, len(y))
+        take = min(k if len(rep) <= CROWD else 1, len(y))
         score = np.where(ok_, est_, -2.0)
         best = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < len(y) else np.broadcast_to(np.arange(len(y)), score.shape)
         r, c = np.nonzero(np.take_along_axis(ok_, best, 1))
@@ -228,6 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat a document are each returned and share its component; rows that share an id but
     not a text are classed by their own text. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(docs.mapInArrow(functools.partial(_sign, k=k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"))
     live = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -254,7 +257,7 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, least: flo
     asked = found.filter("b is not null").distinct()
     held = member.join(found.filter("b is null").select(F.col("a").alias("bkey")).distinct(), "bkey", "left_semi").select("bkey", "rep")
     need = asked.select("a").union(asked.select("b")).union(held.select("rep")).toDF("rep").distinct()
-    sets = cut(docs.join(need, docs["doc_id"] == need["rep"]).select("doc_id", "text").mapInArrow(functools.partial(_sets, k=k), "rep long, shingles binary"))
+    sets = cut(docs.join(need.hint("shuffle_hash"), docs["doc_id"] == need["rep"]).select("doc_id", "text").mapInArrow(functools.partial(_sets, k=k), "rep long, shingles binary"))
     ready = asked.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     links = cut(ready.select("a", "b", "sa", "sb").mapInArrow(functools.partial(_confirm, percent=percent), "a long, b long"))
     if not held.limit(1).count():
