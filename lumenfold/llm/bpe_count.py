@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .words import tidy
 
 #: Words kept with their counts in one worker; the cache starts anew when full.
@@ -159,6 +159,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     Null and empty texts have 0 bytes and 0 tokens. Rows with null or repeated ids are counted like any
     other. Whole texts are counted whatever their length. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(functools.partial(_count, vocabulary=vocabulary), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 

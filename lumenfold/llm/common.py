@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Lets Arrow batches of long texts hold at most ``most`` bytes (the session's setting if that is less)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864").lower().rstrip("b")
+    held = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1] in "kmg" else int(now)
+    if held > most or held <= 0:
+        spark.conf.set(key, str(most))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written in decimal, modulo ``modulus``; a null id falls in fold 0 (held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, fold, table, threshold
+from .common import bounded_sample, cut, fold, small_batches, table, threshold
 from .words import hash_words, _LOWER, mix, pieces, tidy, utf8, word_spans
 
 TOP, SHAPES, KNOWN = 32_768, 4096, 131_072
@@ -294,6 +294,7 @@ def score_corpus(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", tex
     With no training texts all counts are 0 and scores come from the smoothing alone. Other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", fold(F.col("doc_id"), modulus) == 0).select("doc_id", "held_out", "text")
     train = docs.filter(~F.col("held_out"))

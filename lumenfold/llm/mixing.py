@@ -85,7 +85,7 @@ def position(share: Column, schedule: list[tuple[float, float]]) -> Column:
     return out
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, positions) for each row of ``docs``.
 
     ``positions`` holds the training position of each copy that the mix takes: size * cardinality(positions)
@@ -93,10 +93,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=S
 
     A null source is a source of its own, the last. Null, empty and wordless texts have size 0: they take
     no words and count as taken once per whole pass. Rows that repeat an id are separate documents; rows
-    with a null id are mixed like any other. Columns named in ``keep`` are carried along, others ignored.
+    with a null id are mixed like any other. ``size_col`` gives sizes that
+    are known already. Columns named in ``keep`` are carried along, others ignored.
     No rows give no rows.
     """
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *keep))
+    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (F.col(size_col) if size_col else n_words(F.col(text_col))).alias("size"), *keep))
     targets = source_targets(sized, weights, budget, most)
     skey = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     targets = cut(targets.withColumn("skey", skey).drop("source"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .words import tidy
 
 BLOCK_TOKENS = 2_000_000
@@ -173,6 +173,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1
     repeat an id, or have none, are each packed whole. Texts of any length are cut into full sequences.
     Other columns are ignored. No rows give no pieces.
     """
+    small_batches(docs.sparkSession)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(functools.partial(_pack, vocabulary=vocabulary, end_id=end_id, size=size, with_ids=with_ids), kind)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, cut, fold, table, threshold
+from .common import bounded_sample, cut, fold, small_batches, table, threshold
 from .minhash import shingle_sets
 from .words import tidy
 
@@ -241,6 +241,7 @@ def _scored(batches, lexicon, weights):
 
 def score_rows(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, score): every row of ``docs`` whole, as a struct, with its score."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = cut(bounded_sample(cut(known), "doc_id", sample))
