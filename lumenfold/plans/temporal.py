@@ -52,13 +52,13 @@ def nav_distance(spark, sf_dir):
     return d.withColumn("total", F.round("total", 6)).withColumn("per_frame", F.round("per_frame", 6))
 
 
-@query("""WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+@query("""WITH p AS (SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 s AS (SELECT *, greatest(trunc(0.4 * (n - 5)), 0) AS start FROM p) SELECT event_id, user_id, place FROM s WHERE place >= start AND place < start + 5""")
 def path_section(spark, sf_dir):
     return t.path_section(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], 0.4, 5).select("event_id", "user_id", "place")
 
 
-@query("""WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events)
+@query("""WITH p AS (SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS place FROM events)
 SELECT event_id, user_id, place FROM p WHERE place >= trunc(0.7 * (user_id % 7 + 3)) AND place <= user_id % 7 + 3""")
 def path_history(spark, sf_dir):
     return t.path_history(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("user_id") % 7 + 3, 0.3).select("event_id", "user_id", "place")
