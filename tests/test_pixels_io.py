@@ -177,3 +177,23 @@ def test_windowed_stream(spark, tmp_path):
     s = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
     got = stateful.run_to_end(stateful.frames_by_window(s).select("event_type", "frames", "mean"), str(tmp_path / "c"), "complete", "windows").collect()
     assert [(r.event_type, r.frames, r.mean) for r in got] == [("a", 2, 2.0)]
+
+
+def test_png_and_pyramid(spark):
+    from lumenfold.sources import images
+
+    img = np.random.default_rng(0).integers(1, 255, (40, 70, 4)).astype(np.uint8)
+    assert (images.read_png(images.png(img)) == img).all()
+    gray = img[..., 0].copy()
+    assert (images.read_png(images.png(gray)) == gray).all()
+    df = spark.createDataFrame([(1, bytearray(images.png(img)))], "k long, png binary")
+    t = images.pyramid_of(df, "k", 32)
+    assert sorted({(r.level, r.i, r.j) for r in t.collect()}) == [(0, i, j) for i in range(3) for j in range(2)] + [(1, 0, 0), (1, 1, 0)] + [(2, 0, 0)]
+    m = images.mosaics(t.filter("level = 0"), "k", 32).first()
+    assert (images.read_png(m.png)[:40, :70] == img).all()
+    assert images.full_tiles(t.filter("level = 0"), 32).count() == 2
+    raw = np.arange(64, dtype=np.uint8)
+    f = spark.createDataFrame([(0, "4x", bytearray(raw.tobytes())), (1, None, bytearray(b"x"))], "frame_idx long, label string, content binary")
+    got = {r.frame_idx: r.png for r in images.debayered(f, 8, 8).collect()}
+    assert images.read_png(got[0]).shape == (8, 8, 3) and got[1] is None
+    assert sorted(r.path for r in images.write_raw(f, "/d").collect()) == ["/d/0_04.Raw", "/d/1.Raw"]
