@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components, cut
+from .graph import connected_components, cut, dense_ids  # noqa: F401
 
 
 def split_matches(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -108,19 +108,6 @@ def translate_tracks(tracks: DataFrame, shifts: DataFrame, by: str) -> DataFrame
     return j.select("track", F.coalesce("into", by).alias(by), (F.col("x") + F.coalesce("t_x", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("t_y", F.lit(0.0))).alias("y"))
 
 
-def dense_ids(observations: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys..., id): distinct keys numbered in the order they are first seen, in two steps: by range, then by offset.
-
-    A running number over all rows without one task seeing them all.
-    """
-    first = observations.groupBy(*keys).agg(F.min(order).alias("_at"))
-    part = cut(first.repartitionByRange("_at", *keys).sortWithinPartitions("_at", *keys).withColumn("_p", F.spark_partition_id()))
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("_at", *keys)) - 1
-    return part.withColumn("_i", place).join(starts.select("_p", "_before"), "_p").select(*keys, (F.col("_before") + F.col("_i")).alias("id"))
-
-
 def frames_of_interval(concepts: DataFrame, frames: DataFrame, by: str) -> DataFrame:
     """(by, q, frame): frames between the first and last of each concept's interval."""
     c = concepts.withColumn("frame", F.explode(F.sequence("first", "last"))).select(by, "q", "frame")

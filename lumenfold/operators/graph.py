@@ -80,12 +80,25 @@ def forest(frames: DataFrame, node: str = "frame", parent: str = "matched_to") -
     return tree_positions(steps, ["depth"], node, parent).select("node", "root", (F.col("depth") - 1).alias("depth"))
 
 
+def dense_ids(observations: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys..., id): distinct keys numbered in the order they are first seen, in two steps: by range, then by offset.
+
+    A running number over all rows without one task seeing them all.
+    """
+    first = observations.groupBy(*keys).agg(F.min(order).alias("_at"))
+    part = cut(first.repartitionByRange("_at", *keys).sortWithinPartitions("_at", *keys).withColumn("_p", F.spark_partition_id()))
+    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_at", *keys)) - 1
+    return part.withColumn("_i", place).join(starts.select("_p", "_before"), "_p").select(*keys, (F.col("_before") + F.col("_i")).alias("id"))
+
+
 def spawn_components(frames: DataFrame, node: str = "frame", parent: str = "matched_to") -> DataFrame:
     """(node, root, component): components numbered by the order of their roots."""
     f = forest(frames, node, parent)
     roots = f.filter("depth = 0").select(F.col("node").alias("root"))
-    n = roots.withColumn("component", F.row_number().over(Window.orderBy("root")) - 1)
-    return f.join(n, "root").select("node", "root", "component")
+    n = dense_ids(roots.withColumn("at", F.col("root")), ["root"], "at").withColumnRenamed("id", "component")
+    return f.join(n, "root").select("node", "root", F.col("component").cast("int").alias("component"))
 
 
 def tracks(matches: DataFrame) -> DataFrame:
