@@ -6,8 +6,9 @@ That is one water level: target = min(most * size, level * weight).
 
 Documents: each source is read in a fixed pseudo-random order (MD5 of the id) as often as its target
 needs. Whole passes take every document. The last pass takes a prefix of the order that stays within
-the target, then, ``FILLS`` times, a prefix of those remaining documents that still fit. Documents are
-taken whole, so a source ends within one of its smallest remaining documents of its target.
+the target, then another prefix of those remaining documents that still fit (``FILLS`` in all), then, up to
+``TOPS`` times, the document that brings the source nearest its target, if any does. Documents are taken
+whole, so a source ends a little off its target, on either side, usually by a few words.
 
 Curriculum: source s has a weight schedule, piecewise linear over training time 0..1 (constant where
 none is given). Its cumulative demand is the schedule's integral, scaled to its taken words. A copy's
@@ -29,7 +30,9 @@ WEIGHTS = (3, 1, 2)
 #: Schedules, in the same turns as the weights: (time, weight) points over training time 0..1.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)))
 BUCKET = 4096
-FILLS = 3
+FILLS = 2
+#: After them, each source takes the document that brings it nearest its target, so often.
+TOPS = 3
 #: Sources whose totals are broadcast; with more, they are joined with ``SALT`` salts.
 SOURCES, SALT = 50_000, 32
 
@@ -66,7 +69,7 @@ def _running(rows: DataFrame, amount: Column, name: str) -> DataFrame:
     sums = rows.groupBy("skey", "bucket").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("skey", "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("skey", "bucket").orderBy("ord", "doc_id", "size", "_rid").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_in", F.sum("_amount").over(inside)).join(sums, ["skey", "bucket"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_amount", "_before", "_in")
 
 
@@ -97,7 +100,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=S
     are known already. Columns named in ``keep`` are carried along, others ignored.
     No rows give no rows.
     """
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (F.col(size_col) if size_col else n_words(F.col(text_col))).alias("size"), *keep))
+    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (F.col(size_col) if size_col else n_words(F.col(text_col))).alias("size"), *keep, F.monotonically_increasing_id().alias("_rid")))
     targets = source_targets(sized, weights, budget, most)
     skey = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     targets = cut(targets.withColumn("skey", skey).drop("source"))
@@ -115,7 +118,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=S
         rows = cut(rows.withColumn("more", F.when(F.col("_took") > 0, 1).otherwise(F.col("more"))).drop("_upto"))
         used = rows.groupBy("skey").agg(F.sum("_took").alias("_used"))
         rows = _by_source(rows.drop("_took"), used, few).withColumn("gap", F.col("gap") - F.col("_used")).drop("_used")
-    rows = rows.withColumn("copies", (F.col("passes") + F.col("more")).cast("int"))
+    for _ in range(TOPS):
+        away = F.abs(F.col("size") - F.col("gap"))
+        nearer = (F.col("more") == 0) & (F.col("size") > 0) & (away < F.col("gap"))
+        best = rows.groupBy("skey").agg(F.min(F.when(nearer, F.struct(away.alias("away"), F.col("ord"), F.col("_rid"), F.col("size")))).alias("_best"))
+        rows = _by_source(rows, cut(best), few).withColumn("more", F.when(F.col("_best._rid") == F.col("_rid"), 1).otherwise(F.col("more")))
+        rows = rows.withColumn("gap", F.col("gap") - F.coalesce("_best.size", F.lit(0))).drop("_best")
+    rows = cut(rows).withColumn("copies", (F.col("passes") + F.col("more")).cast("int"))
     # words that the source supplies before copy c of a document: c passes, and the documents before it in this one
     rows = _running(rows, F.col("size"), "_all")
     rows = _running(rows, F.col("size") * F.col("more"), "_last")
