@@ -59,3 +59,8 @@ def quality(readable: Column, dark: Column, features: Column, least: int = 250)
 
 def is_good(label: Column) -> Column:
     return ~label.isin("underexposed", "low_features")
+
+
+def label_by_range(index: Column, ranges: list[tuple[int, int, str]]) -> Column:
+    """Label of the first range [from, to] that holds the index; null outside all."""
+    return F.coalesce(*[F.when(index.between(lo, hi), label) for lo, hi, label in ranges])

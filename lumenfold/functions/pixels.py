@@ -322,3 +322,14 @@ def per_frame(kernel, width: int, height: int):
         return content.map(lambda c: None if (a := decode(c, width, height)) is None else kernel(a))
 
     return run
+
+
+def merge_masks(old: np.ndarray, new: np.ndarray, replace: bool = False) -> np.ndarray:
+    """Union by pixel maximum, or the new mask alone."""
+    return new.copy() if replace else np.maximum(old, new)
+
+
+def flatten_layer(tiles: dict[tuple[int, int], np.ndarray], scale: float, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Gray image and coverage mask of a layer's tiles, scaled for feature extraction."""
+    img = assemble(tiles, size)
+    return resize(gray(img[..., :3]), scale), resize((img[..., :3].max(axis=2) > 0).astype(np.uint8) * 255, scale)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, cut, dense_ids  # noqa: F401
@@ -122,3 +122,76 @@ def model_tile(i: Column, j: Column, stride: int, columns: int) -> Column:
 def owned_vertices(vertices: DataFrame, owners: DataFrame) -> DataFrame:
     """Frames that own triangulation vertices of a component."""
     return vertices.join(owners, ["component", "vertex"]).select("component", "frame").distinct()
+
+
+def cross_component_pairs(frames: DataFrame, components: DataFrame) -> DataFrame:
+    """(frame, target): a frame against every live component of its label but its own.
+
+    ``frames``: (frame, label, component); ``components``: (component, label, suspended).
+    """
+    live = components.filter("not suspended").select(F.col("component").alias("target"), "label")
+    return frames.join(live, "label").filter(F.col("target") != F.col("component")).select("frame", "target")
+
+
+def feature_cascade(counts: DataFrame, least: int = 250) -> DataFrame:
+    """(frame, used, n, quality): the first detector's keypoints, else the fallback's, else too few.
+
+    ``counts``: (frame, n_first, n_fallback).
+    """
+    first = F.col("n_first") >= least
+    n = F.when(first, F.col("n_first")).otherwise(F.col("n_fallback"))
+    return counts.select("frame", F.when(first, "first").otherwise("fallback").alias("used"), n.alias("n"), F.when(n < least, "low_features").otherwise("good").alias("quality"))
+
+
+def tile_batches(tiles: DataFrame, by: str, order: list[str], most: int = 512) -> DataFrame:
+    """``batch``: running number of pieces of at most ``most`` tiles of one component, in order."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    return tiles.withColumn("batch", F.floor(place / most))
+
+
+def largest_group(members: DataFrame, by: str, group: str) -> DataFrame:
+    """(by, group, size): the largest group of each key, smallest id on ties."""
+    n = members.groupBy(by, group).agg(F.count("*").alias("size"))
+    return n.groupBy(by).agg(F.max_by(F.struct(group, "size"), F.struct(F.col("size"), -F.col(group))).alias("s")).select(by, "s.*")
+
+
+def track_positions(observations: DataFrame, positions: DataFrame) -> DataFrame:
+    """(track, x, y, n): mean of frame position plus observation."""
+    j = observations.join(positions.select("frame", F.col("x").alias("fx"), F.col("y").alias("fy")), "frame")
+    return j.groupBy("track").agg(F.avg(F.col("fx") + F.col("x")).alias("x"), F.avg(F.col("fy") + F.col("y")).alias("y"), F.count("*").alias("n"))
+
+
+def refusing_tracks(matches: DataFrame, by: str) -> DataFrame:
+    """(by, track, frame, kp): tracks merged match by match, strongest first; a merge that would give a track
+    two keypoints of one frame is refused. One bounded component per key. ``matches``: (by, src, dst, src_kp,
+    dst_kp, dist)."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        root: dict = {}
+        held: dict = {}
+
+        def find(v):
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        for r in part.sort_values(["dist", "src", "src_kp", "dst", "dst_kp"]).itertuples():
+            a, b = find((r.src, r.src_kp)), find((r.dst, r.dst_kp))
+            fa, fb = held.setdefault(a, {a[0]: a}), held.setdefault(b, {b[0]: b})
+            if a == b or fa.keys() & fb.keys():
+                continue
+            a, b = min(a, b), max(a, b)
+            root[b] = a
+            held[a] = held[a] | held.pop(b)
+        names = {a: k for k, a in enumerate(sorted({find(v) for v in list(root)}))}
+        rows = [(part[by].iloc[0], names[find(v)], *v) for v in sorted(root)]
+        return pd.DataFrame(rows, columns=[by, "track", "frame", "kp"])
+
+    kind = matches.schema[by].dataType.simpleString()
+    return matches.groupBy(by).applyInPandas(run, f"{by} {kind}, track long, frame long, kp long")
+
+
+def segmentation_request(points: Column, lo: Column, hi: Column) -> Column:
+    """Clicked points with the view's corners as named fields, not as two more points."""
+    return F.struct(points.alias("points"), lo.alias("view_from"), hi.alias("view_to"))

@@ -138,3 +138,54 @@ def model_tile(spark, sf_dir):
 def vertex_owners(spark, sf_dir):
     o = lineitem(spark, sf_dir).select(F.col("l_linenumber").alias("component"), (F.col("l_partkey") % 40).alias("vertex"), F.col("l_suppkey").alias("frame"))
     return f.owned_vertices(o.select("component", "vertex").filter("vertex < 3").distinct(), o)
+
+
+@query("""WITH c AS (SELECT s_suppkey AS component, (s_suppkey % 4)::VARCHAR AS label, s_suppkey % 9 = 0 AS suspended FROM supplier), f AS (SELECT c_custkey AS frame, (c_custkey % 5)::VARCHAR AS label, c_custkey % 20 AS component FROM customer)
+SELECT frame, c.component AS target FROM f JOIN c USING (label) WHERE NOT suspended AND c.component <> f.component""")
+def cross_component_search(spark, sf_dir):
+    k = F.col("s_suppkey")
+    c = table(spark, sf_dir, "supplier").select(k.alias("component"), (k % 4).cast("string").alias("label"), (k % 9 == 0).alias("suspended"))
+    k = F.col("c_custkey")
+    fr = table(spark, sf_dir, "customer").select(k.alias("frame"), (k % 5).cast("string").alias("label"), (k % 20).alias("component"))
+    return f.cross_component_pairs(fr, c)
+
+
+@query("""WITH c AS (SELECT p_partkey AS frame, p_size * 9 AS a, p_size * 14 AS b FROM part), u AS (SELECT frame, CASE WHEN a >= 250 THEN 'first' ELSE 'fallback' END AS used, CASE WHEN a >= 250 THEN a ELSE b END AS n FROM c)
+SELECT *, CASE WHEN n < 250 THEN 'low_features' ELSE 'good' END AS quality FROM u""")
+def feature_cascade(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame"), (F.col("p_size") * 9).alias("n_first"), (F.col("p_size") * 14).alias("n_fallback"))
+    return f.feature_cascade(p)
+
+
+@query("SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 16 AS batch FROM part")
+def tile_batches(spark, sf_dir):
+    return f.tile_batches(table(spark, sf_dir, "part"), "p_brand", ["p_partkey"], 16).select("p_partkey", "batch")
+
+
+@query("WITH n AS (SELECT l_returnflag, l_suppkey, count(*) AS size FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_suppkey, size FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY size DESC, l_suppkey) AS k FROM n) WHERE k = 1")
+def largest_island(spark, sf_dir):
+    return f.largest_group(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey")
+
+
+@query("SELECT l_partkey AS track, round(avg(l_suppkey * 2.0 + l_quantity), 6) AS x, round(avg(l_suppkey * 3.0 + l_linenumber), 6) AS y, count(*) AS n FROM lineitem GROUP BY 1")
+def track_positions(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    o = li.select(F.col("l_partkey").alias("track"), F.col("l_suppkey").alias("frame"), F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("y"))
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), (F.col("s_suppkey") * 2.0).alias("x"), (F.col("s_suppkey") * 3.0).alias("y"))
+    return f.track_positions(o, p).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+
+
+@query()
+def track_refusal(spark, sf_dir):
+    """Tracks over the mutual matches, merged strongest first without conflicts."""
+    from .matching import mutual
+
+    m = mutual(spark, sf_dir).withColumn("grp", F.lit(0))
+    return f.refusing_tracks(m, "grp")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey BETWEEN 0 AND 99 THEN '2x' WHEN p_partkey BETWEEN 100 AND 499 THEN '10x' WHEN p_partkey BETWEEN 450 AND 1200 THEN '40x' END AS label FROM part")
+def label_by_range(spark, sf_dir):
+    from lumenfold.functions import magnification as mag
+
+    return table(spark, sf_dir, "part").select("p_partkey", mag.label_by_range(F.col("p_partkey"), [(0, 99, "2x"), (100, 499, "10x"), (450, 1200, "40x")]).alias("label"))

@@ -183,3 +183,23 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 def live_layers(layers: DataFrame) -> DataFrame:
     """Layers that are not suspended, largest scale first."""
     return layers.filter("not suspended").orderBy(F.desc("scale"), "component")
+
+
+def load_case(spark: SparkSession, path: str) -> DataFrame:
+    """(slide, frames, concepts): every slide below a folder with how many frames its header and how many spans
+    its concept file, if any, hold. A concept file belongs to the slide whose folder it is in."""
+    from .concepts import read_concepts
+
+    folder = lambda c: F.element_at(F.split(c, "/"), -2)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcHdr").option("recursiveFileLookup", "true").load(path)
+
+    @F.pandas_udf("label string, frames long")
+    def head(content):
+        import pandas as pd
+
+        s = [unpack_header(c) for c in content]
+        return pd.DataFrame({"label": [x["label"] for x in s], "frames": [len(x["frames"]) for x in s]})
+
+    slides = files.select(folder(F.col("path")).alias("folder"), head("content").alias("h")).select("folder", F.col("h.label").alias("slide"), "h.frames")
+    spans = read_concepts(spark, path.rstrip("/") + "/*/*.json").groupBy(folder(F.col("file")).alias("folder")).agg(F.count("*").alias("concepts"))
+    return slides.join(spans, "folder", "left").select("slide", "frames", F.coalesce("concepts", F.lit(0)).alias("concepts"))

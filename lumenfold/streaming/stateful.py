@@ -167,3 +167,8 @@ def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", name: s
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def bounds_stream(frames: DataFrame, by: str = "component") -> DataFrame:
+    """Bounds of each component as they grow, for update or complete mode."""
+    return frames.groupBy(by).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"))

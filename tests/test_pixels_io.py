@@ -197,3 +197,14 @@ def test_png_and_pyramid(spark):
     got = {r.frame_idx: r.png for r in images.debayered(f, 8, 8).collect()}
     assert images.read_png(got[0]).shape == (8, 8, 3) and got[1] is None
     assert sorted(r.path for r in images.write_raw(f, "/d").collect()) == ["/d/0_04.Raw", "/d/1.Raw"]
+
+
+def test_case(spark, tmp_path):
+    for name, n in (("1", 2), ("2", 0)):
+        (tmp_path / name).mkdir()
+        s = {"label": "L" + name, "bounds": (0.0, 0.0, 1.0, 1.0), "frames_per_ms": 0.0, "frames": [{"x": 0, "y": 0, "component": 0, "ts_ms": 0}] * n, "scales": {}, "layers": []}
+        (tmp_path / name / slides.HEADER).write_bytes(slides.pack_header(s))
+    (tmp_path / "1" / "concepts.json").write_text(json.dumps({"concept_spans": [{"evidence_text": "a"}, {"evidence_text": "b"}]}))
+    got = sorted(tuple(r) for r in slides.load_case(spark, str(tmp_path)).collect())
+    assert got == [("L1", 2, 2), ("L2", 0, 0)]
+    assert slides.read_headers(spark, str(tmp_path)).count() == 2

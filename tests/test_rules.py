@@ -206,3 +206,27 @@ def test_labels(spark):
 
 def test_plurality_tie(spark):
     assert rows(aggregates.plurality(spark.createDataFrame([(1, "b"), (1, "a")], "k long, l string"), ["k"], "l"))[0][2] == "a"
+
+
+def test_polygon_repair():
+    from lumenfold.functions import polygons as p
+
+    sq = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    assert p.clean([(0, 0), (0, 0), (5, 0), (10, 0), (10, 10), (0, 10)]) == sq
+    assert p.clean([(0, 0), (1, 1), (2, 2)]) == [] and p.clean([]) == []
+    assert p.signed_area(p.clean(sq[::-1])) > 0
+    assert p.cross((0, 0), (2, 2), (0, 2), (2, 0)) and p.cross((0, 0), (2, 0), (2, 0), (3, 3)) and not p.cross((0, 0), (1, 0), (0, 1), (1, 1))
+    notch = [(0, 0), (10, 0), (10, 10), (5, 2), (0, 10)]
+    assert p.chord_is_legal(sq, 0, 2) and not p.chord_is_legal(notch, 2, 4) and not p.chord_is_legal(sq, 0, 1)
+    assert p.insert_vertex(sq, (5, -1)) == [(0, 0), (5, -1), (10, 0), (10, 10), (0, 10)]
+    assert p.largest([[(0, 0), (1, 0), (1, 1)], sq]) == sq
+    a = {"x": 0, "y": 0, "angle": 355, "octave": 1, "desc": 7}
+    assert p.same_feature(a, a | {"x": 2, "angle": 3}) and not p.same_feature(a, a | {"x": 4}) and not p.same_feature(a, a | {"octave": 2})
+
+
+def test_refused_merge(spark):
+    from lumenfold.operators import frames
+
+    m = spark.createDataFrame([(0, 1, 2, 1, 1, 1.0), (0, 2, 1, 1, 2, 2.0), (0, 2, 3, 1, 1, 3.0)], "grp int, src long, dst long, src_kp long, dst_kp long, dist double")
+    got = {(r.frame, r.kp): r.track for r in frames.refusing_tracks(m, "grp").collect()}
+    assert got[1, 1] == got[2, 1] == got[3, 1] != got[1, 2]
