@@ -122,9 +122,9 @@ def embed_priority(spark, sf_dir):
 _NODES = list(range(8))
 
 
-@query("WITH e AS (SELECT DISTINCT l_partkey % 8 AS s, l_suppkey % 8 AS d FROM lineitem WHERE l_orderkey <= 40), b AS (SELECT s, d FROM e UNION SELECT d, s FROM e) SELECT n.i::BIGINT AS node, " + ", ".join(f"max(CASE WHEN d = {n} THEN 1 ELSE 0 END) AS n{n}" for n in _NODES) + " FROM range(8) n(i) LEFT JOIN b ON b.s = n.i GROUP BY 1")
+@query("WITH e AS (SELECT DISTINCT l_partkey % 8 AS s, l_suppkey % 8 AS d FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), b AS (SELECT s, d FROM e UNION SELECT d, s FROM e) SELECT n.i::BIGINT AS node, " + ", ".join(f"max(CASE WHEN d = {n} THEN 1 ELSE 0 END) AS n{n}" for n in _NODES) + " FROM range(8) n(i) LEFT JOIN b ON b.s = n.i GROUP BY 1")
 def match_graph_csv(spark, sf_dir):
-    e = lineitem(spark, sf_dir).filter("l_orderkey <= 40").select((F.col("l_partkey") % 8).alias("src"), (F.col("l_suppkey") % 8).alias("dst"))
+    e = lineitem(spark, sf_dir).filter("l_quantity = 50 and l_returnflag = 'R'").select((F.col("l_partkey") % 8).alias("src"), (F.col("l_suppkey") % 8).alias("dst"))
     return a.match_matrix(e, _NODES)
 
 
@@ -183,12 +183,12 @@ def nearest_owner(spark, sf_dir):
     return t.nearest_owner(c, centres, "comp")
 
 
-@query(f"""WITH {_OWN}, n AS (SELECT comp, i, j, (owner + i) % 4 AS owner FROM o WHERE (i + j) % 6 <> 0), k AS (SELECT comp, i, j, owner AS was FROM o WHERE (i * 2 + j) % 7 <> 0)
+@query(f"""WITH {_OWN}, n AS (SELECT comp, i, j, (owner + i) % 4 AS owner FROM o WHERE owner <> 1), k AS (SELECT comp, i, j, owner AS was FROM o WHERE owner <> 2)
 SELECT comp, i, j, owner, CASE WHEN owner IS NULL THEN 'blank' ELSE 'render' END AS action FROM k FULL JOIN n USING (comp, i, j) WHERE was IS DISTINCT FROM owner""")
 def rebuild_changes(spark, sf_dir):
     o = owners(spark, sf_dir)
-    new = o.filter((F.col("i") + F.col("j")) % 6 != 0).withColumn("owner", (F.col("owner") + F.col("i")) % 4)
-    return t.rebuild_changes(o.filter((F.col("i") * 2 + F.col("j")) % 7 != 0), new, ["comp", "i", "j"])
+    new = o.filter("owner <> 1").withColumn("owner", (F.col("owner") + F.col("i")) % 4)
+    return t.rebuild_changes(o.filter("owner <> 2"), new, ["comp", "i", "j"])
 
 
 @query(f"WITH {_OWN}, c AS (SELECT l_suppkey % 5 AS comp, (l_partkey % 20)::INT AS i, (l_partkey // 20 % 15)::INT AS j, list_reverse_sort(list(DISTINCT l_orderkey % 9)) AS frames FROM lineitem GROUP BY ALL) SELECT comp, i, j, owner, array_to_string(frames, ',') AS frames FROM o JOIN c USING (comp, i, j)")
@@ -197,8 +197,8 @@ def tile_inspector(spark, sf_dir):
     return t.inspect(owners(spark, sf_dir), c, ["comp", "i", "j"]).withColumn("frames", F.array_join(F.col("frames").cast("array<string>"), ","))
 
 
-@query(f"WITH {_OWN} SELECT comp, i, j, CASE WHEN (i + j) % 3 = 0 THEN owner % 4 ELSE -1 END AS class FROM o")
+@query(f"WITH {_OWN} SELECT comp, i, j, CASE WHEN owner > 0 THEN owner % 4 ELSE -1 END AS class FROM o")
 def tile_class(spark, sf_dir):
     o = owners(spark, sf_dir)
-    classes = o.filter((F.col("i") + F.col("j")) % 3 == 0).select("comp", "i", "j", (F.col("owner") % 4).alias("class"))
+    classes = o.filter("owner > 0").select("comp", "i", "j", (F.col("owner") % 4).alias("class"))
     return t.tile_class(o, classes, ["comp", "i", "j"]).select("comp", "i", "j", "class")

@@ -14,16 +14,16 @@ def lineitem(spark, sf_dir):
     return table(spark, sf_dir, "lineitem")
 
 
-_EDGES = "e AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 300 + 1 AS dst, l_linenumber::DOUBLE AS t_x, (l_linenumber * 2)::DOUBLE AS t_y FROM lineitem WHERE l_orderkey <= 800)"
+_EDGES = "e AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 300 + 1 AS dst, l_linenumber::DOUBLE AS t_x, (l_linenumber * 2)::DOUBLE AS t_y FROM lineitem)"
 
 
 def edges(spark, sf_dir):
-    return lineitem(spark, sf_dir).filter("l_orderkey <= 800").select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300 + 1).alias("dst"), F.col("l_linenumber").cast("double").alias("t_x"), (F.col("l_linenumber") * 2).cast("double").alias("t_y")).distinct()
+    return lineitem(spark, sf_dir).select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300 + 1).alias("dst"), F.col("l_linenumber").cast("double").alias("t_x"), (F.col("l_linenumber") * 2).cast("double").alias("t_y")).distinct()
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, t_x, src % 7 AS src_component, dst % 7 AS dst_component, src % 7 <> dst % 7 AS inter FROM e WHERE src < 250 AND dst < 250")
+@query(f"WITH {_EDGES} SELECT src, dst, t_x, src % 7 AS src_component, dst % 7 AS dst_component, src % 7 <> dst % 7 AS inter FROM e")
 def match_split(spark, sf_dir):
-    members = spark.range(250).select(F.col("id").alias("frame"), (F.col("id") % 7).alias("component"))
+    members = spark.range(301).select(F.col("id").alias("frame"), (F.col("id") % 7).alias("component"))
     return f.split_matches(edges(spark, sf_dir), members).select("src", "dst", "t_x", "src_component", "dst_component", "inter")
 
 
@@ -56,21 +56,21 @@ def mean_hypothesis(spark, sf_dir):
     return f.mean_hypothesis(e).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
-@query("""WITH RECURSIVE s AS (SELECT c_custkey % 60 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 60 AS a, s_nationkey * 2 AS b FROM supplier WHERE s_suppkey % 3 = 0),
+@query("""WITH RECURSIVE s AS (SELECT c_custkey % 60 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 60 AS a, s_nationkey * 2 AS b FROM supplier WHERE s_acctbal < 0),
 e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), g AS (SELECT node, min(other) AS grp FROM r GROUP BY 1),
 j AS (SELECT component, size, coalesce(grp, component) AS grp FROM s LEFT JOIN g ON component = node), h AS (SELECT grp, component AS head, row_number() OVER (PARTITION BY grp ORDER BY component = 0 DESC, size DESC, component) AS k FROM j)
 SELECT component, head AS "into" FROM j JOIN h USING (grp) WHERE k = 1""")
 def component_priority(spark, sf_dir):
     sizes = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 60).alias("component")).agg(F.count("*").alias("size"))
-    links = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") % 60).alias("a"), (F.col("s_nationkey") * 2).cast("long").alias("b")).distinct()
+    links = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select((F.col("s_suppkey") % 60).alias("a"), (F.col("s_nationkey") * 2).cast("long").alias("b")).distinct()
     return f.absorb_with_priority(sizes, links)
 
 
-@query("""WITH RECURSIVE n AS (SELECT o_custkey % 900 AS a, (o_custkey * 7 + 13) % 900 AS b FROM orders WHERE o_orderkey % 9 = 0 GROUP BY ALL), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
-w AS (SELECT 5::BIGINT AS node, 5::BIGINT AS seed, 0 AS steps UNION SELECT 17, 17, 0 UNION SELECT e.b, w.seed, w.steps + 1 FROM w JOIN e ON e.a = w.node WHERE w.steps < 40)
+@query("""WITH RECURSIVE n AS (SELECT o_custkey % 900 AS a, o_orderkey % 900 AS b FROM orders GROUP BY ALL), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
+w AS (SELECT 5::BIGINT AS node, 5::BIGINT AS seed, 0 AS steps UNION SELECT 17, 17, 0 UNION SELECT e.b, w.seed, w.steps + 1 FROM w JOIN e ON e.a = w.node WHERE w.steps < 8)
 SELECT node, seed, steps FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY steps, seed) AS k FROM w) WHERE k = 1""")
 def membership_spread(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select((F.col("o_custkey") % 900).alias("src"), ((F.col("o_custkey") * 7 + 13) % 900).alias("dst")).distinct()
+    e = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 900).alias("src"), (F.col("o_orderkey") % 900).alias("dst")).distinct()
     return f.spread(e, spark.createDataFrame([(5,), (17,)], "node long"))
 
 
@@ -95,10 +95,11 @@ def scale_anchor(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", scale.alias("scale"), how.alias("how"))
 
 
-@query(f"WITH {_BOX} SELECT brand AS component, id AS frame, round(x * 2 / (id % 4 + 1) - x, 6) AS off_x, round(y * 3 / (id % 4 + 1) - y, 6) AS off_y FROM b WHERE id % 50 = 0")
+@query(f"WITH {_BOX} SELECT brand AS component, id AS frame, round(x * 2 / (id % 4 + 1) - x, 6) AS off_x, round(y * 3 / (id % 4 + 1) - y, 6) AS off_y FROM b JOIN part ON id = p_partkey WHERE p_size = 50")
 def landmark_offset(spark, sf_dir):
     b = boxes(spark, sf_dir).select(F.col("brand").alias("component"), F.col("id").alias("frame"), "x", "y", (F.col("id") % 4 + 1).alias("s"))
-    marks = b.filter("frame % 50 = 0").select("frame", (F.col("x") * 2).alias("bx"), (F.col("y") * 3).alias("by"))
+    known = table(spark, sf_dir, "part").filter("p_size = 50").select(F.col("p_partkey").alias("frame"))
+    marks = b.join(known, "frame").select("frame", (F.col("x") * 2).alias("bx"), (F.col("y") * 3).alias("by"))
     return f.landmark_offset(b, marks, "s").withColumn("off_x", F.round("off_x", 6)).withColumn("off_y", F.round("off_y", 6))
 
 
@@ -134,10 +135,10 @@ def model_tile(spark, sf_dir):
     return t.withColumn("tile", f.model_tile(F.col("i"), F.col("j"), 2, 20))
 
 
-@query("SELECT DISTINCT l_linenumber AS component, l_suppkey AS frame FROM lineitem WHERE l_partkey % 40 < 3")
+@query("SELECT DISTINCT l_linenumber AS component, l_suppkey AS frame FROM lineitem")
 def vertex_owners(spark, sf_dir):
     o = lineitem(spark, sf_dir).select(F.col("l_linenumber").alias("component"), (F.col("l_partkey") % 40).alias("vertex"), F.col("l_suppkey").alias("frame"))
-    return f.owned_vertices(o.select("component", "vertex").filter("vertex < 3").distinct(), o)
+    return f.owned_vertices(o.select("component", "vertex").distinct(), o)
 
 
 @query("""WITH c AS (SELECT s_suppkey AS component, (s_suppkey % 4)::VARCHAR AS label, s_suppkey % 9 = 0 AS suspended FROM supplier), f AS (SELECT c_custkey AS frame, (c_custkey % 5)::VARCHAR AS label, c_custkey % 20 AS component FROM customer)

@@ -62,13 +62,13 @@ def track_materialise(spark, sf_dir):
     return graph.materialise_tracks(graph.tracks(mutual(spark, sf_dir))).groupBy("n_frames").agg(F.count("*").alias("tracks"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT c_custkey % 60 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 60 AS a, s_nationkey * 2 AS b FROM supplier WHERE s_suppkey % 3 = 0),
+@query("""WITH RECURSIVE s AS (SELECT c_custkey % 60 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 60 AS a, s_nationkey * 2 AS b FROM supplier WHERE s_acctbal < 0),
 e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), g AS (SELECT node, min(other) AS grp FROM r GROUP BY 1),
 j AS (SELECT component, size, coalesce(grp, component) AS grp FROM s LEFT JOIN g ON component = node), h AS (SELECT grp, component AS head, row_number() OVER (PARTITION BY grp ORDER BY size DESC, component) AS k FROM j)
 SELECT component, head AS "into" FROM j JOIN h USING (grp) WHERE k = 1""")
 def component_absorb(spark, sf_dir):
     sizes = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 60).alias("component")).agg(F.count("*").alias("size"))
-    links = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") % 60).alias("a"), (F.col("s_nationkey") * 2).cast("long").alias("b")).distinct()
+    links = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select((F.col("s_suppkey") % 60).alias("a"), (F.col("s_nationkey") * 2).cast("long").alias("b")).distinct()
     return graph.absorb(sizes, links)
 
 
@@ -93,10 +93,10 @@ def greedy_coverage(spark, sf_dir):
 @query()
 def path_promotion(spark, sf_dir):
     """Cheapest bridge between two frames of each component, members free, others at a cost of 1."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 3000")
-    e = li.select((F.col("l_linenumber")).alias("comp"), (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0).alias("penalty"), F.lit(0).cast("long").alias("s"), F.lit(39).cast("long").alias("g"))
+    li = table(spark, sf_dir, "lineitem")
+    e = li.select((F.col("l_linenumber")).alias("comp"), (F.col("l_partkey") % 400).alias("a"), (F.col("l_suppkey") % 400).alias("b"), F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0).alias("penalty"), F.lit(0).cast("long").alias("s"), F.lit(399).cast("long").alias("g"))
     e = e.groupBy("comp", "a", "b", "s", "g").agg(F.min("penalty").alias("penalty"))
-    members = li.select((F.col("l_linenumber")).alias("comp"), (F.col("l_partkey") % 40).alias("node")).filter("node % 4 = 0").distinct()
+    members = li.filter("l_quantity = 50").select((F.col("l_linenumber")).alias("comp"), (F.col("l_partkey") % 40).alias("node")).distinct()
     return graph.bridge_path(e, members, "comp", "s", "g")
 
 

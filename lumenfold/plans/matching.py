@@ -128,11 +128,11 @@ def vote_positions(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT l_orderkey % 20 AS src, l_orderkey % 20 + 1 + l_suppkey % 3 AS dst, l_quantity * 2 AS dx, l_linenumber * 1.0 AS dy FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey <= 4000),
+WITH m AS (SELECT l_orderkey % 20 AS src, l_orderkey % 20 + 1 + l_suppkey % 3 AS dst, l_quantity * 2 AS dx, l_linenumber * 1.0 AS dy FROM lineitem),
 n AS (SELECT a.src, a.dst, a.dx, a.dy, count(*) AS inliers, avg(b.dx) AS t_x, avg(b.dy) AS t_y FROM (SELECT DISTINCT * FROM m) a JOIN m b ON a.src = b.src AND a.dst = b.dst AND (a.dx - b.dx) ** 2 + (a.dy - b.dy) ** 2 <= 9 GROUP BY ALL)
 SELECT src, dst, round(t_x, 6) AS t_x, round(t_y, 6) AS t_y, inliers FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY inliers DESC, dx, dy) AS r FROM n) WHERE r = 1
 """)
 def consensus_translation(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3 and l_orderkey <= 4000")
+    li = table(spark, sf_dir, "lineitem")
     rows = li.select((F.col("l_orderkey") % 20).alias("src"), (F.col("l_orderkey") % 20 + 1 + F.col("l_suppkey") % 3).alias("dst"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("l_quantity") * 2).alias("x2"), F.col("l_linenumber").cast("double").alias("y2"))
     return m.consensus_translation(rows).withColumn("t_x", F.round("t_x", 6)).withColumn("t_y", F.round("t_y", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,23 +12,29 @@ from lumenfold.functions import pixels as px
 
 from .registry import query, table
 
-W, H = 32, 32
+W = 32
 
 
 def _raw(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.filter(F.octet_length("html") >= W * H).select("page_id", F.substring(F.col("html").cast("binary"), 1, W * H).alias("content"))
+    """Each page's bytes as a frame 32 pixels wide: as many whole pairs of rows as there are."""
+    rows = F.floor(F.octet_length("html") / (2 * W)) * 2
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("html"), rows.cast("int").alias("rows"))
+    return p.filter("rows >= 8").select("page_id", "rows", F.substring("html", F.lit(1), F.col("rows") * W).alias("content"))
+
+
+def _frame(content: bytes) -> np.ndarray:
+    return px.decode(content, W, len(content) // W)
 
 
 @query()
 def frame_focus(spark, sf_dir):
-    """Focus measure, brightness and darkness of each frame."""
+    """Focus measure, brightness and strongest corner of each frame."""
 
     @F.pandas_udf("focus double, mean double, white boolean, x long, y long")
     def measure(content: pd.Series) -> pd.DataFrame:
         rows = []
         for c in content:
-            raw = px.decode(c, W, H)
+            raw = _frame(c)
             g = px.gray(px.debayer(raw))
             k = px.corners(g, 1)
             rows.append((round(px.sobel_energy(raw), 6), round(float(g.mean()), 6), px.mostly_white(g), int(k[0, 0]) if len(k) else -1, int(k[0, 1]) if len(k) else -1))
@@ -43,7 +51,7 @@ def frame_shift(spark, sf_dir):
     def shift(content: pd.Series) -> pd.DataFrame:
         rows = []
         for c in content:
-            g = px.gray(px.debayer(px.decode(c, W, H))).astype(float)
+            g = px.gray(px.debayer(_frame(c))).astype(float)
             rows.append(px.phase_shift(g, np.roll(g, (3, 5), (0, 1)))[:2])
         return pd.DataFrame(rows, columns=["dy", "dx"])
 
@@ -52,19 +60,21 @@ def frame_shift(spark, sf_dir):
 
 @query()
 def mosaic_export(spark, sf_dir):
-    """Frames blitted as 32-pixel tiles of one mosaic by group of 16 pages, and its checksum."""
-    import zlib
+    """Each frame cut to tiles, assembled again, and its half-size parent: sizes and checksums."""
 
-    def assemble(part: pd.DataFrame) -> pd.DataFrame:
-        tiles = {(int(k) % 4, int(k) % 16 // 4): px.decode(c, W, H) for k, c in zip(part["page_id"], part["content"])}
-        m = px.assemble(tiles, W)
-        half = px.resize_half(m)
-        return pd.DataFrame({"grp": [int(part["page_id"].iloc[0]) // 16], "height": [m.shape[0]], "width": [m.shape[1]], "crc": [zlib.crc32(m.tobytes())], "half_crc": [zlib.crc32(half.tobytes())]})
+    @F.pandas_udf("height long, width long, tiles long, crc long, half_crc long")
+    def assemble(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            tiles = px.cut_tiles(_frame(c), W)
+            m = px.assemble(tiles, W)
+            rows.append((*m.shape, len(tiles), zlib.crc32(m.tobytes()), zlib.crc32(px.resize_half(m).tobytes())))
+        return pd.DataFrame(rows, columns=["height", "width", "tiles", "crc", "half_crc"])
 
-    raw = _raw(spark, sf_dir).withColumn("g", F.floor(F.col("page_id") / 16))
-    return raw.groupBy("g").applyInPandas(assemble, "grp long, height long, width long, crc long, half_crc long")
+    return _raw(spark, sf_dir).select("page_id", assemble("content").alias("m")).select("page_id", "m.*")
 
 
-@query("SELECT page_id, strlen(html) >= 1024 AS good_size FROM pages")
+@query("SELECT page_id, strlen(html) = 4096 AS good_size, strlen(html) AS n FROM pages")
 def frame_size_check(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.octet_length("html") >= W * H).alias("good_size"))
+    n = F.octet_length("html")
+    return table(spark, sf_dir, "pages").select("page_id", (n == 4096).alias("good_size"), n.cast("long").alias("n"))

@@ -76,7 +76,7 @@ def tile_coverage_circle(spark, sf_dir):
     return s.covered_tiles(boxes(spark, sf_dir), 64, round_view=True)
 
 
-_POINTS = "p AS (SELECT vec_id AS id, floor(embedding[1] * 4000 + 2000)::DOUBLE AS x, floor(embedding[2] * 4000 + 2000)::DOUBLE AS y, label <> 3 AS active FROM embeddings), q AS (SELECT p_partkey AS q, (p_partkey * 37 % 4000)::DOUBLE AS x, (p_partkey * 91 % 4000)::DOUBLE AS y, 300.0 AS w, 200.0 AS h FROM part WHERE p_partkey % 10 = 0)"
+_POINTS = "p AS (SELECT vec_id AS id, floor(embedding[1] * 4000 + 2000)::DOUBLE AS x, floor(embedding[2] * 4000 + 2000)::DOUBLE AS y, label <> 3 AS active FROM embeddings), q AS (SELECT p_partkey AS q, (p_partkey * 37 % 4000)::DOUBLE AS x, (p_partkey * 91 % 4000)::DOUBLE AS y, 300.0 AS w, 200.0 AS h FROM part)"
 
 
 def grid_inputs(spark, sf_dir):
@@ -84,7 +84,7 @@ def grid_inputs(spark, sf_dir):
     at = lambda i: F.floor(F.element_at("embedding", i) * F.lit(4000).cast("float") + F.lit(2000).cast("float")).cast("double")
     p = e.select(F.col("vec_id").alias("id"), at(1).alias("x"), at(2).alias("y"), (F.col("label") != 3).alias("active"))
     k = F.col("p_partkey")
-    q = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(k.alias("q"), (k * 37 % 4000).cast("double").alias("x"), (k * 91 % 4000).cast("double").alias("y"), F.lit(300.0).alias("w"), F.lit(200.0).alias("h"))
+    q = table(spark, sf_dir, "part").select(k.alias("q"), (k * 37 % 4000).cast("double").alias("x"), (k * 91 % 4000).cast("double").alias("y"), F.lit(300.0).alias("w"), F.lit(200.0).alias("h"))
     return p, q
 
 

@@ -64,7 +64,7 @@ def path_history(spark, sf_dir):
     return t.path_history(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("user_id") % 7 + 3, 0.3).select("event_id", "user_id", "place")
 
 
-@query("""WITH f AS (SELECT user_id, epoch_ms(ts) AS t, event_id AS frame FROM events), q AS (SELECT user_id, event_id AS q, epoch_ms(ts) - 3600000 AS t0, epoch_ms(ts) + 18000000 AS t1 FROM events WHERE event_id % 3 = 0),
+@query("""WITH f AS (SELECT user_id, epoch_ms(ts) AS t, event_id AS frame FROM events), q AS (SELECT user_id, event_id AS q, epoch_ms(ts) - 3600000 AS t0, epoch_ms(ts) + 18000000 AS t1 FROM events),
 a AS (SELECT q.user_id, q.q, f.frame AS lo FROM q ASOF LEFT JOIN f ON q.user_id = f.user_id AND q.t0 >= f.t),
 b AS (SELECT q.user_id, q.q, f.frame AS hi FROM q ASOF LEFT JOIN f ON q.user_id = f.user_id AND q.t1 <= f.t),
 e AS (SELECT user_id, arg_min(frame, t) AS mn, arg_max(frame, t) AS mx FROM f GROUP BY 1)
@@ -72,7 +72,7 @@ SELECT a.user_id, a.q, coalesce(lo, mn) AS first, coalesce(hi, mx) AS last FROM
 def asof_interval(spark, sf_dir):
     e = events(spark, sf_dir)
     f = e.select("user_id", _ms().alias("t"), F.col("event_id").alias("frame"))
-    q = e.filter("event_id % 3 = 0").select("user_id", F.col("event_id").alias("q"), (_ms() - 3_600_000).alias("t0"), (_ms() + 18_000_000).alias("t1"))
+    q = e.select("user_id", F.col("event_id").alias("q"), (_ms() - 3_600_000).alias("t0"), (_ms() + 18_000_000).alias("t1"))
     return t.interval_to_frames(q, f, "user_id")
 
 

@@ -84,7 +84,7 @@ def concepts(spark, sf_dir):
     return c.select(
         F.col("conv_id").alias("slide"),
         F.col("turn").alias("ord"),
-        F.substring("text", 1, 20).alias("evidence"),
+        F.col("text").alias("evidence"),
         F.when(n % 3 == 0, "gleason_grade").otherwise("tumor_presence").alias("kind"),
         F.when(n % 4 == 0, "absent").otherwise("present").alias("assertion"),
         F.when(n % 3 == 0, (n % 3 + 3).cast("double")).alias("gleason_primary"),
@@ -102,14 +102,14 @@ def concept_merge(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT user_id AS slide, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS word_idx, event_id * 10 AS s, event_id * 10 + 7 AS e FROM events),
-c AS (SELECT user_id AS slide, event_id AS c, event_id % 30 AS first_word, event_id % 30 + event_id % 4 AS last_word FROM events WHERE event_id % 5 = 0)
+c AS (SELECT user_id AS slide, event_id AS c, event_id % 30 AS first_word, event_id % 30 + event_id % 4 AS last_word FROM events)
 SELECT c.slide, c, a.s AS t0, b.e AS t1 FROM c LEFT JOIN w a ON a.slide = c.slide AND a.word_idx = first_word LEFT JOIN w b ON b.slide = c.slide AND b.word_idx = last_word""")
 def spans_to_time(spark, sf_dir):
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
     w = e.select(F.col("user_id").alias("slide"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("word_idx"), (F.col("event_id") * 10).alias("start_ms"), (F.col("event_id") * 10 + 7).alias("end_ms"))
-    c = e.filter("event_id % 5 = 0").select(F.col("user_id").alias("slide"), F.col("event_id").alias("c"), (F.col("event_id") % 30).alias("first_word"), (F.col("event_id") % 30 + F.col("event_id") % 4).alias("last_word"))
+    c = e.select(F.col("user_id").alias("slide"), F.col("event_id").alias("c"), (F.col("event_id") % 30).alias("first_word"), (F.col("event_id") % 30 + F.col("event_id") % 4).alias("last_word"))
     return spans.spans_to_time(c, w).select("slide", "c", "t0", "t1")
 
 
@@ -139,11 +139,10 @@ def report_exists(spark, sf_dir):
     return spans.report_exists(a, "source", "toxic").withColumn("cited", F.array_join(F.col("cited").cast("array<string>"), ","))
 
 
-@query("""WITH a AS (SELECT user_id, CASE WHEN event_type || event_id % 9 LIKE '%view0%' THEN 'Nonfocal' WHEN event_type || event_id % 9 LIKE '%view%' THEN 'Focal' END AS a FROM events WHERE event_id % 40 = 0)
-SELECT user_id, CASE WHEN count(DISTINCT a) = 0 THEN 'Not specified' WHEN count(DISTINCT a) = 1 THEN min(a) ELSE 'Cannot be determined' END AS answer FROM a GROUP BY 1""")
+@query("""WITH a AS (SELECT o_custkey, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'Nonfocal' WHEN o_orderpriority LIKE '%HIGH%' THEN 'Focal' END AS a FROM orders)
+SELECT o_custkey, CASE WHEN count(DISTINCT a) = 0 THEN 'Not specified' WHEN count(DISTINCT a) = 1 THEN min(a) ELSE 'Cannot be determined' END AS answer FROM a GROUP BY 1""")
 def report_classify(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 40 = 0").select("user_id", F.concat("event_type", (F.col("event_id") % 9).cast("string")).alias("name"))
-    return spans.report_classify(e, "user_id", "name", [("view0", "Nonfocal"), ("view", "Focal")])
+    return spans.report_classify(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", [("urgent", "Nonfocal"), ("high", "Focal")])
 
 
 @query("""WITH a AS (SELECT c_custkey AS k, c_mktsegment AS given FROM customer) SELECT k, 'size' AS question FROM a UNION ALL SELECT k, 'engine' FROM a WHERE given = 'MACHINERY' UNION ALL SELECT k, 'house' FROM a WHERE given = 'HOUSEHOLD'""")
@@ -153,10 +152,12 @@ def report_applicable(spark, sf_dir):
     return spans.report_applicable(q, a, "k")
 
 
-@query("""WITH a AS (SELECT user_id AS slide, event_id AS anno_id FROM events), d AS (SELECT user_id AS slide, event_id AS anno_id FROM events WHERE event_id % 3 = 0) SELECT slide, anno_id FROM a WHERE (slide, anno_id) NOT IN (SELECT slide, anno_id FROM d)""")
+@query("""WITH a AS (SELECT user_id AS slide, event_id AS anno_id FROM events), d AS (SELECT user_id AS slide, event_id AS anno_id FROM events WHERE event_type = 'error') SELECT slide, anno_id FROM a WHERE (slide, anno_id) NOT IN (SELECT slide, anno_id FROM d)""")
 def annotation_delete(spark, sf_dir):
-    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("slide"), F.col("event_id").alias("anno_id"))
-    return spans.delete_annotation(a, a, a.filter("anno_id % 3 = 0"))[0]
+    e = table(spark, sf_dir, "events")
+    a = e.select(F.col("user_id").alias("slide"), F.col("event_id").alias("anno_id"))
+    doomed = e.filter("event_type = 'error'").select(F.col("user_id").alias("slide"), F.col("event_id").alias("anno_id"))
+    return spans.delete_annotation(a, a, doomed)[0]
 
 
 @query("""WITH e AS (SELECT s_nationkey AS slide, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS anno_id, s_name AS name FROM supplier),
