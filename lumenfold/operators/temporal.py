@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def dilate_dark(frames: DataFrame, dark: str, order: str, reach: int = 3, by: list[str] | None = None) -> DataFrame:
-    """``valid``: no dark frame within ``reach`` index steps. By RANGE, so gaps in the index are gaps."""
-    w = Window.partitionBy(*(by or [])).orderBy(order).rangeBetween(-reach, reach)
-    return frames.withColumn("valid", F.max(F.col(dark).cast("int")).over(w) == 0)
+    """``valid``: no dark frame within ``reach`` index steps, so gaps in the index are gaps.
+
+    Dark frames are few: each marks the indexes around it and frames are joined to the marks, so one long
+    capture is not one window.
+    """
+    by = by or []
+    marks = F.explode(F.sequence(F.col(order) - reach, F.col(order) + reach))
+    hit = frames.filter(F.col(dark)).select(*by, marks.alias(order)).distinct().withColumn("_hit", F.lit(True))
+    return frames.join(hit, [*by, order], "left").withColumn("valid", F.col("_hit").isNull()).drop("_hit")
 
 
 def navigation_paths(frames: DataFrame, by: str, order: list[str], mag: str, skip: Column | None = None) -> DataFrame:
