@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, vocabulary_path
 from .words import tidy
 
 #: Words kept with their counts in one worker; the cache starts anew when full.
@@ -143,9 +143,7 @@ def counter(path: str) -> MergeCounter:
 
 @tidy
 def _count(batches, vocabulary: str):
-    import public_tokenizers
-
-    count = counter(public_tokenizers.path(vocabulary)).count
+    count = counter(vocabulary_path(vocabulary)).count
     for batch in batches:
         text = batch.column(1)
         size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())

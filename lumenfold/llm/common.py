@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def vocabulary_path(vocabulary: str) -> str:
+    """A tokenizer file's place on this machine: a path as it is, or the name of one of the public files."""
+    if os.path.isabs(vocabulary):
+        return vocabulary
+    import public_tokenizers
+
+    return public_tokenizers.path(vocabulary)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written in decimal, modulo ``modulus``; a null id falls in fold 0 (held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))

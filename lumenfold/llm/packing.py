@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, vocabulary_path
 from .words import tidy
 
 BLOCK_TOKENS = 2_000_000
@@ -126,9 +126,7 @@ def pack_lengths(lengths: np.ndarray, size: int, linear: float = 1.0, quadratic:
 
 @tidy
 def _pack(batches, vocabulary: str, end_id: int, size: int, with_ids: bool):
-    import public_tokenizers
-
-    encode = encoder(public_tokenizers.path(vocabulary))
+    encode = encoder(vocabulary_path(vocabulary))
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     keys: list = []
