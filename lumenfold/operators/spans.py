@@ -25,8 +25,11 @@ def evidence_exact(documents: DataFrame, passages: DataFrame) -> DataFrame:
     p_key = long.withColumn("key", F.xxhash64(F.slice("w", 2, k - 1))).drop("w")
     words = d.withColumn("w", F.split("text", " ")).withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 2), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, k - 1)))))).select("doc_id", "key")
     hits = words.join(p_key, "key").select("doc_id", "item_id", "needle").distinct().join(d, "doc_id")
-    few = d.join(short.drop("w"), F.expr("instr(text, needle) > 0")).select("doc_id", "item_id", "needle", "text")
-    both = hits.select("doc_id", "item_id", "needle", "text").union(few).withColumn("at", F.instr("text", F.col("needle"))).filter("at > 0")
+    both = hits.select("doc_id", "item_id", "needle", "text")
+    if short.limit(1).count():  # too short for a key: compared with every text
+        few = d.join(F.broadcast(short.drop("w")), F.expr("instr(text, needle) > 0")).select("doc_id", "item_id", "needle", "text")
+        both = both.union(few)
+    both = both.withColumn("at", F.instr("text", F.col("needle"))).filter("at > 0")
     first = t.word_index(F.col("text"), F.col("at") - 1)
     return both.select("doc_id", "item_id", first.alias("first_word"), (first + F.length("needle") - F.length(F.replace("needle", F.lit(" "), F.lit("")))).alias("last_word"))
 

@@ -230,3 +230,10 @@ def test_refused_merge(spark):
     m = spark.createDataFrame([(0, 1, 2, 1, 1, 1.0), (0, 2, 1, 1, 2, 2.0), (0, 2, 3, 1, 1, 3.0)], "grp int, src long, dst long, src_kp long, dst_kp long, dist double")
     got = {(r.frame, r.kp): r.track for r in frames.refusing_tracks(m, "grp").collect()}
     assert got[1, 1] == got[2, 1] == got[3, 1] != got[1, 2]
+
+
+def test_short_and_long_passages(spark):
+    d = spark.createDataFrame([(1, "the quick  Brown fox jumps over it"), (2, None), (3, "")], "doc_id long, text string")
+    p = spark.createDataFrame([(1, "brown fox"), (2, "quick brown fox jumps over IT"), (3, "over the"), (4, ""), (5, None)], "item_id long, text string")
+    assert rows(spans.evidence_exact(d, p)) == [(1, 1, 2, 3), (1, 2, 1, 6)]
+    assert rows(spans.evidence_tokens(d, p)) == [(1, 1, 2, 3), (1, 2, 1, 6)]
