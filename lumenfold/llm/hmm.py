@@ -335,7 +335,7 @@ def score_corpus(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", tex
 def _trained(train: DataFrame, states: int) -> Model:
     """Baum-Welch over all rows of ``train``."""
     spark = train.sparkSession
-    picked = sorted(bounded_sample(train.select("cls", "row"), "row", START_DOCS).collect(), key=lambda r: r["row"])
+    picked = sorted(bounded_sample(train.select("doc_id", "cls"), "doc_id", START_DOCS).collect())  # by id, so any partitioning starts alike
     model = start_model([np.frombuffer(r["cls"], "<u2") for r in picked], states)
     names = [f"s{j}" for j in range(states)]
     for _ in range(ROUNDS):
