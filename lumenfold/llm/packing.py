@@ -2,8 +2,8 @@
 
 A piece of L tokens costs ``linear * L + quadratic * L * L``: attention inside a piece is quadratic,
 everything else linear. Documents are cut into full sequences first; what is left of each is assigned
-in descending order to the sequence of lowest cost that still has room for it. A piece that fits nowhere
-is cut to fill the roomiest sequences. The tokens of a block that do not fill whole sequences go into
+in descending order to the sequence of lowest cost that still has room for it, among all of the block. A
+piece for which none has room is cut to fill the roomiest sequences. The tokens of a block that do not fill whole sequences go into
 sequences whose lengths are powers of two, which need no padding.
 
 A block is up to ``BLOCK_TOKENS`` tokens of consecutive documents of one partition, so packing needs no
@@ -89,26 +89,27 @@ def pack_lengths(lengths: np.ndarray, size: int, linear: float = 1.0, quadratic:
     # the tail's sequences: one for each power of two in it, never opened for balance
     tails = [1 << b for b in range(tail.bit_length() - 1, -1, -1) if tail >> b & 1]
     room += tails
+    # lengths descend, so a sequence with room for one document has room for all that follow: those are in
+    # ``heap`` by cost, and the others wait in ``parked``, the roomiest first, until the lengths come down to them
     heap = [(0.0, b) for b in range(bins)]
+    parked: list[tuple[int, int, float]] = []
     out: list[tuple[int, int, int, int]] = []
     left: list[tuple[int, int, int]] = []
     for d in order:
-        n, put = int(rest[d]), []
-        while heap:
-            c, b = heapq.heappop(heap)
-            if room[b] >= n:
-                out.append((d, int(whole[d]) * size, n, b))
-                room[b] -= n
-                if room[b]:
-                    heapq.heappush(heap, (c + cost(n), b))
-                break
-            put.append((c, b))
-            if len(put) >= 64:  # sequences of low cost are roomy: past these, cut instead of searching on
-                break
-        if not out or out[-1][0] != d:
+        n = int(rest[d])
+        while parked and -parked[0][0] >= n:
+            _, b, c = heapq.heappop(parked)
+            heapq.heappush(heap, (c, b))
+        if not heap:
             left.append((d, int(whole[d]) * size, n))
-        for x in put:
-            heapq.heappush(heap, x)
+            continue
+        c, b = heapq.heappop(heap)
+        out.append((d, int(whole[d]) * size, n, b))
+        room[b] -= n
+        if room[b] >= n:
+            heapq.heappush(heap, (c + cost(n), b))
+        elif room[b]:
+            heapq.heappush(parked, (-room[b], b, c + cost(n)))
     free = [b for b in sorted(range(len(room)), key=lambda b: (-room[b], b)) if room[b]]
     at = 0
     for d, s, n in left:

@@ -213,6 +213,26 @@ def test_pack_lengths_balances_cost():
     assert share > 0
 
 
+def test_only_what_fits_nowhere_is_cut():
+    """Every remainder stands whole in the sequence a scan over all of them picks; the others are cut."""
+    lengths = np.random.default_rng(0).lognormal(6, 1, 3000).astype(int) + 1
+    doc, start, length, seq = packing.pack_lengths(lengths, 2048)
+    rest = lengths % 2048
+    base, bins = int((lengths // 2048).sum()), int(rest.sum()) // 2048
+    room, cost, want = np.full(bins, 2048), np.zeros(bins), {}
+    for d in np.argsort(-rest, kind="stable"):
+        if rest[d] and (room >= rest[d]).any():
+            b = int(np.where(room >= rest[d], cost, np.inf).argmin())
+            want[int(d)] = base + b
+            room[b] -= rest[d]
+            cost[b] += rest[d] + rest[d] ** 2 / 1024
+    whole = (start == lengths[doc] - rest[doc]) & (length == rest[doc]) & (seq < base + bins)
+    got = dict(zip(doc[whole].tolist(), seq[whole].tolist()))
+    assert {d: got.get(d) for d in want} == want
+    parts = np.bincount(doc[seq >= base], minlength=len(lengths))
+    assert set(np.flatnonzero(parts > 1).tolist()) <= set(np.flatnonzero(rest).tolist()) - set(want)
+
+
 # --- mixing ---------------------------------------------------------------------------------------------
 
 
