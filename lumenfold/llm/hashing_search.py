@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut, table
-from .multi_index import _prepared, doubles
+from .multi_index import doubles, usable
 from .words import tidy
 
 SAMPLE, ROTATIONS, ROUNDS = 10_000, 2, 15
@@ -150,19 +150,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, id_
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row, by Euclidean distance.
 
     ``is_query`` is a condition on ``id_col``. Null ids, and vectors that are null, empty, zero, of another
-    length than the first usable one's, or hold null or non-finite components take no part. A row is not
+    length than most usable ones, or hold null or non-finite components take no part. A row is not
     its own neighbour, nor is any other row of its id; an id that repeats counts once, at its nearest. A
     query id with several vectors asks with the smallest of them, byte by byte. Other columns are ignored.
     No queries give no rows.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    usable = vectors.filter(F.size("v") > 0).select(F.size("v").alias("d")).limit(1).collect()
     kind = "query_id long, rank int, vec_id long, score double"
-    if not usable:
-        return spark.createDataFrame([], kind)
-    dim = usable[0]["d"]
-    good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=dim), "vec_id long, raw binary"))
+    good, dim = usable(vectors)
     asks = good.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("raw").alias("raw"))
     n, q = good.count(), asks.count()
     picked = sorted(r["raw"] for r in bounded_sample(good, "vec_id", SAMPLE).select("raw").collect())

@@ -86,14 +86,17 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int =
     return index
 
 
-def _floats(column) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as float64, zero where unusable, and which are usable (finite, not zero, of the common length)."""
+def _floats(column):
+    """Usable rows (finite, not zero, no null components) of a list column, each judged by itself: (positions, float64 vectors) by length."""
     rows = column.to_pylist()
-    dim = max((len(r) for r in rows if r), default=0)
-    ok = np.array([bool(r) and len(r) == dim and None not in r for r in rows], bool)
-    x = np.array([r if o else [0.0] * dim for r, o in zip(rows, ok)], np.float64).reshape(len(rows), dim)
-    ok &= np.isfinite(x).all(axis=1) & (np.abs(x) > 0).any(axis=1)
-    return np.where(ok[:, None], x, 0.0), ok
+    by_length: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        if r and None not in r:
+            by_length.setdefault(len(r), []).append(i)
+    for places in by_length.values():
+        x = np.array([rows[i] for i in places], np.float64)
+        ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        yield np.array(places)[ok], x[ok]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -103,19 +106,28 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 @tidy
-def _prepared(batches, dim: int):
-    """Usable vectors as bytes: single precision where that loses nothing, double otherwise. Equal vectors have equal bytes."""
+def _prepared(batches):
+    """Usable vectors as bytes, with their length: single precision where that loses nothing, double otherwise. Equal vectors have equal bytes."""
     for batch in batches:
-        x, ok = _floats(batch.column(1))
-        if x.shape[1] != dim:
-            ok &= False
-            x = np.zeros((len(ok), dim))
-        keep = np.flatnonzero(ok)
-        x = x + 0.0  # no negative zeros
-        with np.errstate(over="ignore"):
-            short = x.astype(np.float32)
-        exact = (short == x).all(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([(short if exact[i] else x)[i].tobytes() for i in keep], pa.binary())], ["vec_id", "raw"])
+        keep, raw, dims = [], [], []
+        for places, x in _floats(batch.column(1)):
+            x = x + 0.0  # no negative zeros
+            with np.errstate(over="ignore"):
+                short = x.astype(np.float32)
+            exact = (short == x).all(axis=1)
+            keep += places.tolist()
+            raw += [(short if e else x)[i].tobytes() for i, e in enumerate(exact)]
+            dims += [x.shape[1]] * len(x)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "raw", "dim"])
+
+
+def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(vec_id, raw) of the rows of (vec_id, v) that take part, and their length: the most frequent one among
+    usable vectors with an id, the smallest of equally frequent ones. The length is 0 where there are none."""
+    good = cut(vectors.filter("vec_id is not null").mapInArrow(_prepared, "vec_id long, raw binary, dim int"))
+    common = good.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim = common["dim"] if common else 0
+    return good.filter(F.col("dim") == dim).drop("dim"), dim
 
 
 def doubles(raw: list[bytes], dim: int) -> np.ndarray:
@@ -201,18 +213,14 @@ def _linked(batches, cosine: float, dim: int):
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
-    Vectors that are null, empty, zero, of another length than the first usable one's, or hold null or
+    Vectors that are null, empty, zero, of another length than most usable ones, or hold null or
     non-finite components link with nothing. Rows that repeat an id are vectors of their own that share
     it. A null id links with nothing and is kept. Equal vectors link whatever the index does. Other
     columns are ignored. No rows give no rows.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    usable = vectors.filter(F.size("v") > 0).select(F.size("v").alias("d")).limit(1).collect()
-    if not usable:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = usable[0]["d"]
-    good = cut(vectors.filter("vec_id is not null").mapInArrow(functools.partial(_prepared, dim=dim), "vec_id long, raw binary"))
+    good, dim = usable(vectors)
     classes = cut(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
     rows = classes.count()
     picked = sorted(r["raw"] for r in bounded_sample(classes, "rep", SAMPLE).select("raw").collect())

@@ -65,6 +65,20 @@ def test_no_vectors(vectors, spark):
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in multi_index.near_vectors(bad).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_odd_lengths_harm_no_other_row(spark):
+    """A longer, a shorter and a zero row stand first in one batch; proper rows answer as they do without them."""
+    good = [(i, v) for i, v in vector_rows() if i is not None and i < 300]
+    odd = [(400, [0.0] * 3), (401, [1.0, None]), (402, [1.0] * 9), (403, [1.0] * 7), (404, [1.0] * 7), (405, [float("nan")] * 5)]
+    kind = "vec_id long, embedding array<float>"
+    alone, mixed = (spark.createDataFrame(rows, kind).coalesce(1) for rows in (good, odd + good))
+    links = lambda df: {r.vec_id: (r.n_links, r.component_id, r.kept) for r in multi_index.near_vectors(df).collect()}
+    want = links(alone)
+    assert any(n for n, _, _ in want.values())
+    assert links(mixed) == want | {i: (0, i, True) for i, _ in odd}
+    found = lambda df: sorted(map(tuple, hashing_search.nearest(df, lambda i: (i % 20 == 0) | (i > 400), k=5, recall=1.0).collect()))
+    assert found(alone) and found(mixed) == found(alone)
+
+
 def test_visits_come_nearest_first():
     rng = np.random.default_rng(0)
     x = multi_index.unit(rng.standard_normal((50, 8)))
