@@ -7,8 +7,10 @@ visiting all values that near a query's substrings retrieves every code within r
 are filtered by their whole Hamming distance and reranked on the original floats.
 
 The radius is the one at which sample queries reach ``recall`` among the sample; true neighbours in the
-whole table are nearer than those in the sample, so there it can only be higher. A query that finds fewer
-than k in a shard widens its radius there to the k-th nearest code.
+whole table are nearer than those in the sample, so there it can only be higher. The sample is of distinct
+vectors, and both a random draw of queries and one spread over the codes must reach the recall: else groups
+of near copies would set the radius, too small for all other queries. A query that finds fewer than k in a
+shard widens its radius there to the k-th nearest code.
 
 Rows are dealt into shards by their id, queries into blocks; each (shard, block) is one bounded piece of
 work, and only k rows a query leave it.
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, table
+from .common import table
 from .multi_index import doubles, usable
 from .words import tidy
 
-SAMPLE, ROTATIONS, ROUNDS = 10_000, 2, 15
+SAMPLE, DRAWN, ROTATIONS, ROUNDS = 10_000, 500, 2, 15
 SHARD, QUERIES = 16_384, 1024
 SUB = 16
 
@@ -49,6 +51,15 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
+def spread(code: np.ndarray, most: int, gap: int) -> list[int]:
+    """Rows picked farthest first, at most ``most``, until every other one is within ``gap`` bits of a pick."""
+    picks, far = [0], hamming(code, code[0])
+    while len(picks) < most and far.max() > gap:
+        picks.append(int(far.argmax()))
+        far = np.minimum(far, hamming(code, code[picks[-1]]))
+    return picks
+
+
 def fit(x: np.ndarray, k: int, recall: float, seed: int = 7) -> Codes:
     """Rotations and radius from a bounded sample of vectors."""
     rng = np.random.default_rng(seed)
@@ -66,13 +77,15 @@ def fit(x: np.ndarray, k: int, recall: float, seed: int = 7) -> Codes:
     n = len(x)
     if n > k + 1:
         code = codes(x)
-        reach = []
-        for i in rng.choice(n, min(500, n), replace=False):
-            d = ((x - x[i]) ** 2).sum(axis=1)
-            d[i] = np.inf
-            near = np.argpartition(d, k)[:k]
-            reach.append(hamming(code[near], code[i]))
-        codes.radius = int(np.quantile(np.concatenate(reach), recall, method="higher"))
+        codes.radius = 0
+        for drawn in (rng.choice(n, min(DRAWN, n), replace=False), spread(code, DRAWN, dim * ROTATIONS // 8)):
+            reach = []
+            for i in drawn:
+                d = ((x - x[i]) ** 2).sum(axis=1)
+                d[i] = np.inf
+                near = np.argpartition(d, k)[:k]
+                reach.append(hamming(code[near], code[i]))
+            codes.radius = max(codes.radius, int(np.quantile(np.concatenate(reach), recall, method="higher")))
     return codes
 
 
@@ -146,6 +159,14 @@ def _searched(batches, codes, k: int, dim: int):
         yield done()
 
 
+def distinct_sample(good: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct vectors, picked by a hash of their bytes; a hash a row and the sample are all that moves."""
+    n = good.select(F.xxhash64("raw").alias("h")).distinct().count()
+    if n > most:
+        good = good.filter(F.pmod(F.xxhash64("raw", F.lit(1)), F.lit(1 << 40)) < int(0.9 * most / n * (1 << 40)))
+    return good.select("raw").distinct().limit(most)
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row, by Euclidean distance.
 
@@ -161,7 +182,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, id_
     good, dim = usable(vectors)
     asks = good.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("raw").alias("raw"))
     n, q = good.count(), asks.count()
-    picked = sorted(r["raw"] for r in bounded_sample(good, "vec_id", SAMPLE).select("raw").collect())
+    picked = sorted(r["raw"] for r in distinct_sample(good, SAMPLE).collect())
     if not picked or not q:
         return spark.createDataFrame([], kind)
     codes = fit(doubles(picked, dim), k, recall)

@@ -129,6 +129,31 @@ def test_search_with_few_rows(spark, vectors):
     assert hashing_search.nearest(vectors, lambda i: i == -5).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.02])
+def test_copies_do_not_narrow_the_search(noise):
+    """Queries that are not copies reach the recall among 98 % (near) copies."""
+    rng = np.random.default_rng(0)
+    groups = multi_index.unit(rng.standard_normal((5, 64)))
+    x = np.concatenate([multi_index.unit(rng.standard_normal((100, 64))), groups[np.arange(4900) % 5] + noise * rng.standard_normal((4900, 64))])
+    codes = hashing_search.fit(x, 5, 0.97)
+    shard = hashing_search.Shard(np.arange(len(x)), x, codes)
+    hits = 0
+    for i in range(100):
+        score = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        score[i] = np.inf
+        _, mine = shard.search(i, x[i], shard.code[i], 5)
+        hits += int((mine <= np.sort(score)[4] + 1e-9).sum())
+    assert hits / 500 >= 0.9
+
+
+def test_sample_is_of_distinct_vectors(spark):
+    rows = [(i, b"same") for i in range(500)] + [(1000 + i, b"v%d" % i) for i in range(100)]
+    good = spark.createDataFrame(rows, "vec_id long, raw binary")
+    assert sorted(bytes(r.raw) for r in hashing_search.distinct_sample(good, 500).collect()) == sorted({bytes(v) for _, v in rows})
+    some = [bytes(r.raw) for r in hashing_search.distinct_sample(good, 50).collect()]
+    assert 20 <= len(some) <= 50 and len(set(some)) == len(some)
+
+
 def test_pigeonhole_finds_every_code():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((500, 16))
