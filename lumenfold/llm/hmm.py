@@ -10,7 +10,7 @@ Passes over the data:
 1. word counts of the training texts, aggregated by a 64-bit hash of the word;
 2. texts written as class ids, with the sums that need only frequent words (``KNOWN`` of them are sent
    to the tasks, a fixed number); rarer words are joined to their counts by a shuffle on the hash;
-3. ``ROUNDS`` Baum-Welch rounds over all training texts: each task returns expected counts, summed by
+3. Baum-Welch rounds over all training texts until one gains less than ``GAIN``, or ``ROUNDS``: each task returns expected counts, summed by
    class across tasks. Only the starting point comes from a bounded sample (``START_DOCS`` texts,
    clustered, then a few rounds of the same training);
 4. the forward recursion over every text.
@@ -30,7 +30,9 @@ from .common import bounded_sample, cut, fold, small_batches, table, threshold
 from .words import hash_words, _LOWER, mix, pieces, tidy, utf8, word_spans
 
 TOP, SHAPES, KNOWN = 32_768, 4096, 131_072
-STATES, ROUNDS, START_DOCS, START_ROUNDS = 8, 2, 1000, 4
+STATES, START_DOCS, START_ROUNDS = 8, 1000, 4
+#: Training over the corpus ends when a round gains less than GAIN in log10 likelihood a token, or after ROUNDS.
+ROUNDS, GAIN = 12, 0.001
 ADD = 0.1
 #: Tokens whose forward and backward values are held at once.
 HELD = 400_000
@@ -210,11 +212,17 @@ def log10_likelihood(model: Model, docs: list[np.ndarray]) -> np.ndarray:
 
 def expected_counts(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One E step: expected starts, moves and emissions."""
-    k = len(model.start)
+    return e_step(model, docs)[:3]
+
+
+def e_step(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions, and the log10 likelihood of ``docs`` under ``model``."""
+    k, log = len(model.start), 0.0
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
     for group in groups(docs):
         cls, begin, _ = lockstep([docs[i] for i in group])
         scale, alpha = forward(model, cls, begin, True)
+        log += float(np.log10(scale).sum())
         seen = model.emit[cls] / scale[:, None]
         beta = np.ones((len(cls), k))
         for t in range(len(begin) - 3, -1, -1):
@@ -232,7 +240,7 @@ def expected_counts(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, n
         start += alpha[begin[0] : begin[1]].sum(axis=0)
         for j in range(k):
             emit[:, j] += np.bincount(cls, weights=alpha[:, j], minlength=CLASSES)
-    return start, move * model.move, emit
+    return start, move * model.move, emit, log
 
 
 @tidy
@@ -241,14 +249,14 @@ def _expect(batches, model):
     for batch in batches:
         docs = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(0)]
         if docs:
-            got = expected_counts(model.value, docs)
+            got = e_step(model.value, docs)
             total = got if total is None else tuple(a + b for a, b in zip(total, got))
     if total is None:
         return
-    start, move, emit = total
+    start, move, emit, log = total
     rows = np.flatnonzero(emit.sum(axis=1) > 0)
-    key = np.concatenate([rows, CLASSES + np.arange(len(move)), [CLASSES + len(move)]])
-    value = np.concatenate([emit[rows], move, start[None, :]])
+    key = np.concatenate([rows, CLASSES + np.arange(len(move) + 2)])
+    value = np.concatenate([emit[rows], move, start[None, :], np.full((1, len(move)), log)])
     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), *[pa.array(value[:, j]) for j in range(value.shape[1])]], ["key", *[f"s{j}" for j in range(value.shape[1])]])
 
 
@@ -333,19 +341,24 @@ def score_corpus(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", tex
 
 
 def _trained(train: DataFrame, states: int) -> Model:
-    """Baum-Welch over all rows of ``train``."""
+    """Baum-Welch over all rows of ``train``, until a round gains less than ``GAIN`` a token, at most ``ROUNDS`` times."""
     spark = train.sparkSession
     picked = sorted(bounded_sample(train.select("doc_id", "cls"), "doc_id", START_DOCS).collect())  # by id, so any partitioning starts alike
     model = start_model([np.frombuffer(r["cls"], "<u2") for r in picked], states)
     names = [f"s{j}" for j in range(states)]
+    last = -np.inf
     for _ in range(ROUNDS):
         rows = train.select("cls").mapInArrow(functools.partial(_expect, model=spark.sparkContext.broadcast(model)), "key int, " + ", ".join(f"{n} double" for n in names))
         got = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
         if not len(got):
             break
-        value = np.zeros((CLASSES + states + 1, states))
+        value = np.zeros((CLASSES + states + 2, states))
         value[got["key"]] = got[names]
-        model = Model.from_counts(value[-1], value[CLASSES:-1], value[:CLASSES])
+        model = Model.from_counts(value[-2], value[CLASSES:-2], value[:CLASSES])
+        now = value[-1, 0] / value[:CLASSES].sum()  # of the model that went into this round
+        if now - last < GAIN:
+            break
+        last = now
     return model
 
 

@@ -319,6 +319,23 @@ def test_training_raises_the_likelihood():
         last = now
 
 
+def test_training_ends_when_it_gains_no_more(spark, monkeypatch):
+    """One more round over the training texts gains next to nothing, however poor the start."""
+    monkeypatch.setattr(hmm, "START_DOCS", 4)
+    rng = np.random.default_rng(0)
+    docs = []
+    for _ in range(200):
+        state, d = int(rng.integers(3)), []
+        for _ in range(40):
+            state = state if rng.random() < 0.9 else int(rng.integers(3))
+            d.append(int(rng.integers(10 * state, 10 * state + 15)))
+        docs.append(np.array(d))
+    rows = [(i, bytearray(d.astype("<u2").tobytes())) for i, d in enumerate(docs)]
+    model = hmm._trained(spark.createDataFrame(rows, "doc_id long, cls binary"), 3)
+    per = lambda m: hmm.log10_likelihood(m, docs).sum() / 8000
+    assert per(hmm.Model.from_counts(*hmm.expected_counts(model, docs))) - per(model) < 0.001
+
+
 def test_score_corpus(odd):
     rows = odd_rows()
     got = hmm.score_corpus(odd).collect()
