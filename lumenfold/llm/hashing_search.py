@@ -1,10 +1,11 @@
 """Nearest neighbours by multi-index hashing.
 
 Codes: vectors are centred and turned by ``ROTATIONS`` learned rotations (iterative quantisation, fitted
-on a bounded sample); signs are bits. A code is split into 16-bit substrings, each indexed by its value.
-If two codes differ in at most r of their bits, some substring differs in at most r // m of its own, so
-visiting all values that near a query's substrings retrieves every code within radius r. Retrieved codes
-are filtered by their whole Hamming distance and reranked on the original floats.
+on a bounded sample); signs are bits. A code is split into m 16-bit substrings, each indexed by its value.
+If two codes differ in at most r = s * m + a bits (a < m), then one of the first a + 1 substrings differs in
+at most s of its own, or one of the others in at most s - 1. Visiting all values that near a query's
+substrings retrieves every code within radius r. Retrieved codes are filtered by their whole Hamming
+distance and reranked on the original floats.
 
 The radius is the one at which sample queries reach ``recall`` among the sample; true neighbours in the
 whole table are nearer than those in the sample, so there it can only be higher. The sample is of distinct
@@ -12,8 +13,8 @@ vectors, and both a random draw of queries and one spread over the codes must re
 of near copies would set the radius, too small for all other queries. A query that finds fewer than k in a
 shard widens its radius there to the k-th nearest code.
 
-Rows are dealt into shards by their id, queries into blocks; each (shard, block) is one bounded piece of
-work, and only k rows a query leave it.
+Rows are dealt into shards, each row into one. A task builds a shard's tables once and streams all queries
+through them; only k rows a query leave it. So a row moves once, and a query once a shard.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from .multi_index import doubles, usable
 from .words import tidy
 
 SAMPLE, DRAWN, ROTATIONS, ROUNDS = 10_000, 500, 2, 15
-SHARD, QUERIES = 16_384, 1024
+#: Rows of a shard: a 64th of all, but no less and no more than this.
+SHARD_LEAST, SHARD = 8192, 131_072
 SUB = 16
+#: All differences of a substring, by their number of bits, and how many have at most so many bits.
+_MASKS = np.argsort(np.bitwise_count(np.arange(1 << SUB, dtype=np.uint16)), kind="stable").astype(np.uint16)
+_UPTO = np.cumsum(np.bincount(np.bitwise_count(_MASKS), minlength=SUB + 1))
 
 
 class Codes:
@@ -90,73 +95,79 @@ def fit(x: np.ndarray, k: int, recall: float, seed: int = 7) -> Codes:
 
 
 class Shard:
-    """The substring tables of one shard."""
+    """The substring tables of one shard. ``rows`` tells its rows apart, ``ids`` need not."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes, rows: np.ndarray | None = None):
         self.ids, self.x, self.code, self.radius = ids, x, codes(x), codes.radius
+        self.rows = ids if rows is None else rows
         self.tables = []
         for j in range(self.code.shape[1]):
-            order = np.argsort(self.code[:, j], kind="stable")
-            values, first = np.unique(self.code[order, j], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
+            begin = np.concatenate([[0], np.cumsum(np.bincount(self.code[:, j], minlength=1 << SUB))])
+            self.tables.append((begin, np.argsort(self.code[:, j], kind="stable")))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code is within ``radius``, by the pigeonhole over substrings."""
-        near = radius // len(self.tables)
+        most, spare = divmod(radius, len(self.tables))
         hit = np.zeros(len(self.ids), bool)
-        for j, (values, first, order) in enumerate(self.tables):
-            for v in np.flatnonzero(np.bitwise_count(values ^ code[j]) <= near) if len(values) < 64 else ():
-                hit[order[first[v] : first[v + 1]]] = True
-            if len(values) >= 64:
-                taken = np.repeat(np.bitwise_count(values ^ code[j]) <= near, np.diff(first))
-                hit[order[taken]] = True
+        for j, (begin, order) in enumerate(self.tables):
+            near = min(most if j <= spare else most - 1, SUB)
+            if near < 0:
+                continue
+            value = (_MASKS[: _UPTO[near]] ^ code[j]).astype(np.int64)
+            first = begin[value]
+            size = begin[value + 1] - first
+            first, size = first[size > 0], size[size > 0]
+            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            hit[order[at]] = True
         rows = np.flatnonzero(hit)
         return rows[hamming(self.code[rows], code) <= radius]
 
     def search(self, own: int, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the ``k`` nearest rows retrieved, but for the row ``own``."""
         rows = self.within(code, self.radius)
-        rows = rows[self.ids[rows] != own]
+        rows = rows[self.rows[rows] != own]
         if len(rows) < k:
-            others = np.flatnonzero(self.ids != own)
+            others = np.flatnonzero(self.rows != own)
             if len(others) > k:
                 d = hamming(self.code[others], code)
                 others = others[d <= max(self.radius, int(np.partition(d, k - 1)[k - 1]))]
             rows = others
         score = np.sqrt(((self.x[rows] - q) ** 2).sum(axis=1))
-        order = np.lexsort((self.ids[rows], score))
-        ids, first = np.unique(self.ids[rows][order], return_index=True)  # an id that repeats counts once, at its nearest
-        best = order[np.sort(first)][:k]
+        best = np.lexsort((self.ids[rows], score))[:k]
         return self.ids[rows][best], score[best]
 
 
 @tidy
 def _searched(batches, codes, k: int, dim: int):
-    """Rows sorted by (shard, blk, ask), the shard's rows first."""
-    key, held = None, []
-
-    def done():
-        rows, asks = [r for r in held if not r[2]], [r for r in held if r[2]]
-        out = ([], [], [])
-        if rows and asks:
-            x, q = doubles([r[1] for r in rows], dim), doubles([r[1] for r in asks], dim)
-            shard = Shard(np.array([r[0] for r in rows], np.int64), x, codes.value)
-            for (own, *_), v, code in zip(asks, q, codes.value(q)):
-                ids, score = shard.search(own, v, code, k)
-                out[0].extend([own] * len(ids))
-                out[1].extend(ids.tolist())
-                out[2].extend(score.tolist())
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+    """Rows sorted by (shard, ask): a shard's own rows, held until its queries come, then those as they come."""
+    key, held, shard = None, [], None
+
+    def answers(asks):
+        out = ([], [], [], [])
+        q = doubles([r[1] for r in asks], dim)
+        for (own, _, row), v, code in zip(asks, q, codes.value(q)):
+            ids, score = shard.search(row, v, code, k)
+            for c, x in zip(out, ([row] * len(ids), [own] * len(ids), ids.tolist(), score.tolist())):
+                c.extend(x)
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.float64())], ["ask_row", "query_id", "vec_id", "score"])
 
     for batch in batches:
         c = batch.to_pydict()
-        for *k_, vec, raw, ask in zip(c["shard"], c["blk"], c["vec_id"], c["raw"], c["ask"]):
-            if k_ != key:
-                if held:
-                    yield done()
-                key, held = k_, []
-            held.append((vec, raw, ask))
-    if held:
-        yield done()
+        asks: list = []
+        for shard_key, ask, *row in zip(c["shard"], c["ask"], c["vec_id"], c["raw"], c["rid"]):
+            if shard_key != key:
+                if asks and shard:
+                    yield answers(asks)
+                key, held, shard, asks = shard_key, [], None, []
+            if not ask:
+                held.append(row)
+                continue
+            if held:
+                shard = Shard(np.array([r[0] for r in held], np.int64), doubles([r[1] for r in held], dim), codes.value, np.array([r[2] for r in held], np.int64))
+                held = []
+            asks.append(row)
+        if asks and shard:
+            yield answers(asks)
 
 
 def distinct_sample(good: DataFrame, most: int) -> DataFrame:
@@ -171,30 +182,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, id_
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row, by Euclidean distance.
 
     ``is_query`` is a condition on ``id_col``. Null ids, and vectors that are null, empty, zero, of another
-    length than most usable ones, or hold null or non-finite components take no part. A row is not
-    its own neighbour, nor is any other row of its id; an id that repeats counts once, at its nearest. A
-    query id with several vectors asks with the smallest of them, byte by byte. Other columns are ignored.
-    No queries give no rows.
+    length than most usable ones, or hold null or non-finite components take no part. A row is not its own
+    neighbour; other rows of its id are, and every row counts by itself. Each row of a query id that repeats
+    asks for itself, so its answers stand there as often. Ties go to the smaller ``vec_id``. Other columns are
+    ignored. No queries give no rows.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    kind = "query_id long, rank int, vec_id long, score double"
-    good, dim = usable(vectors)
-    asks = good.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("raw").alias("raw"))
-    n, q = good.count(), asks.count()
+    every, dim = usable(vectors)
+    good = every.filter("key is not null").select("vec_id", "raw", "rid")
+    asks = good.filter(is_query(F.col("vec_id")))
+    n = good.count()
     picked = sorted(r["raw"] for r in distinct_sample(good, SAMPLE).collect())
-    if not picked or not q:
-        return spark.createDataFrame([], kind)
+    if not picked or not asks.limit(1).count():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes = fit(doubles(picked, dim), k, recall)
-    shards, blocks = -(-n // SHARD), -(-q // QUERIES)
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    here = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(m)), F.lit(m)).cast("int")
-    rows = good.withColumn("shard", here(shards)).withColumn("blk", every(blocks)).withColumn("ask", F.lit(False))
-    asks = asks.withColumn("shard", every(shards)).withColumn("blk", here(blocks)).withColumn("ask", F.lit(True))
-    names = ["shard", "blk", "vec_id", "raw", "ask"]
-    dealt = rows.select(names).union(asks.select(names)).repartition(F.col("shard"), F.col("blk")).sortWithinPartitions("shard", "blk", "ask")
-    found = dealt.mapInArrow(functools.partial(_searched, codes=spark.sparkContext.broadcast(codes), k=k, dim=dim), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    shards = -(-n // min(SHARD, max(SHARD_LEAST, n // 64)))
+    rows = good.withColumn("shard", F.pmod(F.xxhash64("vec_id", "raw"), F.lit(shards)).cast("int")).withColumn("ask", F.lit(False))
+    asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("ask", F.lit(True))
+    names = ["shard", "ask", "vec_id", "raw", "rid"]
+    dealt = rows.select(names).union(asks.select(names)).repartition("shard").sortWithinPartitions("shard", "ask")
+    found = dealt.mapInArrow(functools.partial(_searched, codes=spark.sparkContext.broadcast(codes), k=k, dim=dim), "ask_row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("ask_row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,19 +1,23 @@
 """Near-duplicate vectors by an inverted multi-index.
 
-Unit vectors are cut in halves; each half has a codebook of ``K`` centres fitted on a bounded sample, and
-the product of the two is a grid of ``K * K`` cells. A vector lives in the cell of its nearest centres.
-To find its partners it visits cells in multi-sequence order: by the sum of its two halves' squared
-distances to the centres, smallest first. How many cells it visits is set by target recall: sample
-vectors are turned by exactly the threshold angle, and the fewest visits are taken at which ``recall``
-of these hardest pairs meet. Every pair that meets is verified on the whole vectors in double precision.
-
-Vectors that are equal are one row with a multiplicity. A crowded cell is dealt out in pairs of blocks.
-Tasks return link counts by vector and the links that join components, not pairs.
+Unit vectors are cut in halves; each half has a codebook fitted on a bounded sample, and the product of
+the two is a grid of cells. A vector lives in the cell of its nearest centres. To find its partners it
+visits cells in multi-sequence order, nearest first. A cell's distance is that from the vector to the
+cell's border: per half, squared distance to the plane between its own centre and the other one, summed
+over the halves. It visits every cell nearer than ``reach``, however many those are. ``reach`` is set by
+target recall: sample vectors are turned by exactly the threshold angle, and the smallest reach is taken
+at which ``recall`` of these hardest pairs meet. Every pair that meets is verified on the whole vectors
+in double precision.
+
+Vectors that are equal are one class with a multiplicity. A class travels once to each cell it visits, its
+own included. A crowded cell is dealt out in pairs of blocks. Tasks return link counts by class and the
+links that join components, not pairs.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 
 import numpy as np
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, connected_components, cut, table
 from .words import tidy
 
-#: Rows that fit the codebooks; centres of a half, at most; vectors a cell should hold; visits, at most.
-SAMPLE, CENTRES, CELL, VISITS = 20_000, 512, 1024, 64
-BLOCK = 1024
+#: Rows that fit the codebooks; centres of a half, at most; vectors a cell should hold.
+SAMPLE, CENTRES, CELL = 20_000, 512, 2048
+#: Vectors of a block of a crowded cell, and those compared at once.
+BLOCK, STEP = 8192, 512
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -44,27 +49,46 @@ def distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)[None, :], 0)
 
 
-class MultiIndex:
-    """Codebooks of the two halves, and the number of cells to visit."""
+def border(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to each centre's cell: to the plane halfway between it and the row's own centre."""
+    d = distances(x, centre)
+    own = d.argmin(axis=1)
+    apart = 2 * np.sqrt(distances(centre, centre))[own]
+    gap = d - d[np.arange(len(x)), own][:, None]
+    out = np.where(apart > 0, gap / np.where(apart > 0, apart, 1.0), 0.0) ** 2
+    out[np.arange(len(x)), own] = -1.0  # its own cell comes first even where another centre is as near
+    return out
+
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, visits: int):
-        self.first, self.second, self.visits = first, second, visits
+class MultiIndex:
+    """Codebooks of the two halves, and how far to reach."""
 
-    def visit(self, x: np.ndarray, visits: int | None = None) -> np.ndarray:
-        """Cells in multi-sequence order, one row a vector; the first is its own.
+    def __init__(self, first: np.ndarray, second: np.ndarray, reach: float):
+        self.first, self.second, self.reach = first, second, reach
 
-        The nearest ``v`` cells lie among the products i * j <= v of the halves' ranks, so only those
-        are formed and sorted.
-        """
-        v = min(visits or self.visits, len(self.first) * len(self.second))
+    def costs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.first.shape[1]
-        d1, d2 = distances(x[:, :half], self.first), distances(x[:, half:], self.second)
-        n1, n2 = np.argsort(d1, axis=1, kind="stable"), np.argsort(d2, axis=1, kind="stable")
-        ranks = [(i, j) for i in range(len(self.first)) for j in range(len(self.second)) if (i + 1) * (j + 1) <= v]
-        i, j = np.array(ranks).T
-        cost = np.take_along_axis(d1, n1[:, i], 1) + np.take_along_axis(d2, n2[:, j], 1)
-        best = np.argsort(cost, axis=1, kind="stable")[:, :v]
-        return (n1[np.arange(len(x))[:, None], i[best]] * len(self.second) + n2[np.arange(len(x))[:, None], j[best]]).astype(np.int32)
+        return border(x[:, :half], self.first), border(x[:, half:], self.second)
+
+    def visit(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells in multi-sequence order, those of all rows in one array, and where each row's begin; the first of a row is its own."""
+        c1, c2 = self.costs(x)
+        n1 = np.argsort(c1, axis=1, kind="stable")
+        c1 = np.take_along_axis(c1, n1, 1)
+        c2_, low = np.maximum(c2, 0.0), np.maximum(c1, 0.0)
+        rows, cells, cost, other = [], [], [], []
+        for i in range(c1.shape[1]):  # the i-th nearest centre of the first half, with all of the second that are near enough
+            some = np.flatnonzero(low[:, i] <= self.reach)
+            if not len(some):
+                break
+            r, j = np.nonzero(low[some, i][:, None] + c2_[some] <= self.reach)
+            rows.append(some[r])
+            cells.append(n1[some[r], i] * len(self.second) + j)
+            cost.append(low[some[r], i] + c2_[some[r], j])
+            other.append((c1[some[r], i] >= 0) | (c2[some[r], j] >= 0))
+        rows, cells, cost, other = (np.concatenate(v) for v in (rows, cells, cost, other))
+        order = np.lexsort((cells, cost, other, rows))
+        return cells[order].astype(np.int32), np.searchsorted(rows[order], np.arange(len(x) + 1))
 
 
 def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int = 3) -> MultiIndex:
@@ -72,17 +96,20 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int =
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
     k = int(min(CENTRES, max(1, math.ceil(math.sqrt(rows / CELL))), len(sample)))
-    index = MultiIndex(kmeans(sample[:, :half], k, rng), kmeans(sample[:, half:], k, rng), 1)
-    x = sample[rng.choice(len(sample), min(2000, len(sample)), replace=False)]
+    index = MultiIndex(kmeans(sample[:, :half], k, rng), kmeans(sample[:, half:], k, rng), 0.0)
+    x = sample[rng.choice(len(sample), min(5000, len(sample)), replace=False)]
     turn = rng.standard_normal(x.shape)
     turn -= (turn * x).sum(1)[:, None] * x
     turn /= np.maximum(np.linalg.norm(turn, axis=1), 1e-12)[:, None]
     y = cosine * x + math.sqrt(1 - cosine * cosine) * turn
-    most = min(VISITS, k * k)
-    vx, vy = index.visit(x, most), index.visit(y, most)
+
+    def needed(a, b):
+        """How far each row of ``a`` must reach to visit the cell of the same row of ``b``."""
+        (a1, a2), (b1, b2), at = index.costs(a), index.costs(b), np.arange(len(a))
+        return np.maximum(a1[at, b1.argmin(1)], 0.0) + np.maximum(a2[at, b2.argmin(1)], 0.0)
+
     # a pair meets if either one visits the other's cell
-    hit = np.minimum(np.where((vx == vy[:, :1]).any(1), (vx == vy[:, :1]).argmax(1), most), np.where((vy == vx[:, :1]).any(1), (vy == vx[:, :1]).argmax(1), most)) + 1
-    index.visits = int(next((v for v in range(1, most) if (hit <= v).mean() >= recall), most))
+    index.reach = float(np.quantile(np.minimum(needed(x, y), needed(y, x)), recall, method="higher"))
     return index
 
 
@@ -107,27 +134,33 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @tidy
 def _prepared(batches):
-    """Usable vectors as bytes, with their length: single precision where that loses nothing, double otherwise. Equal vectors have equal bytes."""
+    """Every row with its vector as bytes, a digest of them and its length; nulls where it is not usable.
+
+    Single precision where that loses nothing, double otherwise. Equal vectors have equal bytes.
+    """
     for batch in batches:
-        keep, raw, dims = [], [], []
+        raw, keys, dims = ([None] * batch.num_rows for _ in range(3))
         for places, x in _floats(batch.column(1)):
             x = x + 0.0  # no negative zeros
             with np.errstate(over="ignore"):
                 short = x.astype(np.float32)
             exact = (short == x).all(axis=1)
-            keep += places.tolist()
-            raw += [(short if e else x)[i].tobytes() for i, e in enumerate(exact)]
-            dims += [x.shape[1]] * len(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "raw", "dim"])
+            for i, (at, e) in enumerate(zip(places.tolist(), exact)):
+                raw[at] = (short if e else x)[i].tobytes()
+                keys[at] = hashlib.blake2b(raw[at], digest_size=16).digest()
+                dims[at] = x.shape[1]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "raw", "key", "dim"])
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, raw) of the rows of (vec_id, v) that take part, and their length: the most frequent one among
-    usable vectors with an id, the smallest of equally frequent ones. The length is 0 where there are none."""
-    good = cut(vectors.filter("vec_id is not null").mapInArrow(_prepared, "vec_id long, raw binary, dim int"))
-    common = good.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    """(vec_id, raw, key, rid) of all rows of (vec_id, v), ``raw`` and ``key`` null for those that take no part,
+    and the length of those that do: the most frequent one among usable vectors with an id, the smallest of
+    equally frequent ones. The length is 0 where there are none. ``rid`` numbers the rows, in no order."""
+    every = cut(vectors.mapInArrow(_prepared, "vec_id long, raw binary, key binary, dim int").withColumn("rid", F.monotonically_increasing_id()))
+    common = every.filter("vec_id is not null and dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = common["dim"] if common else 0
-    return good.filter(F.col("dim") == dim).drop("dim"), dim
+    part = F.col("vec_id").isNotNull() & (F.col("dim") == dim)
+    return every.select("vec_id", F.when(part, F.col("raw")).alias("raw"), F.when(part, F.col("key")).alias("key"), "rid"), dim
 
 
 def doubles(raw: list[bytes], dim: int) -> np.ndarray:
@@ -142,43 +175,59 @@ def _visits(batches, index, dim: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        cells = index.value.visit(unit(doubles(batch.column("raw").to_pylist(), dim)))
-        flat = pa.array(cells.reshape(-1), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("times"), batch.column("raw"), lists], ["rep", "times", "raw", "cells"])
+        cells, first = index.value.visit(unit(doubles(batch.column("raw").to_pylist(), dim)))
+        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(cells, pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("times"), batch.column("raw"), lists], ["cls", "times", "raw", "cells"])
 
 
-def _meet(members: dict, guests: dict, cell: int, cosine: float):
-    """Links between the vectors that live in a cell and those that visit it.
+def _meet(piece: dict, same: bool, cosine: float):
+    """Links between the classes that live in a cell and those that come to it: (a, times of a, b, times of b).
 
-    A pair may meet in either one's cell; it counts where the smaller id visits, or else where the larger does.
+    Rows of ``left`` live in the cell; rows of ``right`` do too or visit it. Two that live in one cell meet there
+    alone. Others may meet in either one's cell: they count where the smaller visits, or else where the larger does.
+    ``same``: both sides are one block.
     """
-    sim = guests["unit"] @ members["unit"].T
-    g, m = np.nonzero(sim >= cosine)
-    a, b = guests["rep"][g], members["rep"][m]
-    other = (members["cells"][m] == guests["cells"][g, :1]).any(axis=1)  # does the member visit the guest's cell too?
-    keep = (a < b) | ((a > b) & ~other)
-    return a[keep], guests["times"][g][keep], b[keep], members["times"][m][keep]
+    left, right = piece["left"], piece["right"]
+    out = []
+    for s in range(0, len(left["cls"]), STEP):
+        here = slice(s, s + STEP)
+        m, g = np.nonzero(left["unit"][here] @ right["unit"].T >= cosine)
+        a, b = left["cls"][here][m], right["cls"][g]
+        lives = right["lives"][g]
+        keep = lives & (a < b) if same else lives & (a != b)
+        for i in np.flatnonzero(~lives):
+            keep[i] = b[i] < a[i] or right["home"][g[i]] not in left["cells"][s + m[i]]
+        out.append((a[keep], left["times"][here][m][keep], b[keep], right["times"][g][keep]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 @tidy
 def _linked(batches, cosine: float, dim: int):
-    """Rows sorted by (cell, mblk, gblk, guest), members first: link counts by vector and a spanning forest."""
+    """Rows sorted by (cell, bi, bj): link counts by class and a spanning forest."""
     key, rows = None, []
 
     def frame(part):
         return {
-            "rep": np.array([r[0] for r in part], np.int64),
+            "cls": np.array([r[0] for r in part], np.int64),
             "times": np.array([r[1] for r in part], np.int64),
             "unit": unit(doubles([r[2] for r in part], dim)),
-            "cells": np.array([r[3] for r in part], np.int32).reshape(len(part), -1),
+            "cells": [set(r[3]) for r in part],
+            "home": np.array([r[3][0] for r in part], np.int64),
+            "lives": np.array([r[3][0] == key[0] for r in part]),
         }
 
     def done():
-        members, guests = [r for r in rows if not r[4]], [r for r in rows if r[4]]
-        if not members or not guests:
+        cell, bi, bj = key
+        left = [r for r in rows if r[4] == bi and r[3][0] == cell]
+        right = rows if bi == bj else [r for r in rows if r[4] == bj]
+        if not left or not right:
             return []
-        a, ta, b, tb = _meet(frame(members), frame(guests), key[0], cosine)
+        a, ta, b, tb = _meet({"left": frame(left), "right": frame(right)}, bi == bj, cosine)
+        if bi != bj:  # and the other block's inhabitants with this one's visitors
+            left, right = [r for r in right if r[3][0] == cell], [r for r in rows if r[4] == bi and r[3][0] != cell]
+            if left and right:
+                more = _meet({"left": frame(left), "right": frame(right)}, False, cosine)
+                a, ta, b, tb = (np.concatenate(c) for c in zip((a, ta, b, tb), more))
         if not len(a):
             return []
         ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -196,18 +245,20 @@ def _linked(batches, cosine: float, dim: int):
         return list(zip(ids.tolist(), total.tolist(), ids[label].tolist()))
 
     def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], ["rep", "n", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], ["cls", "n", "root"])
 
     for batch in batches:
         out = []
         c = batch.to_pydict()
-        for *k, rep, times, u, cells, guest in zip(c["cell"], c["mblk"], c["gblk"], c["rep"], c["times"], c["raw"], c["cells"], c["guest"]):
+        for *k, cls, times, raw, cells, blk in zip(c["cell"], c["bi"], c["bj"], c["cls"], c["times"], c["raw"], c["cells"], c["blk"]):
             if k != key:
-                out += done()
+                if rows:
+                    out += done()
                 key, rows = k, []
-            rows.append((rep, times, u, cells, guest))
+            rows.append((cls, times, raw, cells, blk))
         yield batch_of(out)
-    yield batch_of(done())
+    if rows:
+        yield batch_of(done())
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -220,37 +271,44 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good, dim = usable(vectors)
-    classes = cut(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
+    every, dim = usable(vectors)
+    alone = every.filter("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    if not dim:
+        return alone.select("*", kept)
+    good = every.filter("key is not null")
+    classes = cut(good.groupBy("key").agg(F.first("raw").alias("raw"), F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("cls", F.monotonically_increasing_id()))
     rows = classes.count()
-    picked = sorted(r["raw"] for r in bounded_sample(classes, "rep", SAMPLE).select("raw").collect())
-    index = fit(unit(doubles(picked, dim)), rows, cosine, recall) if picked else None
-    if index is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    placed = cut(classes.select("rep", "times", "raw").mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index), dim=dim), "rep long, times long, raw binary, cells array<int>"))
-    guests = placed.withColumn("cell", F.explode("cells")).withColumn("cells", F.slice("cells", 1, 1)).withColumn("guest", F.lit(True))
-    members = placed.withColumn("cell", F.element_at("cells", 1)).withColumn("guest", F.lit(False))
-    # both counts are per cell, so a hot cell costs rows, not a task
-    size = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mblks")).join(placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("gblks")), "cell")
-    dealt_m = members.join(size, "cell").withColumn("mblk", F.pmod(F.xxhash64("rep"), F.col("mblks")).cast("int")).withColumn("gblk", F.explode(F.sequence(F.lit(0), F.col("gblks") - 1)))
-    dealt_g = guests.join(size, "cell").withColumn("gblk", F.pmod(F.xxhash64("rep"), F.col("gblks")).cast("int")).withColumn("mblk", F.explode(F.sequence(F.lit(0), F.col("mblks") - 1)))
-    names = ["cell", "mblk", "gblk", "rep", "times", "raw", "cells", "guest"]
-    dealt = dealt_m.select(names).union(dealt_g.select(names)).repartition("cell", "mblk", "gblk").sortWithinPartitions("cell", "mblk", "gblk")
-    found = cut(dealt.mapInArrow(functools.partial(_linked, cosine=cosine, dim=dim), "rep long, n long, root long"))
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    comp = connected_components(found.select("rep", "root"), "rep", "root")
-    named = classes.select("rep", "times").join(links, "rep", "left").join(comp, classes["rep"] == comp["node"], "left")
-    return _answers(vectors, good, named)
-
-
-def _answers(vectors: DataFrame, good: DataFrame, named: DataFrame) -> DataFrame:
-    """Every row of ``vectors`` with the links and component of its class."""
-    named = named.groupBy("rep").agg(F.max("times").alias("times"), F.max("n").alias("n"), F.min("component").alias("component"))  # one row, unless an id has several vectors
-    by = good.groupBy("raw").agg(F.min("vec_id").alias("rep"))
-    own = good.join(by, "raw").select("vec_id", "rep").join(named.select("rep", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "rep")
-    linked = own.select("vec_id", "n_links", "component_id")
-    rest = vectors.select("vec_id").exceptAll(linked.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    picked = sorted(r["raw"] for r in bounded_sample(classes, "key", SAMPLE).select("raw").collect())
+    index = fit(unit(doubles(picked, dim)), rows, cosine, recall)
+    placed = cut(classes.select("cls", "times", "raw").mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index), dim=dim), "cls long, times long, raw binary, cells array<int>"))
+    found = cut(_dealt(placed).mapInArrow(functools.partial(_linked, cosine=cosine, dim=dim), "cls long, n long, root long"))
+    links = found.groupBy("cls").agg(F.sum("n").alias("n"))
+    comp = connected_components(found.select("cls", "root"), "cls", "root").withColumnRenamed("node", "cls")
+    named = classes.select("key", "cls", "rep", "times").join(links, "cls", "left").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("key", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    linked = good.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
+    return linked.union(alone).select("*", kept)
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(cell, bi, bj, blk, cls, times, raw, cells), a row for each cell a class comes to, sorted by the first three.
+
+    Cells of more than ``BLOCK`` rows are dealt out in pairs of blocks, so a hot cell costs rows, not a task.
+    """
+    spark = placed.sparkSession
+    come = placed.withColumn("cell", F.explode("cells"))
+    hot = come.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")  # at most CENTRES ** 2 narrow rows
+    sizes = {r["cell"]: r["blocks"] for r in hot.collect()}
+    names = ["cell", "bi", "bj", "blk", "cls", "times", "raw", "cells"]
+    if not sizes:
+        come = come.select("cell", *[F.lit(0).alias(c) for c in names[1:4]], *names[4:])
+    else:
+        come = come.join(F.broadcast(spark.createDataFrame(list(sizes.items()), "cell int, blocks int")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        come = come.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        come = come.select("cell", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), *names[3:])
+    return come.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj").select(names)
 
 
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

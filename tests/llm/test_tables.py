@@ -79,31 +79,78 @@ def test_odd_lengths_harm_no_other_row(spark):
     assert found(alone) and found(mixed) == found(alone)
 
 
-def test_visits_come_nearest_first():
+def test_visits_are_all_cells_in_reach_nearest_first():
     rng = np.random.default_rng(0)
     x = multi_index.unit(rng.standard_normal((50, 8)))
-    index = multi_index.MultiIndex(multi_index.kmeans(x[:, :4], 5, rng), multi_index.kmeans(x[:, 4:], 5, rng), 7)
-    d = multi_index.distances(x[:, :4], index.first)[:, :, None] + multi_index.distances(x[:, 4:], index.second)[:, None, :]
-    want = np.argsort(d.reshape(50, -1), axis=1, kind="stable")[:, :7]
-    assert np.allclose(np.take_along_axis(d.reshape(50, -1), index.visit(x), 1), np.take_along_axis(d.reshape(50, -1), want, 1))
+    index = multi_index.MultiIndex(multi_index.kmeans(x[:, :4], 5, rng), multi_index.kmeans(x[:, 4:], 5, rng), 0.05)
+    cells, first = index.visit(x)
+    c1, c2 = index.costs(x)
+    assert len(cells) > 100
+    for i in range(50):
+        own = c1[i].argmin() * 5 + c2[i].argmin()
+        cost = (np.maximum(c1[i], 0)[:, None] + np.maximum(c2[i], 0)[None, :]).reshape(-1)
+        mine = cells[first[i] : first[i + 1]]
+        assert mine[0] == own and set(mine.tolist()) == set(np.flatnonzero(cost <= 0.05).tolist())
+        assert (np.diff(cost[mine]) >= 0).all()
+
+
+def test_border_is_the_distance_to_the_plane_between():
+    centre = np.array([[0.0, 0.0], [4.0, 0.0], [0.0, 0.0]])
+    got = multi_index.border(np.array([[0.5, 3.0]]), centre)
+    assert got.tolist() == [[-1.0, 2.25, 0.0]]
 
 
 def test_recall_at_the_threshold():
     """Pairs at exactly the threshold angle meet as often as asked, on vectors that the fit has not seen."""
     rng = np.random.default_rng(1)
-    x = multi_index.unit(rng.standard_normal((4000, 16)))
-    index = multi_index.fit(x[:2000], 50_000, 0.95, 0.99)
-    a = x[2000:]
+    x = multi_index.unit(rng.standard_normal((9000, 16)))
+    index = multi_index.fit(x[:5000], 100_000, 0.95, 0.99)
+    assert len(index.first) > 4
+    a = x[5000:]
     t = rng.standard_normal(a.shape)
     t -= (t * a).sum(1)[:, None] * a
     b = 0.95 * a + math.sqrt(1 - 0.95**2) * multi_index.unit(t)
-    va, vb = index.visit(a), index.visit(b)
-    assert ((va == vb[:, :1]).any(1) | (vb == va[:, :1]).any(1)).mean() >= 0.9
+    (va, fa), (vb, fb) = index.visit(a), index.visit(b)
+    met = [vb[fb[i]] in va[fa[i] : fa[i + 1]] or va[fa[i]] in vb[fb[i] : fb[i + 1]] for i in range(len(a))]
+    assert np.mean(met) >= 0.98
+
+
+def test_links_across_many_cells(spark, monkeypatch):
+    """Links, counts and components of 3000 vectors in a grid of many cells, some crowded, equal brute force."""
+    monkeypatch.setattr(multi_index, "CELL", 40)
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2000, 16))
+    x = np.concatenate([x, x[rng.integers(0, 400, 800)] + rng.normal(0, 0.3, (800, 16)), x[7] + rng.normal(0, 0.2, (200, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_vectors(df, recall=1.0).collect()}
+    u = multi_index.unit(x.astype(float))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (low == label).all():
+            break
+        label = low
+    links = near.sum(axis=1)
+    assert links.sum() > 10_000
+    assert sum(got[i][0] for i in got) >= 0.999 * links.sum() and all(got[i][0] <= links[i] for i in got)
+    assert np.mean([got[i] == (links[i], label[i]) for i in range(len(x))]) >= 0.999
+
+
+def test_rows_that_share_an_id(spark):
+    """Two vectors of one id are vectors of their own: each links by itself, and each is searched by itself."""
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (3, [1.0, 0.01, 0.0]), (7, [0.01, 1.0, 0.0]), (9, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in multi_index.near_vectors(df).collect())
+    assert got == [(3, 1, 3), (5, 1, 3), (5, 1, 5), (7, 1, 5), (9, 0, 9)]
+    found = hashing_search.nearest(df, lambda i: i == 5, k=3, recall=1.0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(1, 3), (1, 7), (2, 3), (2, 7), (3, 5), (3, 5)]
 
 
 def test_search(vectors, monkeypatch):
     monkeypatch.setattr(hashing_search, "SHARD", 20)
-    monkeypatch.setattr(hashing_search, "QUERIES", 2)
     got = hashing_search.nearest(vectors, lambda i: i % 20 == 0, k=5, recall=1.0).collect()
     ok = usable()
     hits = total = 0
