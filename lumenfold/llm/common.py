@@ -57,6 +57,22 @@ def bounded_sample(df: DataFrame, key: str, most: int, salt: int = 1) -> DataFra
     return df.filter(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < share).limit(most)
 
 
+#: Rows of a small side that may be broadcast; with more, it is joined with ``SALTS`` salts.
+SIDE, SALTS = 200_000, 32
+
+
+def spread(rows: DataFrame, side: DataFrame, key: str | list[str], by: str) -> DataFrame:
+    """Left join of ``side``, one row a ``key`` (a column or several), to ``rows`` of which a key may have any number.
+
+    ``side`` is counted: up to ``SIDE`` rows are broadcast; more are copied to ``SALTS`` salts, which rows take by a hash of ``by``.
+    """
+    side = cut(side)
+    if side.count() <= SIDE:
+        return rows.join(F.broadcast(side), key, "left")
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
+
+
 def threshold(df: DataFrame, column: str, most: int) -> int:
     """The smallest of a grid of values (64 to a doubling) that at most ``most`` rows reach, from two passes of sums."""
 

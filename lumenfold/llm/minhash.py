@@ -6,13 +6,17 @@
    one row a task). Only classes go on.
 3. Bands give candidate buckets. Inside a bucket, packed signatures are compared by bit counts and the
    share of equal fields is corrected for chance collisions (an equal field says little at 4 bits).
-   A large bucket is dealt out in pairs of blocks. A class asks for its smallest similar partner and for
-   its two most similar ones, never for all pairs; asked pairs are confirmed on full sets.
-4. Buckets in which a class had more similar partners than it asked for are closed exactly: the classes
+   A class asks for its smallest similar partner and for its two most similar ones, never for all pairs;
+   asked pairs are confirmed on full sets.
+4. A hot bucket (over ``BLOCK`` classes) is first compared in chunks, each with the same few pivots, so most
+   of its classes join one component. Only classes of different components are compared further: the largest
+   component's with the others', and those with each other, in pairs of blocks. Where even that would copy a
+   class over ``WIDE`` times, the bucket is split by every second band first: a pair at the threshold shares
+   two bands of 24 but for one in a million. So rows stay linear in the bucket.
+5. Buckets in which a class had more similar partners than it asked for are closed exactly: the classes
    they hold are grouped, groups are dealt out in pairs of blocks of their full sets (the largest
    component found so far isn't compared with itself), intersections of a pair of blocks are one matrix
-   product, and only the links that join components leave the task. So no link is lost to the limit in 3,
-   and rows stay linear in the group.
+   product, and only the links that join components leave the task. So no link is lost to the limit in 3.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, small_batches, table
+from .common import connected_components, cut, small_batches, spread, table
 from .words import hash_words, mix, pieces, shingle_hashes, tidy, utf8, word_spans
 
 PERMS, ROWS, BITS = 96, 4, 4
-#: Classes of one bucket that are compared in one piece; larger buckets are dealt out in pairs of blocks.
-BLOCK = 1024
+#: Classes of one bucket that are compared in one piece; larger buckets are hot. Pivots of a hot bucket, about.
+BLOCK, PIVOTS = 1024, 32
+#: Blocks of a hot bucket outside its largest component; with more, it is split by second bands.
+WIDE = 24
+#: Documents of one class beyond which they are not brought together to learn their component.
+MANY = 4096
 #: In buckets of more classes a class asks for one most similar partner, not k.
 CROWD = 64
 #: Rows and shingles of a block whose full sets are compared.
@@ -117,23 +125,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (index, index) that the rows of one bucket piece ask for, and per row whether it held any back."""
-    sig, comp, rep, side = run["sig"], run["comp"], run["rep"], run["side"]
+    sig, comp, cls, side = run["sig"], run["comp"], run["cls"], run["side"]
     cross = bool(side.max() != side.min())
-    rows = np.arange(len(rep))
+    rows = np.arange(len(cls))
     left, right = (rows[side == side.min()], rows[side == side.max()]) if cross else (rows, rows)
     est = np.concatenate([similarity(sig[left[s : s + 128]][:, None, :], sig[right][None, :, :]) for s in range(0, len(left), 128)])
     ok = (est >= least) & (comp[left][:, None] != comp[right][None, :])
-    a_out, b_out, held = [], [], np.zeros(len(rep), bool)
+    a_out, b_out, held = [], [], np.zeros(len(cls), bool)
     for x, y, ok_, est_ in ((left, right, ok, est), (right, left, ok.T, est.T)) if cross else ((left, right, ok, est),):
         count = ok_.sum(axis=1)
         some = np.flatnonzero(count)
         if not len(some):
             continue
         ok_, est_ = ok_[some], est_[some]
-        hub = np.where(ok_, rep[y][None, :], np.iinfo(np.int64).max).argmin(axis=1)
+        hub = np.where(ok_, cls[y][None, :], np.iinfo(np.int64).max).argmin(axis=1)
         a_out.append(x[some])
         b_out.append(y[hub])
-        take = min(k if len(rep) <= CROWD else 1, len(y))
+        take = min(k if len(cls) <= CROWD else 1, len(y))
         score = np.where(ok_, est_, -2.0)
         best = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < len(y) else np.broadcast_to(np.arange(len(y)), score.shape)
         r, c = np.nonzero(np.take_along_axis(ok_, best, 1))
@@ -148,11 +156,11 @@ def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 @tidy
 def _compare(batches, least: float, k: int):
     """Streams rows sorted by (bkey, bi, bj); a bucket piece is at most two blocks of rows."""
-    names = ["bkey", "bi", "bj", "blk", "rep", "comp"]
+    names = ["bkey", "bi", "bj", "blk", "cls", "comp"]
     rest = None
 
     def work(t: dict, final: bool):
-        n = len(t["rep"])
+        n = len(t["cls"])
         new = np.ones(n, bool)
         new[1:] = (t["bkey"][1:] != t["bkey"][:-1]) | (t["bi"][1:] != t["bi"][:-1]) | (t["bj"][1:] != t["bj"][:-1])
         starts = np.flatnonzero(new)
@@ -169,13 +177,13 @@ def _compare(batches, least: float, k: int):
             a_all.append(ok)
             b_all.append(ok + 1)
         for s, e in zip(starts[size > 2], ends[size > 2]):
-            a, b, held = _ask({"sig": t["sig"][s:e], "comp": t["comp"][s:e], "rep": t["rep"][s:e], "side": t["blk"][s:e]}, least, k)
+            a, b, held = _ask({"sig": t["sig"][s:e], "comp": t["comp"][s:e], "cls": t["cls"][s:e], "side": t["blk"][s:e]}, least, k)
             a_all.append(a + s)
             b_all.append(b + s)
             if held.any():
                 h_all.append(np.flatnonzero(held) + s)
         a, b, h = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a_all, b_all, h_all))
-        ra, rb = t["rep"][a], t["rep"][b]
+        ra, rb = t["cls"][a], t["cls"][b]
         out = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         keys = np.unique(t["bkey"][h])
         return out, keys, {c: v[done:] for c, v in t.items()}
@@ -190,32 +198,53 @@ def _compare(batches, least: float, k: int):
         t["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
         if rest is not None:
             t = {c: np.concatenate([rest[c], t[c]]) for c in t}
-        if len(t["rep"]):
+        if len(t["cls"]):
             out, keys, rest = work(t, False)
             if out.shape[1] or len(keys):
                 yield batch_out(out, keys)
-    if rest is not None and len(rest["rep"]):
+    if rest is not None and len(rest["cls"]):
         out, keys, _ = work(rest, True)
         yield batch_out(out, keys)
 
 
+def digests(shingles: np.ndarray) -> tuple[int, int]:
+    """The two digests of one set, as ``signatures`` has them."""
+    with np.errstate(over="ignore"):
+        return tuple(int(np.add.reduce(mix(shingles, salt)).view(np.int64)) for salt in (201, 202))
+
+
 @tidy
 def _sets(batches, k: int):
+    """The shingles of rows (cls, d1, d2, text) whose text has these digests, each class once a task."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(1), k)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["rep", "shingles"])
+        keep, sets = [], []
+        for cls, d1, d2, s in zip(*(batch.column(c).to_pylist() for c in ("cls", "d1", "d2")), shingle_sets(batch.column("text"), k)):
+            if cls not in seen and digests(s) == (d1, d2):
+                seen.add(cls)
+                keep.append(cls)
+                sets.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["cls", "shingles"])
 
 
 @tidy
 def _confirm(batches, percent: int):
-    """Keeps the pairs whose sets have 100 * intersection >= percent * union."""
+    """Rows sorted by (a, salt), the set of ``a`` first (null b): the pairs that have 100 * intersection >= percent * union."""
+    key, mine = None, None
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+        out: tuple[list, list] = ([], [])
+        for a, salt, b, x in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), batch.column("shingles")):
+            x = np.frombuffer(x.as_buffer(), np.uint64)
+            if (a, salt) != key:
+                key, mine = (a, salt), None
+            if b is None:
+                mine = x.copy()
+            elif mine is not None and min(len(x), len(mine)) * 100 >= percent * max(len(x), len(mine)):
+                both = len(x) + len(mine) - len(np.union1d(x, mine))
+                if 100 * both >= percent * (len(x) + len(mine) - both):
+                    out[0].append(a)
+                    out[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, slack: float = 0.18) -> DataFrame:
@@ -234,53 +263,139 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(docs.mapInArrow(functools.partial(_sign, k=k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"))
     live = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    pairs = _links(docs, classes, k, percent, percent / 100 - slack)
-    comp = connected_components(pairs, "a", "b")
-    named = classes.join(comp, classes["rep"] == comp["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(named, ["d1", "d2"], "left")
+    classes = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    comp = connected_components(_links(docs, live, classes, k, percent, percent / 100 - slack), "a", "b").withColumnRenamed("node", "cls")
+    named = classes.select("cls", "rep", "times", "d1", "d2").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    many = F.col("times") > MANY
+    out = spread(signed.select("doc_id", "n_shingles", "d1", "d2"), named.filter(many).select("d1", "d2", F.col("component_id").alias("theirs")), ["d1", "d2"], "doc_id")
+    few = out.filter("theirs is null").join(named.filter(~many).select("d1", "d2", "component_id"), ["d1", "d2"], "left")
+    out = few.select("doc_id", "n_shingles", "component_id").union(out.filter("theirs is not null").select("doc_id", "n_shingles", "theirs"))
     own = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+def _links(docs: DataFrame, live: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
     """Confirmed links between classes that span every component."""
-    member = classes.select(F.explode("bands").alias("bkey"), "rep")
-    sizes = member.groupBy("bkey").agg(F.count("*").alias("n"), F.min("rep").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("fp")).filter("n > 1")
-    sizes = sizes.groupBy("n", "m", "fp").agg(F.min("bkey").alias("bkey")).select("bkey", "n")  # bands that hold the same classes: one is enough
-    member = cut(member.join(sizes, "bkey").select("bkey", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    m = member.join(classes.select("rep", "sig"), "rep").withColumn("comp", F.col("rep"))
-    m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("bkey", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "comp", "sig")
-    dealt = m.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
-    found = cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=2), "a long, b long"))
+    member = classes.select(F.explode("bands").alias("bkey"), "cls")
+    sizes = member.groupBy("bkey").agg(F.count("*").alias("n"), F.min("cls").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("fp")).filter("n > 1")
+    same = sizes.groupBy("n", "m", "fp").agg(F.min("bkey").alias("one"), F.collect_set("bkey").alias("all"))  # bands that hold the same classes: one is enough
+    sizes = cut(same.select("n", "one", F.explode("all").alias("bkey")).select("bkey", "n", (F.col("one") == F.col("bkey")).alias("taken")))
+    hot = sizes.filter(F.col("n") > BLOCK).select("bkey", "taken", "n")
+    crowd = None
+    if hot.limit(1).count():
+        member = spread(member, hot, "bkey", "cls")
+        crowd = cut(member.filter("taken").select("bkey", "cls", "n"))
+        member = member.filter("taken is null").select("bkey", "cls")
+    small = cut(member.join(sizes.filter(F.col("taken") & (F.col("n") <= BLOCK)).select("bkey"), "bkey"))
+    runs = small.select("bkey", *[F.lit(0).alias(c) for c in ("bi", "bj", "blk")], "cls")
+    if crowd is not None:
+        runs = runs.union(_chunks(crowd))
+    found = _compared(runs.withColumn("comp", F.col("cls")), classes, least)
     asked = found.filter("b is not null").distinct()
-    held = member.join(found.filter("b is null").select(F.col("a").alias("bkey")).distinct(), "bkey", "left_semi").select("bkey", "rep")
-    need = asked.select("a").union(asked.select("b")).union(held.select("rep")).toDF("rep").distinct()
-    sets = cut(docs.join(need.hint("shuffle_hash"), docs["doc_id"] == need["rep"]).select("doc_id", "text").mapInArrow(functools.partial(_sets, k=k), "rep long, shingles binary"))
-    ready = asked.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = cut(ready.select("a", "b", "sa", "sb").mapInArrow(functools.partial(_confirm, percent=percent), "a long, b long"))
+    held = small.join(found.filter("b is null").select(F.col("a").alias("bkey")).distinct(), "bkey", "left_semi")
+    need = asked.select("a").union(asked.select("b")).union(held.select("cls"))
+    if crowd is not None:
+        need = need.union(crowd.select("cls"))
+    sets = _sets_of(docs, live, classes.join(need.toDF("cls").distinct(), "cls", "left_semi").select("cls", "rep", "d1", "d2"), k)
+    links = _confirmed(asked, sets, percent)
+    if crowd is not None:
+        runs = _crossing(crowd, connected_components(links, "a", "b"), classes)
+        found = _compared(runs, classes, least)
+        links = links.union(_confirmed(found.filter("b is not null").distinct(), sets, percent))
+        hubs = found.filter("b is null").select(F.col("a").alias("bkey")).distinct().withColumn("yes", F.lit(True))
+        held = held.union(spread(runs.select("bkey", "cls").distinct(), hubs, "bkey", "cls").filter("yes").select("bkey", "cls"))
+    held = cut(held)
     if not held.limit(1).count():
         return links
     return links.union(_close(held, sets, connected_components(links, "a", "b"), percent))
 
 
+def _chunks(crowd: DataFrame) -> DataFrame:
+    """Hot buckets in chunks of about ``BLOCK`` classes, each with the bucket's pivots."""
+    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), chunks).cast("int")
+    pivot = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("n")) < PIVOTS
+    at = F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))).alias("bi")
+    return crowd.select("bkey", at, "cls").select("bkey", "bi", F.lit(-1).alias("bj"), F.lit(0).alias("blk"), "cls")
+
+
+def _crossing(crowd: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bkey, bi, bj, blk, cls, comp): hot buckets in pairs of blocks that bring classes of different components together."""
+    m = crowd.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("bkey", "cls", F.coalesce("component", "cls").alias("comp"))
+    m = cut(m)
+    sized = cut(spread(m, _shape(m, F.lit(1), BLOCK), "bkey", "cls").filter("main is not null"))
+    runs = _in_blocks(sized.filter(F.col("others") <= WIDE))
+    wide = sized.filter(F.col("others") > WIDE)
+    if not wide.limit(1).count():
+        return cut(runs)
+    bands = wide.select("bkey", "cls", "comp").join(classes.select("cls", "bands"), "cls").withColumn("band", F.explode("bands")).filter("band <> bkey")
+    sub = cut(bands.select(F.xxhash64(F.least("bkey", "band"), F.greatest("bkey", "band")).alias("bkey"), "cls", "comp").distinct())
+    return cut(runs.union(_in_blocks(sub.join(_shape(sub, F.lit(1), BLOCK), "bkey"))))
+
+
+def _shape(m: DataFrame, weight, most, key: str = "bkey", heavy: int | None = None) -> DataFrame:
+    """(key, main, mains, others) of keys with classes of several components: the largest one, and the number of
+    blocks of it and of the others, of at most ``most`` rows, and ``heavy`` weight, on average."""
+    by = m.groupBy(key, "comp").agg(F.count("*").alias("c"), F.sum(weight).alias("w"))
+    top = F.max(F.struct(F.col("c"), (-F.col("comp")).alias("first"), F.col("w")))
+    by = by.groupBy(key).agg(top.alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = lambda c, w: F.ceil(F.greatest(c / most, w / heavy) if heavy else c / most).cast("int")
+    return by.select(key, (-F.col("top.first")).alias("main"), blocks(F.col("top.c"), F.col("top.w")).alias("mains"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("others"))
+
+
+def _in_blocks(m: DataFrame, key: str = "bkey") -> DataFrame:
+    """Pairs of blocks: 0 .. mains - 1 hold the main component, the next ``others`` the rest; no main block meets a main block."""
+    main = F.col("comp") == F.col("main")
+    blk = F.when(main, F.pmod(F.xxhash64("cls"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("cls"), F.col("others"))).cast("int")
+    m = m.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
+    return m.select(key, F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "comp")
+
+
+def _compared(runs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b) pairs asked for, and (bkey, null) for buckets in which some class had more similar partners."""
+    m = runs.join(classes.select("cls", "sig"), "cls").select("bkey", "bi", "bj", "blk", "cls", "comp", "sig")
+    dealt = m.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
+    return cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=2), "a long, b long"))
+
+
+def _sets_of(docs: DataFrame, live: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles): one row a class of ``need`` (cls, rep, d1, d2), from any document that has its id and its set."""
+    twice = cut(live.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")))
+    need = need.join(twice, "rep", "left").hint("shuffle_hash")
+    texts = docs.join(need, docs["doc_id"] == need["rep"]).select("cls", "d1", "d2", "text", "again")
+    every = texts.filter("again is null").mapInArrow(functools.partial(_sets, k=k), "cls long, shingles binary")
+    if twice.limit(1).count():
+        # ids that repeat: tasks have dropped what they had already, this drops the rest
+        every = every.union(texts.filter("again").mapInArrow(functools.partial(_sets, k=k), "cls long, shingles binary").dropDuplicates(["cls"]))
+    return cut(every)
+
+
+def _confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``asked`` that link. A set that many ask for goes once to every ``CLOSE_ROWS`` of them."""
+    ends = asked.select("a").union(asked.select("b")).groupBy("a").agg(F.ceil(F.count("*") / CLOSE_ROWS).cast("int").alias("salts"))
+    busy = cut(ends.filter("salts > 1"))
+    salted = spread(spread(asked, busy, "a", "b"), busy.toDF("b", "others"), "b", "a")
+    salts, others = F.coalesce("salts", F.lit(1)), F.coalesce("others", F.lit(1))
+    # ``a`` becomes the end that more ask for
+    salted = salted.select(F.when(salts >= others, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(salts >= others, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest(salts, others).alias("salts"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    theirs = salted.select("a", "salt", "b").join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
+    own = salted.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "shingles"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    dealt = own.union(theirs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return cut(dealt.mapInArrow(functools.partial(_confirm, percent=percent), "a long, b long"))
+
+
 def _close(held: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Links that join components among the classes of ``held`` (bkey, rep) buckets."""
-    hub = held.groupBy("bkey").agg(F.min("rep").alias("hub"))
-    group = connected_components(held.join(hub, "bkey").select("rep", "hub"), "rep", "hub").withColumnRenamed("component", "grp")
-    m = group.join(comp, "node", "left").select("grp", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
-    m = cut(m.join(sets.select("rep", (F.octet_length("shingles") / 8).alias("n")), "rep"))
-    most = m.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    m = m.join(most, "grp").withColumn("main", F.col("comp") == F.col("main"))
-    blocks = lambda mine: F.ceil(F.greatest(F.sum(F.when(mine, 1).otherwise(0)) / CLOSE_ROWS, F.sum(F.when(mine, F.col("n")).otherwise(0)) / CLOSE_SHINGLES)).cast("int")
-    shape = m.groupBy("grp").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
-    m = m.join(shape, "grp")
-    # blocks 0 .. mains-1 hold the main component, mains .. mains+others-1 the rest; no main block meets a main block
-    blk = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep"), F.col("others"))).cast("int")
-    m = m.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
-    m = m.select("grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "rep", "comp").join(sets, "rep")
-    dealt = m.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").select("grp", "bi", "bj", "rep", "comp", "shingles")
+    """Links that join components among the classes of ``held`` (bkey, cls) buckets."""
+    hub = held.groupBy("bkey").agg(F.min("cls").alias("hub"))
+    group = connected_components(spread(held, hub, "bkey", "cls").select("cls", "hub"), "cls", "hub").withColumnRenamed("component", "grp")
+    m = group.join(comp, "node", "left").select("grp", F.col("node").alias("cls"), F.coalesce("component", "node").alias("comp"))
+    m = cut(m.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("size")), "cls"))
+    m = spread(m, _shape(m, F.col("size"), CLOSE_ROWS, "grp", CLOSE_SHINGLES), "grp", "cls").filter("main is not null")
+    m = _in_blocks(m, "grp").join(sets, "cls")
+    dealt = m.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").select("grp", "bi", "bj", "cls", "comp", "shingles")
     return cut(dealt.mapInArrow(functools.partial(_closed, percent=percent), "a long, b long"))
 
 
@@ -335,7 +450,7 @@ def _closed(batches, percent: int):
     for batch in batches:
         out = []
         keys = list(zip(*[batch.column(c).to_pylist() for c in ("grp", "bi", "bj")]))
-        for k, rep, comp, s in zip(keys, batch.column("rep").to_pylist(), batch.column("comp").to_pylist(), batch.column("shingles").to_pylist()):
+        for k, rep, comp, s in zip(keys, batch.column("cls").to_pylist(), batch.column("comp").to_pylist(), batch.column("shingles").to_pylist()):
             if k != key:
                 out += done()
                 rows, key = [], k

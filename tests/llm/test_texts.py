@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe_count, hmm, minhash, mixing, packing, toxicity, words
+from lumenfold.llm import bpe_count, common, hmm, minhash, mixing, packing, toxicity, words
 
 from .conftest import odd_rows
 
@@ -102,6 +102,46 @@ def test_crowded_bucket(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("wide,side", [(24, 200_000), (1, 0)])
+def test_hot_buckets(spark, monkeypatch, wide, side):
+    """Buckets over BLOCK classes, of several components, by blocks and by second bands, with broadcast and with salted sides."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "CROWD", 4)
+    monkeypatch.setattr(minhash, "CLOSE_ROWS", 8)
+    monkeypatch.setattr(minhash, "MANY", 2)
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    monkeypatch.setattr(common, "SIDE", side)
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in range(4):  # four groups that share half of their words, so that they meet in buckets but do not link
+        base = [f"w{i}" if i < 70 else f"g{g}w{i}" for i in range(120)]
+        for i in range(25):
+            v = list(base)
+            for _ in range(int(rng.integers(0, 6))):
+                v[int(rng.integers(120))] = f"e{rng.integers(10**6)}"
+            rows.append((g * 100 + i, " ".join(v)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85)
+
+
+def test_many_repeats_of_two_near_copies(spark):
+    """Ten thousand rows of two near copies are two sets, whatever the number of rows."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join(["new", *base[1:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").crossJoin(spark.range(5000).select()).repartition(4)
+    got = minhash.near_duplicates(df).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, True, 5000), (2, 1, False, 5000)]
+
+
+def test_texts_that_share_an_id(spark):
+    """Two texts of one id are classed by their own text, wherever their links lead."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (3, a + " more"), (7, b + " more"), (9, "something else altogether")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 5), (7, 5), (9, 9)]
+
+
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).count() == 0
 
