@@ -1,10 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols: insult, threat, target, negation, reported speech, clause end, other. Four
-small transducers follow them (is an insult negated, is it reported, does it name a target near by, does
-a threat meet a target) and are composed into one table of (state, symbol) arcs. A matched insult is
-scored by its word's weight in the class its clause puts it in; a document's score is a logistic function
-of the sums by class. Isolated negation, targets or reporting words score nothing.
+Words are read as symbols: insult, threat, target, negation, reported speech, clause end, other. Five small
+transducers rewrite the stream one after the other, and are composed into one table of arcs:
+
+* negation marks insults and threats that follow a negation within a few words;
+* reported speech marks those that follow a reporting verb in their clause;
+* target marks a clause end if the clause names someone;
+* threat marks it if the clause also holds a threat that is neither negated nor reported;
+* insult reads all these marks and gives the clause its class: targeted, plain, negated or reported.
+
+Only clauses score: an insult needs another word in its clause, a threat needs a target, and isolated words
+score nothing. A clause weighs as much as its heaviest insult. A document's score is a logistic
+function of the sums by class.
 
 Learned from labelled rows outside the held-out fold: which words and word stems are insults (with
 weights, their log odds), and the classes' coefficients. At most ``sample`` labelled documents are used,
@@ -17,7 +24,7 @@ import functools
 import math
 import re
 from collections import Counter
-from itertools import product
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_sample, cut, fold, small_batches, table, threshold
 from .minhash import shingle_sets
-from .words import tidy
+from .words import mix, tidy
 
 #: Words that a grammar of insults starts from, before labels add to them or take them away.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile dumb idiota imbécil estúpido basura asqueroso dummkopf trottel abschaum widerlich crétin abruti connard débile"
@@ -35,47 +42,83 @@ THREATS = "kill hurt destroy murder shoot stab töten umbringen schlagen vernich
 TARGETS = "you your yours u he she they them him her du dich dein ihr euch sie tu toi vous ton votre te ti usted ustedes vosotros"
 NEGATIONS = "not no never isn't aren't don't without nicht kein keine nie ne pas jamais nunca jamás ni"
 REPORTS = "said says quoted wrote claimed reported alleged according sagte schrieb zitiert laut dit écrit selon dijo escribió según"
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
 CLASSES = ("plain", "targeted", "negated", "reported", "threat")
+SYMBOLS = ("other", "insult", "threat", "target", "negation", "report", "stop")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SHORT, _STEM, _WHOLE = 4, 7, 24
 SEED_WEIGHT = 4.0
 
+#: A transducer: (state, symbol) to (next state, symbol). Every one starts in state None.
+Rule = Callable[[object, str], tuple[object, str]]
+
+
+def negation(reach: int = 3) -> Rule:
+    def rule(left, symbol):
+        if symbol == "stop":
+            return None, symbol
+        if symbol == "negation":
+            return reach, "other"
+        said = "not " + symbol if left and symbol in ("insult", "threat") else symbol
+        return (left - 1 or None) if left else None, said
+
+    return rule
+
+
+def reported(state, symbol):
+    if symbol == "stop":
+        return None, symbol
+    if symbol == "report":
+        return True, "other"
+    return state, "said " + symbol.removeprefix("not ") if state and symbol.endswith(("insult", "threat")) else symbol
+
+
+def target(state, symbol):
+    if symbol == "stop":
+        return None, "stop you" if state else symbol
+    return (True, "other") if symbol == "target" else (state, symbol)
+
+
+def threat(state, symbol):
+    if symbol.startswith("stop"):
+        return None, symbol + " threat" if state and symbol == "stop you" else symbol
+    return (True, "other") if symbol == "threat" else (state, "other" if symbol.endswith("threat") else symbol)
+
+
+def insult(state, symbol):
+    """State: the clause's strongest insult so far, and whether it has another word. Output: the clause's classes."""
+    kind, word = state or ("", False)
+    if symbol.startswith("stop"):
+        found = {"insult": "targeted" if "you" in symbol else "plain", "not insult": "negated", "said insult": "reported"}.get(kind) if word else None
+        return None, " ".join(c for c in (found, "threat" if symbol.endswith("threat") else None) if c)
+    if symbol.endswith("insult"):
+        order = ("", "said insult", "not insult", "insult")
+        return (max(kind, symbol, key=order.index), word), ""
+    return (kind, True), ""
+
 
-def compose(negation_reach: int = 3, target_reach: int = 4) -> tuple[list[list[int]], list[list[str | None]]]:
-    """The four transducers as one: next state and output by state and symbol.
+def compose(*rules: Rule) -> tuple[list[list[int]], list[list[str]]]:
+    """The cascade of ``rules`` as one transducer over ``SYMBOLS``: next state and output by state and symbol.
 
-    Each keeps a countdown: words since a negation, since a target, since a threat; and whether the
-    sentence reports someone's speech. A clause end resets them all.
+    A state is one state of each rule; those that can be reached from the start are numbered as they are met.
     """
-    states = list(product(range(negation_reach + 1), (0, 1), range(target_reach + 1), range(target_reach + 1)))
-    at = {s: i for i, s in enumerate(states)}
+    number: dict[tuple, int] = {(None,) * len(rules): 0}
+    states = list(number)
     after: list[list[int]] = []
-    out: list[list[str | None]] = []
-    for neg, rep, tgt, thr in states:
-        row, said = [], []
-        for symbol in range(7):
-            low = (max(neg - 1, 0), rep, max(tgt - 1, 0), max(thr - 1, 0))
-            word = None
-            if symbol == STOP:
-                low = (0, 0, 0, 0)
-            elif symbol == NEGATION:
-                low = (negation_reach, *low[1:])
-            elif symbol == REPORT:
-                low = (low[0], 1, *low[2:])
-            elif symbol == TARGET:
-                low = (low[0], low[1], target_reach, 0)
-                word = "threat" if thr and not neg and not rep else None
-            elif symbol == THREAT:
-                low = (*low[:3], target_reach)
-                word = "threat" if tgt and not neg and not rep else None
-            elif symbol == INSULT:
-                word = "reported" if rep else "negated" if neg else "targeted" if tgt else "plain"
-            row.append(at[low])
-            said.append(word)
-        after.append(row)
-        out.append(said)
+    out: list[list[str]] = []
+    for state in states:  # grows as states are met
+        after.append([])
+        out.append([])
+        for symbol in SYMBOLS:
+            to = []
+            for rule, own in zip(rules, state):
+                own, symbol = rule(own, symbol)
+                to.append(own)
+            if tuple(to) not in number:
+                number[tuple(to)] = len(states)
+                states.append(tuple(to))
+            after[-1].append(number[tuple(to)])
+            out[-1].append(symbol)
     return after, out
 
 
@@ -88,8 +131,10 @@ class Grammar:
 
         self.words = {w: x for w, x in lexicon.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in lexicon.items() if w.endswith("*")}
-        self.symbol = {w: s for names, s in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in names.split()}
-        self.after, self.out = compose()
+        named = (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS))
+        self.symbol = {w: SYMBOLS.index(s) for s, names in named for w in names.split()}
+        self.after, out = compose(negation(), reported, target, threat, insult)
+        self.out = [[[c for c in said.split() if c in CLASSES] for said in row] for row in out]
         self.find = ahocorasick.Automaton()
         for w in [*self.words, *self.stems, *THREATS.split()]:
             self.find.add_word(w, w)
@@ -104,20 +149,21 @@ class Grammar:
         return None
 
     def features(self, text: str) -> tuple[float, ...]:
-        """Summed weights by class. Texts in which no insult or threat occurs are not read word by word."""
+        """Summed weights of matched clauses by class. Texts in which no insult or threat occurs are not read word by word."""
         text = text.lower()
         total = dict.fromkeys(CLASSES, 0.0)
         if next(self.find.iter(text), None) is not None:
-            state = 0
-            for token in _TOKEN.findall(text):
-                weight = None
+            other, insulting, stop = (SYMBOLS.index(s) for s in ("other", "insult", "stop"))
+            state, heaviest = 0, 0.0
+            for token in [*_TOKEN.findall(text), "."]:
                 if token in ".!?;\n":
-                    symbol = STOP
-                elif (symbol := self.symbol.get(token, OTHER)) == OTHER and (weight := self.insult(token)) is not None:
-                    symbol = INSULT
-                said = self.out[state][symbol]
-                if said:
-                    total[said] += SEED_WEIGHT if weight is None else weight
+                    for said in self.out[state][stop]:
+                        total[said] += SEED_WEIGHT if said == "threat" else heaviest
+                    state, heaviest = 0, 0.0
+                    continue
+                symbol = self.symbol.get(token, other)
+                if symbol == other and (weight := self.insult(token)) is not None:
+                    symbol, heaviest = insulting, max(heaviest, weight)
                 state = self.after[state][symbol]
         return tuple(total.values())
 
@@ -134,9 +180,13 @@ def _stems(text: str) -> set[str]:
 
 @tidy
 def _keyed(batches):
+    """Adds a key that near copies mostly share and other texts don't: three minima of the shingle set as one."""
     for batch in batches:
-        key = [int(s.min()) - (1 << 63) if len(s) else 0 for s in shingle_sets(batch.column("text"), 5)]
-        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(key, pa.int64())], ["text", "toxic", "key"])
+        key = []
+        for s in shingle_sets(batch.column("text"), 5):
+            low = [mix(s, salt).min() if len(s) else np.uint64(0) for salt in (401, 402, 403)]
+            key.append(int(np.bitwise_xor.reduce([mix(np.array([x]), i)[0] for i, x in enumerate(low)]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("toxic"), pa.array(key, pa.int64())], ["doc_id", "text", "toxic", "key"])
 
 
 @tidy
@@ -246,11 +296,13 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col:
     known = known.filter(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = cut(bounded_sample(cut(known), "doc_id", sample))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    taught = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")  # at most ``sample`` rows
-    taught = cut(taught.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]).select("text", "toxic"))
+    taught = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # at most ``sample`` rows
+    taught = taught.mapInArrow(_keyed, "doc_id long, text string, toxic int, key long")
+    taught = cut(taught.groupBy("key", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.text", "toxic"))
     lexicon = tuple(sorted(learn_lexicon(taught).items()))
     kind = "toxic int, " + ", ".join(f"{c} double" for c in CLASSES)
     seen = np.array([tuple(r) for r in taught.mapInArrow(functools.partial(_matched, lexicon=lexicon), kind).collect()], float).reshape(-1, 1 + len(CLASSES))
+    seen = seen[np.lexsort(seen.T)]  # so that sums don't depend on the order of the tasks
     weights = fit_logistic(np.log1p(seen[:, 1:]), seen[:, 0], _PRIOR) if len(seen) else _PRIOR
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     kind = StructType([rows.schema["row"], StructField("score", DoubleType())])

@@ -414,13 +414,77 @@ def test_grammar_reads_clauses():
     g = toxicity.Grammar({"idiot": 2.0, "vequ*": 3.0})
     f = lambda t: dict(zip(toxicity.CLASSES, g.features(t)))
     assert f("An idiot here.")["plain"] == 2.0
-    assert f("You absolute IDIOT!")["targeted"] == 2.0
-    assert f("He is gone. idiot")["plain"] == 2.0  # the clause end forgets the target
+    assert f("You absolute IDIOT!")["targeted"] == 2.0 and f("that idiot over there is you")["targeted"] == 2.0
+    assert f("He is gone. an idiot")["plain"] == 2.0  # the clause end forgets the target
     assert f("This is not an idiot")["negated"] == 2.0
     assert f("Someone said idiot twice")["reported"] == 2.0
-    assert f("vequmo")["plain"] == 3.0 and f("veq idiotic")["plain"] == 0
+    assert f("a vequmo")["plain"] == 3.0 and f("veq idiotic")["plain"] == 0
     assert f("I will kill you")["threat"] > 0 and f("I will not kill you")["threat"] == 0 and f("kill the lights")["threat"] == 0
     assert not any(f("not you, said they").values()) and not any(f("").values())
+    assert not any(f("idiot").values()) and not any(f("Idiot! idiot idiot.\nvequmo").values())  # isolated words are no clauses
+
+
+def clause_features(text, lexicon, reach=3):
+    """The grammar's rules read clause by clause, without machines."""
+    total = dict.fromkeys(toxicity.CLASSES, 0.0)
+    kinds = {w: k for k, names in (("threat", toxicity.THREATS), ("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) for w in names.split()}
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        said = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*", clause)
+        kind = [kinds.get(w) or ("insult" if w in lexicon else None) for w in said]
+        marks = []
+        for i, k in enumerate(kind):
+            if k in ("insult", "threat"):
+                how = "reported" if "report" in kind[:i] else "negated" if "negation" in kind[max(0, i - reach) : i] else "plain"
+                marks.append((k, how))
+        you, insults = "target" in kind, [how for k, how in marks if k == "insult"]
+        if insults and len(insults) < len(said):
+            best = next(how for how in ("plain", "negated", "reported") if how in insults)
+            total["targeted" if best == "plain" and you else best] += max(lexicon[w] for w, k in zip(said, kind) if k == "insult")
+        if you and ("threat", "plain") in marks:
+            total["threat"] += toxicity.SEED_WEIGHT
+    return tuple(total.values())
+
+
+def test_composed_machine_against_clause_rules():
+    """Whole texts read by the composed machine and by the rules directly give the same features."""
+    import random
+
+    r = random.Random(4)
+    lexicon = {"idiot": 2.0, "moron": 3.5, "vaurien": 1.25}
+    vocabulary = [*lexicon, "you", "they", "not", "never", "kill", "hurt", "said", "selon", "tree", "stone", "is", "été", "42", "Idiot,"]
+    ends = ["", "", "", "", ".", "!", ";", "\n", " ? "]
+    g = toxicity.Grammar(lexicon)
+    seen = set()
+    for n in range(3000):
+        text = " ".join(r.choice(vocabulary) + r.choice(ends) for _ in range(r.randint(0, 40)))
+        want = clause_features(text, lexicon)
+        assert np.allclose(g.features(text), want), text
+        seen |= {c for c, x in zip(toxicity.CLASSES, want) if x}
+    assert seen == set(toxicity.CLASSES)
+
+
+def test_composition_is_the_cascade():
+    """One step of the composed table is one step of each rule in turn."""
+    import random
+
+    rules = (toxicity.negation(), toxicity.reported, toxicity.target, toxicity.threat, toxicity.insult)
+    after, out = toxicity.compose(*rules)
+    r = random.Random(1)
+    for _ in range(200):
+        state, own = 0, [None] * len(rules)
+        for _ in range(30):
+            i = r.randrange(len(toxicity.SYMBOLS))
+            symbol = toxicity.SYMBOLS[i]
+            for j, rule in enumerate(rules):
+                own[j], symbol = rule(own[j], symbol)
+            assert out[state][i] == symbol
+            state = after[state][i]
+
+
+def test_fit_does_not_depend_on_partitions(odd, spark):
+    lab = spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    score = lambda df: sorted((str(r.doc_id), r.score) for r in toxicity.toxicity(df, lab).collect())
+    assert score(odd) == score(odd.repartition(7, "text")) == score(odd.coalesce(1))
 
 
 def test_learned_stems(spark):
