@@ -1,7 +1,8 @@
 """URL filters by a temporal list join, with native plans only.
 
 A list has dated entries: from ``day`` on, an ``action`` (block, allow or remove) holds for a ``key`` of a
-``kind`` (path: host and first path segment; host; domain: the host's last two labels). Entries of a key
+``kind`` (path: host and first path segment; host; domain: the host's registrable name, which is its last
+two labels, or three where the last two are a public suffix such as ``co.uk``; addresses have none). Entries of a key
 become validity intervals [day, day of its next entry). A capture joins, kind by kind, the one interval
 of its key that covers its fetch day. The most specific kind with an active block or allow decides.
 
@@ -14,22 +15,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 KINDS = ("path", "host", "domain")
 BOUND, SALT = 200_000, 32
 
 
+#: Second-level labels that make a public suffix with a country code: fixed values.
+SUFFIXES = "ac co com edu gov net or org"
+_AGAIN = "|".join(SUFFIXES.split())
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]*)"
+#: Hosts without a registrable name: addresses, and public suffixes themselves.
+NAMELESS = rf"^(?:\[.*|[0-9]+(?:\.[0-9]+){{3}}|(?:{_AGAIN})\.[a-z]{{2}})$"
+DOMAIN = rf"([^.]+\.(?:(?:{_AGAIN})\.[a-z]{{2}}|[^.]+))$"
+
+
 def url_host(url: Column) -> Column:
-    """Lower-case host; empty where there is none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """Lower-case host without trailing dots, in brackets if it is an IPv6 address; empty where there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.+$", "")
 
 
 def url_keys(url: Column) -> dict[str, Column]:
     host = url_host(url)
     some = lambda c: F.when(F.length(c) > 0, c)
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]*)", 1)
-    return {"path": F.when((F.length(host) > 0) & (F.length(path) > 0), F.concat(host, path)), "host": some(host), "domain": some(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))}
+    path = F.regexp_extract(url, PATH, 1)
+    domain = F.when(~host.rlike(NAMELESS), some(F.regexp_extract(host, DOMAIN, 1)))
+    return {"path": F.when((F.length(host) > 0) & (F.length(path) > 0), F.concat(host, path)), "host": some(host), "domain": domain}
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -50,8 +62,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     captures are each judged. Entries with a null field or unknown action are ignored. Other columns are
     ignored.
     """
-    valid = intervals(entries)
-    small = valid.limit(bound + 1).count() <= bound
+    valid = cut(intervals(entries))  # read once a kind below
+    small = valid.count() <= bound
     keys = url_keys(F.col(url_col))
     rows = captures.select(F.col(id_col).alias("id"), F.col(day_col).cast("int").alias("day"), *[c.alias(k) for k, c in keys.items()])
     if not small:
@@ -71,21 +83,18 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     return rows.select("id", F.col("host"), "day", F.coalesce(pick("action"), F.lit("none")).alias("verdict"), kind.alias("kind"), pick("key").alias("key"), pick("since").alias("since"))
 
 
-def _number(text: Column, at: int) -> Column:
-    return F.conv(F.substring(F.md5(text.cast("binary")), at, 4), 16, 10).cast("int")
-
-
 def dated_list(pages: DataFrame) -> DataFrame:
-    """A list made from the table's own hosts, domains and paths, by fixed rules on their MD5."""
+    """A list made from the table's own hosts, domains and paths, by fixed rules on their MD5, in one pass."""
     keys = url_keys(F.col("url"))
-    out = None
-    for kind, most, at in (("path", 40, 1), ("host", 5, 5), ("domain", 9, 9)):
-        k = pages.select(keys[kind].alias("key")).filter("key is not null").distinct()
-        first = k.filter(_number(F.col("key"), at) % most == 0).select(F.lit(kind).alias("kind"), "key", F.when(_number(F.col("key"), at + 8) % 4 == 0, "allow").otherwise("block").alias("action"), (_number(F.col("key"), at + 12) % 200).alias("day"))
-        later = first.filter(_number(F.col("key"), at + 16) % 3 != 0).select("kind", "key", F.when(_number(F.col("key"), at + 16) % 2 == 0, "remove").otherwise("allow").alias("action"), (F.col("day") + 30 + _number(F.col("key"), at + 20) % 90).alias("day"))
-        both = first.union(later)
-        out = both if out is None else out.union(both)
-    return out
+    rules = (("path", 40, 1), ("host", 5, 5), ("domain", 9, 9))
+    named = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), keys[kind].alias("key"), F.lit(most).alias("most"), F.lit(at).alias("at")) for kind, most, at in rules])).alias("x")
+    k = pages.select(named).select("x.*").filter("key is not null").distinct()
+    n = lambda plus: F.conv(F.substring(F.md5(F.col("key").cast("binary")), F.col("at") + plus, F.lit(4)), 16, 10).cast("int")
+    k = k.filter(n(0) % F.col("most") == 0).withColumn("day", n(12) % 200)
+    first = F.struct(F.when(n(8) % 4 == 0, "allow").otherwise("block").alias("action"), F.col("day"))
+    later = F.struct(F.when(n(16) % 2 == 0, "remove").otherwise("allow").alias("action"), (F.col("day") + 30 + n(20) % 90).alias("day"))
+    both = F.explode(F.when(n(16) % 3 != 0, F.array(first, later)).otherwise(F.array(first))).alias("e")
+    return k.select("kind", "key", both).select("kind", "key", "e.action", "e.day")
 
 
 def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +117,9 @@ _DECIDES = {k: f"{k}_valid.action IN ('block', 'allow')" for k in KINDS}
 _PICK = {what: "CASE " + " ".join(f"WHEN {_DECIDES[k]} THEN {value.format(k=k)}" for k in KINDS) + " END" for what, value in (("verdict", "{k}_valid.action"), ("kind", "'{k}'"), ("key", "{k}_valid.key"), ("since", "{k}_valid.since"))}
 OP9_SQL = f"""
 WITH h AS (SELECT page_id, url, CAST(page_id % 365 AS INT) AS day,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h,
-    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(/[^/?#]*)', 1) AS p FROM pages),
-  c AS (SELECT page_id, day, nullif(h, '') AS host, CASE WHEN h <> '' AND p <> '' THEN h || p END AS path, nullif(regexp_extract(h, '([^.]+\\.[^.]+)$', 1), '') AS domain FROM h),
+    regexp_replace(lower(regexp_extract(url, '{HOST}', 1)), '\\.+$', '') AS h, regexp_extract(url, '{PATH}', 1) AS p FROM pages),
+  c AS (SELECT page_id, day, nullif(h, '') AS host, CASE WHEN h <> '' AND p <> '' THEN h || p END AS path,
+    CASE WHEN NOT regexp_matches(h, '{NAMELESS}') THEN nullif(regexp_extract(h, '{DOMAIN}', 1), '') END AS domain FROM h),
   {_sql_list("path", "path", 40, 1)},{_sql_list("host", "host", 5, 5)},{_sql_list("domain", "domain", 9, 9)}
 SELECT page_id, host, c.day AS day, coalesce({_PICK["verdict"]}, 'none') AS verdict, {_PICK["kind"]} AS kind, {_PICK["key"]} AS key, {_PICK["since"]} AS since
 FROM c {" ".join(f"LEFT JOIN {k}_valid {_ON.format(k=k)}" for k in KINDS)}
