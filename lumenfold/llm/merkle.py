@@ -1,13 +1,15 @@
-"""Merkle fixity audit of record archives.
-
-Every record is hashed; the records of ``LEAF`` consecutive ids are one leaf, an ordered range of the
-archive's offsets; ``FANOUT`` nodes have one parent. An id's records are summarised by fixed-size
-aggregates first, so one id with any number of records costs one row a task, and a node hashes its at
-most ``FANOUT`` children in order. Replicas compare their roots and go down only into children of nodes
-that differ; records are compared only in differing leaves.
-
-``write_archive`` and ``read_archive`` keep the records as WARC/1.1 response records, one segment file a
-range of ids, and give each record's byte offset and length.
+"""Merkle fixity audit of WARC archives.
+
+A record is hashed as the bytes that the archive holds for it: WARC/1.1 head, HTTP head and body. The records
+of ``LEAF`` consecutive ids are one leaf, an ordered range of the archive's offsets; ``FANOUT`` nodes have one
+parent. A node's hash covers, for each child in order, where it begins inside the node, how many bytes it
+holds and its hash; so a record that moves, grows or vanishes changes the nodes above it and no others. An id's
+records are summarised by fixed-size aggregates first, so one id with any number of records costs one row a
+task. Replicas compare their roots and go down only into children of nodes that differ; records are compared
+only in differing leaves.
+
+``write_archive`` and ``read_archive`` keep the records in segments, one a range of ids, and give each
+record's byte offset and length. The tests hold their bytes and offsets against those that the audit hashes.
 """
 
 from __future__ import annotations
@@ -23,30 +25,56 @@ from .common import cut, table
 LEAF, FANOUT, SEGMENT = 64, 16, 1024
 
 
-def record_digest(*columns: str) -> Column:
-    """SHA-256 of the columns' text, each with its length before it, so no two lists of values read alike."""
-    parts = [F.concat(F.coalesce(F.octet_length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
-    return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
+NO_DATE = "1970-01-01T00:00:00Z"
+_CRLF = "\r\n"
+#: The fixed text of a record, between its values.
+HEAD = (f"WARC/1.1{_CRLF}WARC-Type: response{_CRLF}WARC-Record-ID: <urn:record:", f">{_CRLF}WARC-Date: ", f"{_CRLF}WARC-Target-URI: ")
+NO_URL, RAW_URL, NO_BODY = f"urn:null{_CRLF}X-No-URI: 1", f"{_CRLF}X-Raw-URI-Hex: ", f"{_CRLF}WARC-Truncated: unspecified"
+BLOCK_HEAD = f"{_CRLF}Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "
+HTTP = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "
+_GAP = _CRLF * 2
+
+
+def warc_record(record_id: Column, url: Column, body: Column, date: Column | None = None) -> Column:
+    """A WARC/1.1 response record as text. Null ids, URLs and bodies are told apart from any value by their heads."""
+    lines = url.rlike("[\\r\\n]")
+    safe = F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+    uri = F.when(url.isNull(), F.lit(NO_URL)).when(lines, F.concat(safe, F.lit(RAW_URL), F.hex(url.cast("binary")))).otherwise(url)
+    text = F.coalesce(body, F.lit(""))
+    size = F.octet_length(text).cast("string")
+    block = F.octet_length(text) + F.octet_length(size) + len(HTTP + _GAP)
+    values = (record_id.cast("string"), F.lit("none")), (F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'") if date is not None else F.lit(NO_DATE), F.lit(NO_DATE)), (uri, F.lit(""))
+    head = [x for fixed, (value, other) in zip(HEAD, values) for x in (F.lit(fixed), F.coalesce(value, other))]
+    return F.concat(*head, F.when(body.isNull(), F.lit(NO_BODY)).otherwise(F.lit("")), F.lit(BLOCK_HEAD), block.cast("string"), F.lit(_GAP + HTTP), size, F.lit(_GAP), text, F.lit(_GAP))
+
 
+def _records_of(rows: DataFrame, id_col: str, url_col: str, body_col: str, date_col: str | None) -> DataFrame:
+    """(id, record) of each row."""
+    record_id = F.col(id_col).cast("long")
+    date = F.col(date_col).cast("timestamp") if date_col else None
+    return rows.select(record_id.alias("id"), warc_record(record_id, F.col(url_col).cast("string"), F.col(body_col).cast("string"), date).alias("record"))
 
-def manifest(records: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(id, digest, n, bytes): one row an id. ``digest`` sums up all records of the id, in no order."""
-    r = records.select(F.col(id_col).cast("long").alias("id"), record_digest(*columns).alias("d"), sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in columns), F.lit(0).cast("long")).alias("b"))
+
+def manifest(records: DataFrame) -> DataFrame:
+    """(id, digest, n, bytes) from (id, record): one row an id. ``digest`` sums up all records of the id, in no order."""
+    r = records.select("id", F.sha2(F.col("record").cast("binary"), 256).alias("d"), F.octet_length("record").cast("long").alias("b"))
     both = r.groupBy("id").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("x"), F.sum(F.xxhash64("d", F.lit(2)).cast("decimal(20,0)")).alias("s"), F.sum("b").alias("bytes"))
     many = F.sha2(F.concat_ws("|", "n", "lo", "hi", "x", "s", "bytes").cast("binary"), 256)
     return both.select("id", F.when(F.col("n") == 1, F.col("lo")).otherwise(many).alias("digest"), "n", "bytes")
 
 
 def _up(nodes: DataFrame, width: int) -> DataFrame:
-    """Parents of (node, digest) rows: the digest of their children in order."""
-    kids = F.array_sort(F.collect_list(F.struct("node", "digest")))  # at most ``width`` of them
-    text = F.array_join(F.transform(kids, lambda k: F.concat(k["node"].cast("string"), F.lit("="), k["digest"])), ",")
-    return nodes.groupBy(F.floor(F.col("node") / width).cast("long").alias("node")).agg(F.sha2(text.cast("binary"), 256).alias("digest"))
+    """Parents of (node, digest, bytes) rows: the hash of their children in order, each with its range of offsets."""
+    kids = F.array_sort(F.collect_list(F.struct("node", "digest", "bytes")))  # at most ``width`` of them
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+    step = lambda acc, k: F.struct(F.concat_ws(",", acc["text"], F.concat_ws(":", k["node"], acc["at"], k["bytes"], k["digest"])).alias("text"), (acc["at"] + k["bytes"]).alias("at"))
+    up = nodes.groupBy(F.floor(F.col("node") / width).cast("long").alias("node")).agg(F.aggregate(kids, start, step).alias("all"))
+    return up.select("node", F.sha2(F.col("all.text").cast("binary"), 256).alias("digest"), F.col("all.at").alias("bytes"))
 
 
 def tree(rows: DataFrame, height: int) -> list[DataFrame]:
     """Levels from the leaves up to ``height`` parents above; the last one holds the root."""
-    levels = [cut(_up(rows.filter("id is not null").select(F.col("id").alias("node"), "digest"), LEAF))]
+    levels = [cut(_up(rows.filter("id is not null").select(F.col("id").alias("node"), "digest", "bytes"), LEAF))]
     for _ in range(height):
         levels.append(cut(_up(levels[-1], FANOUT)))
     return levels
@@ -57,17 +85,17 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "node", "full_outer").filter(~F.col("da").eqNullSafe(F.col("db"))).select("node")
 
 
-def audit(primary: DataFrame, replica: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date_col: str | None = None) -> DataFrame:
     """(id, leaf, status, record_offset, n_primary, n_replica) of every id whose records differ.
 
     ``status`` is changed, missing (from the replica) or extra (in the replica). ``record_offset`` is the
-    primary's byte offset of the id's first record inside its segment of ``SEGMENT`` ids, counting the
-    bytes of ``columns``; null for extra ids. Null values differ from empty ones. Rows that repeat a record
+    byte offset of the id's first record inside its segment of ``SEGMENT`` ids in the primary's archive;
+    null for extra ids. Null values differ from empty ones. Rows that repeat a record
     count: dropping one of two is a change. Rows with a null id have no place in the tree; they are
     compared as one group, with a null leaf and offset. Other columns are ignored. Two empty tables give
     no rows.
     """
-    a, b = cut(manifest(primary, id_col, columns)), cut(manifest(replica, id_col, columns))
+    a, b = (cut(manifest(_records_of(x, id_col, url_col, body_col, date_col))) for x in (primary, replica))
     ends = a.select("id").union(b.select("id")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
     nowhere = [x.filter("id is null") for x in (a, b)]
     if ends["lo"] is None:
@@ -99,67 +127,77 @@ def audit(primary: DataFrame, replica: DataFrame, id_col: str, columns: list[str
 # --- archives -------------------------------------------------------------------------------------------
 
 
-def record_bytes(record_id: int, url: str | None, body: str | None) -> bytes:
-    """One WARC/1.1 response record."""
-    payload = (body or "").encode("utf-8")
-    head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:record:{record_id}>"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + payload + b"\r\n\r\n"
+PART = 64 << 20
+_HEAD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
+_HTTP = re.compile(rb"HTTP/1\.1 200 OK\r\n(.*?)\r\n\r\n", re.S)
 
 
-_HEAD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
+def _fields(head: bytes) -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in head.decode("utf-8").split(_CRLF))
 
 
 def parse_segment(data: bytes):
-    """(record id, url, body, offset, length) of each record; a damaged header or length raises ValueError."""
+    """(record id, url, body, offset, length) of each record; a damaged head or length raises ValueError."""
     at = 0
     while at < len(data):
         m = _HEAD.match(data, at)
         if not m:
             raise ValueError(f"no record at byte {at}")
-        head = dict(line.split(": ", 1) for line in m[1].decode("utf-8").split("\r\n"))
+        head = _fields(m[1])
         end = m.end() + int(head["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
+        http = _HTTP.match(data, m.end(), end)
+        if data[end : end + 4] != b"\r\n\r\n" or not http or http.end() + int(_fields(http[1])["Content-Length"]) != end:
             raise ValueError(f"record at byte {at} does not end at byte {end}")
-        yield int(head["WARC-Record-ID"][len("<urn:record:") : -1]), head.get("WARC-Target-URI"), data[m.end() : end].decode("utf-8"), at, end + 4 - at
+        own = head["WARC-Record-ID"][len("<urn:record:") : -1]
+        url = None if "X-No-URI" in head else bytes.fromhex(head["X-Raw-URI-Hex"]).decode("utf-8") if "X-Raw-URI-Hex" in head else head["WARC-Target-URI"]
+        body = None if "WARC-Truncated" in head else data[http.end() : end].decode("utf-8")
+        yield None if own == "none" else int(own), url, body, at, end + 4 - at
         at = end + 4
 
 
-def _segments(batches, names):
+def _segments(batches):
+    """Parts of segments from (segment, record) rows sorted by segment; a part ends with the record that fills ``PART`` bytes."""
     import pyarrow as pa
 
-    seg, data = None, []
+    seg, base, data, held = None, 0, [], 0
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([b"".join(data)], pa.binary())], ["segment", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([base], pa.int64()), pa.array([b"".join(data)], pa.binary())], ["segment", "base", "content"])
 
     for batch in batches:
-        for s, i, url, body in zip(*(batch.column(c).to_pylist() for c in names)):
-            if s != seg and data:
+        for s, record in zip(batch.column("segment").to_pylist(), batch.column("record").to_pylist()):
+            if data and (s != seg or held >= PART):
                 yield done()
-                data = []
+                base = base + held if s == seg else 0
+                data, held = [], 0
             seg = s
-            data.append(record_bytes(i, url, body))
+            data.append(record.encode("utf-8"))
+            held += len(data[-1])
     if data:
         yield done()
 
 
-def write_archive(records: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
-    """Segments (segment, content) as Parquet at ``path``; rows with a null id are refused by the caller's filter, not stored."""
-    r = records.select(F.floor(F.col(id_col) / SEGMENT).cast("long").alias("seg"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("u"), F.col(body_col).alias("b")).filter("id is not null")
-    r = r.repartition("seg").sortWithinPartitions("seg", "id", F.sha2(F.col("b").cast("binary"), 256))
-    r.mapInArrow(functools.partial(_segments, names=["seg", "id", "u", "b"]), "segment long, content binary").write.parquet(path)
+def write_archive(rows: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date_col: str | None = None) -> None:
+    """Parts of segments (segment, base, content) as Parquet at ``path``; ``base`` is a part's offset in its segment.
+
+    Every row is stored. Rows with a null id have segments of their own, below all others, by a hash of their record.
+    """
+    r = _records_of(rows, id_col, url_col, body_col, date_col)
+    spare = max(1, -(-r.filter("id is null").count() // SEGMENT))
+    alone = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("record"), F.lit(spare))
+    r = r.withColumn("segment", F.coalesce(F.floor(F.col("id") / SEGMENT).cast("long"), alone))
+    r = r.repartition("segment").sortWithinPartitions("segment", "id", F.sha2(F.col("record").cast("binary"), 256))
+    r.select("segment", "record").mapInArrow(_segments, "segment long, base long, content binary").write.parquet(path)
 
 
 def _records(batches):
     import pyarrow as pa
 
+    kinds = {"segment": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "record_offset": pa.int64(), "record_bytes": pa.int64()}
     for batch in batches:
-        rows = [(s, *r) for s, c in zip(batch.column("segment").to_pylist(), batch.column("content").to_pylist()) for r in parse_segment(c)]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["segment", "page_id", "url", "html", "record_offset", "record_bytes"])
+        for s, base, content in zip(*(batch.column(c).to_pylist() for c in ("segment", "base", "content"))):
+            rows = [(s, i, url, body, base + at, n) for i, url, body, at, n in parse_segment(content)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -181,13 +219,17 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return audit(pages, damaged(pages), "page_id", ["url", "html"]).withColumnRenamed("id", "page_id")
+    return audit(pages, damaged(pages)).withColumnRenamed("id", "page_id")
 
 
-OP1_SQL = """
+_SIZE = "strlen(coalesce(html, ''))"
+_BLOCK = f"({_SIZE} + strlen(CAST({_SIZE} AS VARCHAR)) + {len(HTTP + _GAP)})"
+OP1_SQL = f"""
 WITH p AS (
   SELECT page_id, url, html, CAST(floor(page_id / 1024) AS BIGINT) AS seg,
-         strlen(coalesce(url, '')) + strlen(coalesce(html, '')) AS bytes FROM pages),
+         {len("".join(HEAD) + NO_DATE + BLOCK_HEAD + _GAP * 2)} + strlen(CAST(page_id AS VARCHAR))
+         + CASE WHEN url IS NULL THEN {len(NO_URL)} ELSE strlen(url) END + CASE WHEN html IS NULL THEN {len(NO_BODY)} ELSE 0 END
+         + strlen(CAST({_BLOCK} AS VARCHAR)) + {_BLOCK} AS bytes FROM pages),
 placed AS (
   SELECT *, CAST(coalesce(sum(bytes) OVER (PARTITION BY seg ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset FROM p),
 gone AS (SELECT page_id, 'missing' AS status, record_offset, 1 AS n_primary, 0 AS n_replica FROM placed WHERE page_id % 499 = 17),

@@ -231,39 +231,71 @@ def test_audit(spark):
     rows = [(i, u, "" if (i == 3 and h is None) else h) for i, u, h in rows]  # null became empty
     rows += [(5000, "new", "new"), (12, "http://h0/p12", "x" * 5 + "é")]  # one extra record, one repeat
     b = spark.createDataFrame([(*r, "d", 1) for r in rows], PAGES).repartition(4)
-    got = {r.id: (r.status, r.n_primary, r.n_replica) for r in merkle.audit(a, b, "page_id", ["url", "html"]).collect()}
+    got = {r.id: (r.status, r.n_primary, r.n_replica) for r in merkle.audit(a, b).collect()}
     assert got == {77: ("missing", 1, 0), 5: ("changed", 1, 1), 200: ("changed", 1, 1), -4: ("changed", 1, 1), 3: ("changed", 2, 2), 5000: ("extra", 0, 1), 12: ("changed", 1, 2)}
 
 
 def test_audit_offsets(spark):
     a = spark.createDataFrame([(i, "ab", "é" * i) for i in range(6)], "page_id long, url string, html string")
     b = a.filter("page_id <> 4")
-    assert [(r.id, r.record_offset) for r in merkle.audit(a, b, "page_id", ["url", "html"]).collect()] == [(4, sum(2 + 2 * i for i in range(4)))]
+    lengths = [len(r.record.encode()) for r in merkle._records_of(a, "page_id", "url", "html", None).orderBy("id").collect()]
+    assert [(r.id, r.record_offset) for r in merkle.audit(a, b).collect()] == [(4, sum(lengths[:4]))]
+
+
+def test_offsets_are_part_of_the_tree(spark):
+    """A leaf's hash covers where its records lie: equal records at other offsets are another leaf; siblings don't change."""
+    rows = lambda sizes: spark.createDataFrame([(i, f"d{i}", n) for i, n in enumerate(sizes)], "node long, digest string, bytes long")
+    up = lambda sizes, width: {r.node: (r.digest, r.bytes) for r in merkle._up(rows(sizes), width).collect()}
+    one, two = up([10, 20, 30, 40], 2), up([11, 20, 30, 40], 2)
+    assert one[0] != two[0] and one[1] == two[1] and one[1][1] == 70
+    assert up([10, 20], 2)[0][0] != up([20, 10], 2)[0][0]
 
 
 def test_equal_and_empty_replicas(spark):
     a = spark.createDataFrame([(*r, "d", 1) for r in page_rows()], PAGES)
-    assert merkle.audit(a, a.repartition(5), "page_id", ["url", "html"]).count() == 0
-    assert merkle.audit(a.limit(0), a.limit(0), "page_id", ["url", "html"]).count() == 0
+    assert merkle.audit(a, a.repartition(5)).count() == 0
+    assert merkle.audit(a.limit(0), a.limit(0)).count() == 0
     ids = {r[0] for r in page_rows()}
-    gone = merkle.audit(a, a.limit(0), "page_id", ["url", "html"]).collect()
+    gone = merkle.audit(a, a.limit(0)).collect()
     assert {r.id for r in gone} == ids and {r.status for r in gone} == {"missing"}
-    null = merkle.audit(a, a.filter("page_id is not null"), "page_id", ["url", "html"]).collect()
+    null = merkle.audit(a, a.filter("page_id is not null")).collect()
     assert [(r.id, r.status, r.leaf) for r in null] == [(None, "missing", None)]
 
 
-def test_archive_round_trip(spark, tmp_path):
-    a = spark.createDataFrame([(*r, "d", 1) for r in page_rows() if r[0] is not None and r[2] is not None], PAGES)
+def test_archive_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(merkle, "PART", 2000)  # inherited by workers that start now
+    rows = [*page_rows(), (8, None, "no url"), (11, "http://a/\r\nb", "x"), (13, "urn:null", ""), (None, None, None)]
+    a = spark.createDataFrame([(*r, "d", 1) for r in rows], PAGES)
     merkle.write_archive(a, str(tmp_path / "a"))
     back = merkle.read_archive(spark, str(tmp_path / "a"))
-    assert merkle.audit(a, back, "page_id", ["url", "html"]).count() == 0
-    rows = sorted((r.segment, r.record_offset, r.record_bytes) for r in back.collect())
+    assert merkle.audit(a, back).count() == 0
+    assert sorted(map(str, back.select("page_id", "url", "html").collect())) == sorted(map(str, a.select("page_id", "url", "html").collect()))
+    got = back.collect()
     ends = {}
-    for seg, at, n in rows:
-        assert at == ends.get(seg, 0)
-        ends[seg] = at + n
+    for r in sorted(got, key=lambda r: (r.segment, r.record_offset)):
+        assert r.record_offset == ends.get(r.segment, 0)
+        ends[r.segment] = r.record_offset + r.record_bytes
+    # the audit's offsets are the archive's
+    first = {}
+    for r in got:
+        if r.page_id is not None:
+            first[r.page_id] = min(r.record_offset, first.get(r.page_id, 1 << 60))
+    found = merkle.audit(a, a.limit(0)).filter("id is not null").collect()
+    assert {r.id: r.record_offset for r in found} == first
+
+
+def test_records_are_valid_warc(spark):
+    row = spark.createDataFrame([(7, "http://a/é", "<p>é</p>", 0)], "page_id long, url string, html string, at long")
+    text = row.select(merkle.warc_record(F.col("page_id"), F.col("url"), F.col("html"), F.timestamp_seconds(F.col("at") + 86400)).alias("r")).first().r
+    data = text.encode()
+    head, block = data.split(b"\r\n\r\n", 1)
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    assert head.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n")
+    assert fields["WARC-Type"] == "response" and fields["WARC-Date"] == "1970-01-02T00:00:00Z" and fields["WARC-Target-URI"] == "http://a/é"
+    assert fields["Content-Type"].startswith("application/http") and int(fields["Content-Length"]) == len(block) - 4
+    assert block[:-4].split(b"\r\n\r\n", 1)[1] == "<p>é</p>".encode()
     with pytest.raises(ValueError):
-        list(merkle.parse_segment(merkle.record_bytes(1, "u", "b")[:-2]))
+        list(merkle.parse_segment(data[:-2]))
 
 
 # --- URL lists ------------------------------------------------------------------------------------------
@@ -291,6 +323,24 @@ def test_url_lists(spark, bound):
     assert got == want
 
 
+def test_keys_of_odd_hosts(spark):
+    urls = ["http://[::1]:80/a", "http://1.2.3.4/x", "https://a.co.uk/", "https://www.a.co.uk", "http://co.uk/", "http://Ex.com./p", "http://u@v:w@h.a.b.org/", "http://localhost", "x://..", "ftp:/no"]
+    keys = url_lists.url_keys(F.col("u"))
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(*keys.values()).collect()]
+    assert got == [
+        ("[::1]/a", "[::1]", None),
+        ("1.2.3.4/x", "1.2.3.4", None),
+        ("a.co.uk/", "a.co.uk", "a.co.uk"),
+        (None, "www.a.co.uk", "a.co.uk"),
+        ("co.uk/", "co.uk", None),
+        ("ex.com/p", "ex.com", "ex.com"),
+        ("h.a.b.org/", "h.a.b.org", "b.org"),
+        (None, "localhost", None),
+        (None, None, None),
+        (None, None, None),
+    ]
+
+
 def test_no_entries_or_captures(spark):
     c = spark.createDataFrame([(1, "http://a.com/", 1)], "page_id long, url string, day int")
     e = spark.createDataFrame([], "kind string, key string, action string, day int")
