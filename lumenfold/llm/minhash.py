@@ -104,10 +104,11 @@ def signatures(column, k: int):
 
 @tidy
 def _sign(batches, k: int):
+    """Rows (doc_id, text, digest) signed."""
     for batch in batches:
         n, d1, d2, packed, bands = signatures(batch.column(1), k)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), pa.array(packed, pa.binary()), flat], ["doc_id", "n_shingles", "d1", "d2", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array(d1), pa.array(d2), pa.array(packed, pa.binary()), flat], ["doc_id", "digest", "n_shingles", "d1", "d2", "sig", "bands"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -248,7 +249,7 @@ def _confirm(batches, percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, slack: float = 0.18) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, digest) for each row of ``docs``; ``digest`` is xxhash64 of its text.
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their ``k``-word shingle
     sets. ``slack`` is how far the estimate may fall below that before a pair is not even confirmed
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(docs.mapInArrow(functools.partial(_sign, k=k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"))
+    signed = cut(docs.withColumn("digest", F.xxhash64("text")).mapInArrow(functools.partial(_sign, k=k), "doc_id long, digest long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"))
     live = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
@@ -269,11 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("cls", "rep", "times", "d1", "d2").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
     many = F.col("times") > MANY
-    out = spread(signed.select("doc_id", "n_shingles", "d1", "d2"), named.filter(many).select("d1", "d2", F.col("component_id").alias("theirs")), ["d1", "d2"], "doc_id")
+    out = spread(signed.select("doc_id", "digest", "n_shingles", "d1", "d2"), named.filter(many).select("d1", "d2", F.col("component_id").alias("theirs")), ["d1", "d2"], "doc_id")
     few = out.filter("theirs is null").join(named.filter(~many).select("d1", "d2", "component_id"), ["d1", "d2"], "left")
-    out = few.select("doc_id", "n_shingles", "component_id").union(out.filter("theirs is not null").select("doc_id", "n_shingles", "theirs"))
+    out = few.select("doc_id", "digest", "n_shingles", "component_id").union(out.filter("theirs is not null").select("doc_id", "digest", "n_shingles", "theirs"))
     own = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "digest").select("doc_id", "n_shingles", "component_id", kept, "digest")
 
 
 def _links(docs: DataFrame, live: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
@@ -461,4 +463,4 @@ def _closed(batches, percent: int):
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("digest")

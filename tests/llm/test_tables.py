@@ -382,5 +382,50 @@ def test_stages(spark, odd, none, tables):
         assert stage(spark, none, tables).count() == 0
 
 
-def test_run(spark, tables):
-    assert corpus_pipeline.run(spark, tables).filter(F.col("length") > 2048).count() == 0
+def test_clashing_names(spark, tables):
+    """Columns named like any that the stages add come through every stage untouched."""
+    names = ["_n", "_id", "_digest", "_position", "row", "id", "digest", "n", "position", "positions", "size", "score", "_rid", "skey", "ord", "kept", "cls"]
+    rows = [(i, f"text number {i} of its own kind", "s1", *[f"{c}{i}" for c in names]) for i in [*range(12), 3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, tables)
+        assert got.columns == df.columns, name
+        assert {tuple(r) for r in got.collect()} <= set(rows), name
+    assert corpus_pipeline.pack_sequences(spark, df, tables).count() == 13
+
+
+def test_run_against_brute_force(spark, odd, tmp_path):
+    """Kept documents, copies and tokens of the whole chain equal a plain reading of its rules."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lumenfold.llm import toxicity
+
+    from .test_texts import brute_components, brute_mix, clause_features
+
+    rows = odd_rows()
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    lexicon = dict.fromkeys(toxicity.INSULTS.split(), toxicity.SEED_WEIGHT)
+    toxic = lambda t: np.log1p(clause_features(t or "", lexicon)) @ toxicity._PRIOR[:-1] + toxicity._PRIOR[-1] >= 0
+    clean = [r for r in rows if not toxic(r[1])]
+    assert 0 < len(clean) < len(rows)
+    comp = brute_components(clean, 5, 80)
+    kept = {(r[0], r[1], r[3]) for r in clean if r[0] is not None and comp[r[0]] == r[0]} | {(r[0], r[1], r[3]) for r in clean if r[0] is None}
+    tie = {r.text: r.h for r in odd.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    taken = {}
+    for d, n, s, _ in brute_mix(sorted(kept, key=str), tie):
+        taken[d, n, s] = taken.get((d, n, s), 0) + 1
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for d, t, s in kept:
+        n = len((t or "").split())
+        copies = taken.get((str(d), n, s), 0)
+        if copies:
+            want[d] = want.get(d, 0) + copies * (1 + len(library.encode(t or "", add_special_tokens=False).ids))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    mine = {}
+    for r in got:
+        assert 0 < r.length <= 2048
+        mine[r.doc_id] = mine.get(r.doc_id, 0) + r.length
+    assert mine == want

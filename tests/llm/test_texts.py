@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -309,10 +310,85 @@ def test_mix(odd):
 
 def test_salted_join_gives_the_same(odd, monkeypatch):
     one = sorted(str(tuple(r)) for r in mixing.mix_sources(odd).collect())
-    monkeypatch.setattr(mixing, "SOURCES", 0)
+    monkeypatch.setattr(common, "SIDE", 0)
     assert one == sorted(str(tuple(r)) for r in mixing.mix_sources(odd).collect())
 
 
+def brute_mix(rows, tie, weights=(3, 1, 2)):
+    """Copies and positions of each (doc_id, text, source) row, source by source in its order, without windows."""
+    size = lambda t: len(WORD.findall(t or ""))
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    own = {s: sum(size(r[1]) for r in rows if r[2] == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, open_, left = {}, list(sources), 1.5 * sum(own.values())
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 2 * own[s] <= level * weight[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 2.0 * own[s]
+            left -= target[s]
+            open_.remove(s)
+    target |= {s: level * weight[s] for s in open_}
+    out = []
+    for i, s in enumerate(sources):
+        copies = collections.Counter()
+        mine = []
+        for d, t, x in rows:
+            if x == s:
+                mine.append([hashlib.md5(f"{'' if d is None else d}|{size(t)}|{tie[t]}|{copies[d, t]}".encode()).hexdigest(), d, size(t), 0])
+                copies[d, t] += 1
+        mine.sort()
+        passes = int(target[s] // own[s]) if own[s] else 0
+        gap = target[s] - passes * own[s]
+        for _ in range(mixing.FILLS):
+            at, had = 0, gap
+            for m in mine:
+                if not m[3] and 0 < m[2] <= had:
+                    at += m[2]
+                    if at <= had:
+                        m[3], gap = 1, gap - m[2]
+        for _ in range(mixing.TOPS):
+            best = min(((abs(m[2] - gap), m[0]) for m in mine if not m[3] and m[2] and abs(m[2] - gap) < gap), default=None)
+            if best:
+                m = next(m for m in mine if m[0] == best[1])
+                m[3], gap = 1, gap - m[2]
+        schedule = mixing.SCHEDULES[i % len(weights)]
+        t = np.linspace(0, 1, 200_001)
+        w = np.interp(t, *zip(*schedule))
+        area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        supplied = passes * own[s] + sum(m[2] for m in mine if m[3])
+        for c in range(passes + 1):
+            done = 0
+            for m in mine:
+                if c < passes or m[3]:
+                    share = (c * own[s] + done) / supplied if supplied else 0.0
+                    out.append((str(m[1]), m[2], s, round(float(np.interp(share * area[-1], area, t)), 4)))
+                    done += m[2]
+    return out
+
+
+def test_mix_against_brute_force(odd, spark):
+    """Which documents are taken, how often and at which positions, equals a plain reading of the rules."""
+    rows = [(r[0], r[1], r[3]) for r in odd_rows()]
+    rows += [(None, "rows without an id", "s2")] * 6 + [(500, "one row many times over", "s3")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    tie = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    got = [(str(r.doc_id), r["size"], r.source, p) for r in mixing.mix_sources(df).collect() for p in r.positions]
+    want = sorted(brute_mix(rows, tie), key=lambda x: (x[0], x[1], str(x[2]), x[3]))
+    got = sorted(got, key=lambda x: (x[0], x[1], str(x[2]), x[3]))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want)) < 2e-4
+
+
+def test_many_sources_number_by_code_point(spark):
+    rows = [(f"s{i}", 1 + i % 3) for i in range(300)] + [(None, 4), ("Z", 2), ("é", 2)]
+    got = {r.source: r.weight for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(7)).collect()}
+    order = sorted((s for s, _ in rows if s), key=str.encode) + [None]
+    assert got == {s: float((3, 1, 2)[i % 3]) for i, s in enumerate(order)}
+
+
 def test_position_inverts_the_schedule(spark):
     schedule = [(0.0, 0.5), (0.5, 1.0), (1.0, 2.0)]
     total = 0.375 + 0.75
