@@ -12,7 +12,8 @@
    of its classes join one component. Only classes of different components are compared further: the largest
    component's with the others', and those with each other, in pairs of blocks. Where even that would copy a
    class over ``WIDE`` times, the bucket is split by every second band first: a pair at the threshold shares
-   two bands of 24 but for one in a million. So rows stay linear in the bucket.
+   two bands of 24 but for one in a million. So rows stay linear in the bucket. Nothing is asked for here:
+   classes that have a similar one of another component go to step 5.
 5. Buckets in which a class had more similar partners than it asked for are closed exactly: the classes
    they hold are grouped, groups are dealt out in pairs of blocks of their full sets (the largest
    component found so far isn't compared with itself), intersections of a pair of blocks are one matrix
@@ -124,14 +125,54 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
+def _similar(run: dict, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates between two sets of rows of a bucket piece, and which pairs are similar and of different components."""
+    est = np.concatenate([similarity(run["sig"][left[s : s + 128]][:, None, :], run["sig"][right][None, :, :]) for s in range(0, len(left), 128)])
+    return est, (est >= least) & (run["comp"][left][:, None] != run["comp"][right][None, :])
+
+
+def _sides(run: dict) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of a piece to compare with each other: all with all, or those of one block with the other's."""
+    side, rows = run["side"], np.arange(len(run["cls"]))
+    if side.max() == side.min():
+        return rows, rows, False
+    return rows[side == side.min()], rows[side == side.max()], True
+
+
+def _touching(run: dict, least: float) -> np.ndarray:
+    """Rows of a piece that are similar to one of another component."""
+    left, right, _ = _sides(run)
+    ok = _similar(run, left, right, least)[1]
+    out = np.zeros(len(run["cls"]), bool)
+    out[left] = ok.any(axis=1)
+    out[right] |= ok.any(axis=0)
+    return out
+
+
+def _ask_pivots(run: dict, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs asked for in a chunk: with the smallest similar pivot and the most similar one, or, where none is similar, as in any bucket."""
+    rows, pivots = np.flatnonzero(run["side"] == 0), np.flatnonzero(run["side"])
+    if not len(pivots) or not len(rows):
+        a, b, _ = _ask(run | {"side": np.zeros_like(run["side"])}, least, 1)
+        return a, b
+    est, ok = _similar(run, rows, pivots, least)
+    some = ok.any(axis=1)
+    first = np.where(ok, run["cls"][pivots][None, :], np.iinfo(np.int64).max).argmin(axis=1)
+    best = np.where(ok, est, -2.0).argmax(axis=1)
+    a, b = [rows[some]] * 2, [pivots[first[some]], pivots[best[some]]]
+    for part in (rows[~some], pivots):
+        if len(part) > 1:
+            x, y, _ = _ask({c: v[part] for c, v in run.items()} | {"side": np.zeros(len(part), int)}, least, 1)
+            a.append(part[x])
+            b.append(part[y])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (index, index) that the rows of one bucket piece ask for, and per row whether it held any back."""
-    sig, comp, cls, side = run["sig"], run["comp"], run["cls"], run["side"]
-    cross = bool(side.max() != side.min())
-    rows = np.arange(len(cls))
-    left, right = (rows[side == side.min()], rows[side == side.max()]) if cross else (rows, rows)
-    est = np.concatenate([similarity(sig[left[s : s + 128]][:, None, :], sig[right][None, :, :]) for s in range(0, len(left), 128)])
-    ok = (est >= least) & (comp[left][:, None] != comp[right][None, :])
+    cls = run["cls"]
+    left, right, cross = _sides(run)
+    est, ok = _similar(run, left, right, least)
     a_out, b_out, held = [], [], np.zeros(len(cls), bool)
     for x, y, ok_, est_ in ((left, right, ok, est), (right, left, ok.T, est.T)) if cross else ((left, right, ok, est),):
         count = ok_.sum(axis=1)
@@ -156,7 +197,10 @@ def _ask(run: dict, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 @tidy
 def _compare(batches, least: float, k: int):
-    """Streams rows sorted by (bkey, bi, bj); a bucket piece is at most two blocks of rows."""
+    """Streams rows sorted by (bkey, bi, bj); a bucket piece is at most two blocks of rows.
+
+    ``k`` 0 asks for nothing and gives (bkey, cls) of the classes that are similar to one of another component.
+    """
     names = ["bkey", "bi", "bj", "blk", "cls", "comp"]
     rest = None
 
@@ -177,13 +221,26 @@ def _compare(batches, least: float, k: int):
             ok = two[(est >= least) & (t["comp"][two] != t["comp"][two + 1])]
             a_all.append(ok)
             b_all.append(ok + 1)
+            if not k:
+                h_all += [ok, ok + 1]
         for s, e in zip(starts[size > 2], ends[size > 2]):
-            a, b, held = _ask({"sig": t["sig"][s:e], "comp": t["comp"][s:e], "cls": t["cls"][s:e], "side": t["blk"][s:e]}, least, k)
+            run = {"sig": t["sig"][s:e], "comp": t["comp"][s:e], "cls": t["cls"][s:e], "side": t["blk"][s:e]}
+            if not k:
+                h_all.append(np.flatnonzero(_touching(run, least)) + s)
+                continue
+            if t["bj"][s] < 0:
+                a, b = _ask_pivots(run, least)
+                held = np.zeros(0, bool)
+            else:
+                a, b, held = _ask(run, least, k)
             a_all.append(a + s)
             b_all.append(b + s)
             if held.any():
                 h_all.append(np.flatnonzero(held) + s)
         a, b, h = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a_all, b_all, h_all))
+        if not k:
+            out = np.unique(np.stack([t["bkey"][h], t["cls"][h]]), axis=1)
+            return out, h[:0], {c: v[done:] for c, v in t.items()}
         ra, rb = t["cls"][a], t["cls"][b]
         out = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         keys = np.unique(t["bkey"][h])
@@ -266,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
-    comp = connected_components(_links(docs, live, classes, k, percent, percent / 100 - slack), "a", "b").withColumnRenamed("node", "cls")
+    comp = _components(docs, live, classes, k, percent, percent / 100 - slack)
     named = classes.select("cls", "rep", "times", "d1", "d2").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
     many = F.col("times") > MANY
@@ -278,8 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "digest").select("doc_id", "n_shingles", "component_id", kept, "digest")
 
 
-def _links(docs: DataFrame, live: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
-    """Confirmed links between classes that span every component."""
+def _components(docs: DataFrame, live: DataFrame, classes: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+    """(cls, component) of the classes that link with another."""
     member = classes.select(F.explode("bands").alias("bkey"), "cls")
     sizes = member.groupBy("bkey").agg(F.count("*").alias("n"), F.min("cls").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("fp")).filter("n > 1")
     same = sizes.groupBy("n", "m", "fp").agg(F.min("bkey").alias("one"), F.collect_set("bkey").alias("all"))  # bands that hold the same classes: one is enough
@@ -301,17 +358,21 @@ def _links(docs: DataFrame, live: DataFrame, classes: DataFrame, k: int, percent
     if crowd is not None:
         need = need.union(crowd.select("cls"))
     sets = _sets_of(docs, live, classes.join(need.toDF("cls").distinct(), "cls", "left_semi").select("cls", "rep", "d1", "d2"), k)
-    links = _confirmed(asked, sets, percent)
+    comp = connected_components(_confirmed(asked, sets, percent), "a", "b").withColumnRenamed("node", "cls")
     if crowd is not None:
-        runs = _crossing(crowd, connected_components(links, "a", "b"), classes)
-        found = _compared(runs, classes, least)
-        links = links.union(_confirmed(found.filter("b is not null").distinct(), sets, percent))
-        hubs = found.filter("b is null").select(F.col("a").alias("bkey")).distinct().withColumn("yes", F.lit(True))
-        held = held.union(spread(runs.select("bkey", "cls").distinct(), hubs, "bkey", "cls").filter("yes").select("bkey", "cls"))
+        held = held.union(_compared(_crossing(crowd, comp, classes), classes, least, 0).distinct())
     held = cut(held)
     if not held.limit(1).count():
-        return links
-    return links.union(_close(held, sets, connected_components(links, "a", "b"), percent))
+        return comp
+    joined = _close(held, sets, comp, percent)
+    if not joined.limit(1).count():
+        return comp
+    # components that are joined, by their smallest; classes that had no link are components of their own
+    ends = joined.select(F.col("a").alias("cls")).union(joined.select("b")).distinct().join(comp, "cls", "left").select("cls", F.coalesce("component", "cls").alias("of"))
+    edges = joined.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    over = connected_components(edges, "x", "y").withColumnRenamed("component", "last")
+    comp = comp.union(ends.join(comp, "cls", "left_anti").select("cls", F.col("of").alias("component")))
+    return spread(comp, over.withColumnRenamed("node", "component"), "component", "cls").select("cls", F.coalesce("last", "component").alias("component"))
 
 
 def _chunks(crowd: DataFrame) -> DataFrame:
@@ -320,21 +381,21 @@ def _chunks(crowd: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("cls"), chunks).cast("int")
     pivot = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("n")) < PIVOTS
     at = F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))).alias("bi")
-    return crowd.select("bkey", at, "cls").select("bkey", "bi", F.lit(-1).alias("bj"), F.lit(0).alias("blk"), "cls")
+    return crowd.select("bkey", at, F.lit(-1).alias("bj"), pivot.cast("int").alias("blk"), "cls")
 
 
 def _crossing(crowd: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
     """(bkey, bi, bj, blk, cls, comp): hot buckets in pairs of blocks that bring classes of different components together."""
-    m = crowd.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("bkey", "cls", F.coalesce("component", "cls").alias("comp"))
+    m = crowd.join(comp, "cls", "left").select("bkey", "cls", F.coalesce("component", "cls").alias("comp"))
     m = cut(m)
     sized = cut(spread(m, _shape(m, F.lit(1), BLOCK), "bkey", "cls").filter("main is not null"))
     runs = _in_blocks(sized.filter(F.col("others") <= WIDE))
     wide = sized.filter(F.col("others") > WIDE)
     if not wide.limit(1).count():
-        return cut(runs)
+        return runs
     bands = wide.select("bkey", "cls", "comp").join(classes.select("cls", "bands"), "cls").withColumn("band", F.explode("bands")).filter("band <> bkey")
     sub = cut(bands.select(F.xxhash64(F.least("bkey", "band"), F.greatest("bkey", "band")).alias("bkey"), "cls", "comp").distinct())
-    return cut(runs.union(_in_blocks(sub.join(_shape(sub, F.lit(1), BLOCK), "bkey"))))
+    return runs.union(_in_blocks(sub.join(_shape(sub, F.lit(1), BLOCK), "bkey")))
 
 
 def _shape(m: DataFrame, weight, most, key: str = "bkey", heavy: int | None = None) -> DataFrame:
@@ -355,11 +416,11 @@ def _in_blocks(m: DataFrame, key: str = "bkey") -> DataFrame:
     return m.select(key, F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "comp")
 
 
-def _compared(runs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _compared(runs: DataFrame, classes: DataFrame, least: float, k: int = 2) -> DataFrame:
     """(a, b) pairs asked for, and (bkey, null) for buckets in which some class had more similar partners."""
     m = runs.join(classes.select("cls", "sig"), "cls").select("bkey", "bi", "bj", "blk", "cls", "comp", "sig")
     dealt = m.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj")
-    return cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=2), "a long, b long"))
+    return cut(dealt.mapInArrow(functools.partial(_compare, least=least, k=k), "a long, b long"))
 
 
 def _sets_of(docs: DataFrame, live: DataFrame, need: DataFrame, k: int) -> DataFrame:
@@ -392,8 +453,8 @@ def _confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _close(held: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links that join components among the classes of ``held`` (bkey, cls) buckets."""
     hub = held.groupBy("bkey").agg(F.min("cls").alias("hub"))
-    group = connected_components(spread(held, hub, "bkey", "cls").select("cls", "hub"), "cls", "hub").withColumnRenamed("component", "grp")
-    m = group.join(comp, "node", "left").select("grp", F.col("node").alias("cls"), F.coalesce("component", "node").alias("comp"))
+    group = connected_components(spread(held, hub, "bkey", "cls").select("cls", "hub").distinct(), "cls", "hub").toDF("cls", "grp")
+    m = group.join(comp, "cls", "left").select("grp", "cls", F.coalesce("component", "cls").alias("comp"))
     m = cut(m.join(sets.select("cls", (F.octet_length("shingles") / 8).alias("size")), "cls"))
     m = spread(m, _shape(m, F.col("size"), CLOSE_ROWS, "grp", CLOSE_SHINGLES), "grp", "cls").filter("main is not null")
     m = _in_blocks(m, "grp").join(sets, "cls")
