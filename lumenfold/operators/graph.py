@@ -1,24 +1,33 @@
-"""Connected components as alternating star contractions.
+"""Connected components: every task contracts its own edges, then alternating star contractions.
 
-Every step is a grouped minimum and an equi-join, so a hub with millions of
+A task turns up to ``LOCAL`` edges into stars around their smallest nodes; where all edges fit one task, that
+is the answer. Else every further step is a grouped minimum and an equi-join, so a hub with millions of
 neighbours is pre-aggregated before its rows move and no adjacency list is ever
 gathered. Lineage is cut with ``checkpoint()`` once a round.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Edges that one task contracts.
+LOCAL = 200_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenfold-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,6 +36,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stars(batches, most: int):
+    """Edges (u, v) of one task, ``most`` at a time, as stars (node, smallest node it reaches among them)."""
+    import pyarrow as pa
+
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def done(kind):
+        out = [(x, y) for x in root if (y := find(x)) != x]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i in (0, 1)], ["u", "v"])
+
+    kind, n = None, 0
+    for batch in batches:
+        if n and n + batch.num_rows > most:
+            yield done(kind)
+            n = 0
+        kind, n = batch.schema.field(0).type, n + batch.num_rows
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    if n:
+        yield done(kind)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component = smallest node id reachable.
 
@@ -35,7 +74,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     e = e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e)
+    tasks = max(1, -(-e.count() // LOCAL))
+    e = cut(e.coalesce(tasks).mapInArrow(functools.partial(stars, most=LOCAL), e.schema))
     for _ in range(max_rounds):
+        if tasks == 1:
+            break
         # a star forest has one parent per node and no parent that is itself a child
         kids = e.groupBy("u").agg(F.count("*").alias("n"))
         many = kids.filter("n > 1").limit(1).count()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,3 +58,22 @@ def test_solver_recovers_consistent_positions(n, data):
     b = np.arange(1, n)
     got, norms = solve.conjugate_gradients(a, b, x[b] - x[a], n, 0, 200, 1e-20)
     assert np.allclose(got, x, atol=1e-5)
+
+
+@pytest.mark.parametrize("local", [200_000, 10])
+def test_components_by_task_and_by_rounds(spark, monkeypatch, local):
+    """Contracted in one task or by rounds, components are those of a plain search; nodes may be strings."""
+    from lumenfold.operators import graph
+
+    monkeypatch.setattr(graph, "LOCAL", local)
+    r = random.Random(3)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 440)] + [(5, 5)]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(len(root)):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: y for x, y in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    for kind, as_ in (("long", int), ("string", lambda x: f"n{x:04d}")):
+        df = spark.createDataFrame([(as_(a), as_(b)) for a, b in pairs], f"src {kind}, dst {kind}").repartition(8)
+        got = {x.node: x.component for x in graph.connected_components(df).collect()}
+        assert got == {as_(x): as_(y) for x, y in want.items()}
