@@ -31,7 +31,7 @@ from .words import tidy
 #: Rows that fit the codebooks; centres of a half, at most; vectors a cell should hold.
 SAMPLE, CENTRES, CELL = 20_000, 512, 2048
 #: Vectors of a block of a crowded cell, and those compared at once.
-BLOCK, STEP = 8192, 512
+BLOCK, STEP = 2048, 512
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -281,7 +281,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
     rows = classes.count()
     picked = sorted(r["raw"] for r in bounded_sample(classes, "key", SAMPLE).select("raw").collect())
     index = fit(unit(doubles(picked, dim)), rows, cosine, recall)
-    placed = cut(classes.select("cls", "times", "raw").mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index), dim=dim), "cls long, times long, raw binary, cells array<int>"))
+    placed = classes.select("cls", "times", "raw").mapInArrow(functools.partial(_visits, index=spark.sparkContext.broadcast(index), dim=dim), "cls long, times long, raw binary, cells array<int>")
     found = cut(_dealt(placed).mapInArrow(functools.partial(_linked, cosine=cosine, dim=dim), "cls long, n long, root long"))
     links = found.groupBy("cls").agg(F.sum("n").alias("n"))
     comp = connected_components(found.select("cls", "root"), "cls", "root").withColumnRenamed("node", "cls")
