@@ -32,7 +32,7 @@ from .words import tidy
 
 SAMPLE, DRAWN, ROTATIONS, ROUNDS = 10_000, 500, 2, 15
 #: Rows of a shard: a 64th of all, but no less and no more than this.
-SHARD_LEAST, SHARD = 8192, 131_072
+SHARD_LEAST, SHARD = 16_384, 131_072
 SUB = 16
 #: All differences of a substring, by their number of bits, and how many have at most so many bits.
 _MASKS = np.argsort(np.bitwise_count(np.arange(1 << SUB, dtype=np.uint16)), kind="stable").astype(np.uint16)
@@ -102,23 +102,21 @@ class Shard:
         self.rows = ids if rows is None else rows
         self.tables = []
         for j in range(self.code.shape[1]):
-            begin = np.concatenate([[0], np.cumsum(np.bincount(self.code[:, j], minlength=1 << SUB))])
-            self.tables.append((begin, np.argsort(self.code[:, j], kind="stable")))
+            size = np.bincount(self.code[:, j], minlength=1 << SUB)
+            self.tables.append((size, np.cumsum(size) - size, np.argsort(self.code[:, j], kind="stable")))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code is within ``radius``, by the pigeonhole over substrings."""
         most, spare = divmod(radius, len(self.tables))
         hit = np.zeros(len(self.ids), bool)
-        for j, (begin, order) in enumerate(self.tables):
+        for j, (sizes, begin, order) in enumerate(self.tables):
             near = min(most if j <= spare else most - 1, SUB)
             if near < 0:
                 continue
             value = (_MASKS[: _UPTO[near]] ^ code[j]).astype(np.int64)
-            first = begin[value]
-            size = begin[value + 1] - first
-            first, size = first[size > 0], size[size > 0]
-            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            hit[order[at]] = True
+            size = sizes[value]
+            end = np.cumsum(size)
+            hit[order[np.repeat(begin[value] - end + size, size) + np.arange(end[-1])]] = True
         rows = np.flatnonzero(hit)
         return rows[hamming(self.code[rows], code) <= radius]
 
