@@ -177,3 +177,78 @@ def consensus_translation(matches: DataFrame, tolerance: float = 3.0) -> DataFra
     scored = both.groupBy("src", "dst", "vx", "vy").agg(F.count("*").alias("inliers"), F.avg("dx").alias("t_x"), F.avg("dy").alias("t_y"))
     best = Window.partitionBy("src", "dst").orderBy(F.desc("inliers"), "vx", "vy")
     return scored.withColumn("r", F.row_number().over(best)).filter("r = 1").select("src", "dst", "t_x", "t_y", "inliers")
+
+
+def _projected(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Points (n, 2) under homographies (..., 3, 3), as (..., n, 2)."""
+    with np.errstate(all="ignore"):
+        p = x @ np.swapaxes(h[..., :, :2], -1, -2) + h[..., None, :, 2]
+        return p[..., :2] / p[..., 2:]
+
+
+def _fitted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Homographies (..., 3, 3) least squares takes from points ``a`` to ``b``, both (..., n, 2); n of 4 or more."""
+    one, nil = np.ones(a.shape[:-1] + (1,)), np.zeros(a.shape[:-1] + (3,))
+    p = np.concatenate([a, one], axis=-1)
+    rows = np.concatenate([np.concatenate([p, nil, -b[..., :1] * p], -1), np.concatenate([nil, p, -b[..., 1:] * p], -1)], axis=-2)
+    vectors = np.linalg.eigh(np.swapaxes(rows, -1, -2) @ rows)[1]
+    return vectors[..., 0].reshape(a.shape[:-2] + (3, 3))
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
+    """Similarity (3, 3) that moves points to mean 0 and a mean distance of about 1."""
+    mid = x.mean(axis=0)
+    s = 1 / max(float(np.sqrt(((x - mid) ** 2).sum(axis=1)).mean()), 1e-12)
+    return np.array([[s, 0, -s * mid[0]], [0, s, -s * mid[1]], [0, 0, 1]])
+
+
+def find_homography(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, rounds: int = 2000, confidence: float = 0.995, seed: int = 1) -> tuple[np.ndarray | None, int]:
+    """(3x3 matrix from ``a`` to ``b`` with a last entry of 1, inliers) by seeded random sampling of four
+    correspondences, refitted to all within ``tolerance``; (None, 0) where fewer than four agree."""
+    n = len(a)
+    if n < 4:
+        return None, 0
+    ta, tb = _centred(a), _centred(b)
+    na, nb = _projected(ta, a), _projected(tb, b)
+    back, limit = np.linalg.inv(tb), tolerance**2
+    agrees = lambda h: ((_projected(back @ h @ ta, a) - b) ** 2).sum(axis=-1) <= limit
+    rng, best, most, done, needed = np.random.default_rng(seed), None, 0, 0, float(rounds)
+    block = max(1, min(100, 2_000_000 // n))
+    while done < needed:
+        pick = rng.integers(0, n, (block, 4))
+        fits = agrees(_fitted(na[pick], nb[pick]))
+        counts = fits.sum(axis=1)
+        top = int(counts.argmax())
+        if counts[top] > most:
+            best, most = fits[top], int(counts[top])
+            miss = 1 - (most / n) ** 4
+            needed = min(rounds, np.log(1 - confidence) / np.log(miss)) if 0 < miss < 1 else 0
+        done += block
+    for _ in range(3):  # more points agree with a fit to many than with one to four
+        if best is None or best.sum() < 4:
+            return None, 0
+        h = _fitted(na[best], nb[best])
+        again = agrees(h)
+        if (again == best).all():
+            break
+        best = again
+    h = back @ h @ ta
+    return (h / h[2, 2], int(best.sum())) if abs(h[2, 2]) > 1e-12 else (None, 0)
+
+
+def consensus_homography(matches: DataFrame, tolerance: float = 3.0, rounds: int = 2000, confidence: float = 0.995) -> DataFrame:
+    """(src, dst, h, inliers) from correspondences (src, dst, x1, y1, x2, y2): the 3x3 homography, row by row.
+
+    A pair of frames is one task's group, bounded by the keypoints of a frame. Rows are ordered first and draws
+    seeded, so reruns agree. Correspondences with a null or non-finite coordinate are left out; pairs on which
+    no four agree have a null ``h`` and no inliers.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = part[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        x = x[np.isfinite(x).all(axis=1)]
+        x = x[np.lexsort(x.T[::-1])]
+        h, inliers = find_homography(x[:, :2], x[:, 2:], tolerance, rounds, confidence)
+        return pd.DataFrame({"src": part["src"].iloc[:1], "dst": part["dst"].iloc[:1], "h": [None if h is None else h.ravel().tolist()], "inliers": [inliers]})
+
+    return matches.select("src", "dst", "x1", "y1", "x2", "y2").groupBy("src", "dst").applyInPandas(run, "src long, dst long, h array<double>, inliers long")

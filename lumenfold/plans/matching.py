@@ -136,3 +136,17 @@ def consensus_translation(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     rows = li.select((F.col("l_orderkey") % 20).alias("src"), (F.col("l_orderkey") % 20 + 1 + F.col("l_suppkey") % 3).alias("dst"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("l_quantity") * 2).alias("x2"), F.col("l_linenumber").cast("double").alias("y2"))
     return m.consensus_translation(rows).withColumn("t_x", F.round("t_x", 6)).withColumn("t_y", F.round("t_y", 6))
+
+
+@query("""SELECT l_suppkey AS src, l_suppkey + 1 AS dst, count(*) FILTER (l_linenumber <> 7) AS inliers, 1.01::DOUBLE AS h0, 0.02::DOUBLE AS h1, (l_suppkey % 40)::DOUBLE AS h2, (-0.01)::DOUBLE AS h3, 1.02::DOUBLE AS h4, 7::DOUBLE AS h5, true AS accepted
+FROM lineitem GROUP BY l_suppkey""")
+def homography_consensus(spark, sf_dir):
+    """Correspondences under a known homography, those of line 7 far from it."""
+    x, y, far = F.col("l_partkey") * 7 % 640, F.col("l_orderkey") * 11 % 480, F.when(F.col("l_linenumber") == 7, 200 + F.col("l_orderkey") % 300).otherwise(0)
+    w = 1 + x * 1e-4 - y * 2e-4
+    x2, y2 = (x * 1.01 + y * 0.02 + F.col("l_suppkey") % 40) / w, (x * -0.01 + y * 1.02 + 7) / w
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + 1).alias("dst"), x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x2 + far).alias("x2"), (y2 + far).alias("y2"))
+    h = m.consensus_homography(rows)
+    gate = m.geometry_gate("h", "t_x", "t_y", 640, 480)
+    h = h.withColumn("t_x", F.get("h", F.lit(2))).withColumn("t_y", F.get("h", F.lit(5))).withColumn("accepted", gate)
+    return h.select("src", "dst", "inliers", *[F.round(F.get("h", F.lit(i)), 5).alias(f"h{i}") for i in range(6)], "accepted")
