@@ -58,7 +58,8 @@ def quality(readable: Column, dark: Column, features: Column, least: int = 250)
 
 
 def is_good(label: Column) -> Column:
-    return ~label.isin("underexposed", "low_features")
+    """Neither bad label; an unlabelled frame is good."""
+    return ~F.coalesce(label.isin("underexposed", "low_features"), F.lit(False))
 
 
 def label_by_range(index: Column, ranges: list[tuple[int, int, str]]) -> Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregates, frames, graphs, matching, pixels, spatial, streams, temporal, texts  # noqa: F401
+from . import aggregates, frames, graphs, matching, pixels, rules, spatial, streams, temporal, texts  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
