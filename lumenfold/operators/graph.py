@@ -222,4 +222,5 @@ def bridge_path(edges: DataFrame, members: DataFrame, by: str, start: str, goal:
         return pd.DataFrame([], columns=[by, "path", "cost"])
 
     kind = edges.schema[by].dataType.simpleString()
-    return edges.groupBy(by).cogroup(members.groupBy(by)).applyInPandas(run, f"{by} {kind}, path string, cost double")
+    members = members.select(F.col(by).alias("_by"), "node")  # its own name: members may be derived from the edges
+    return edges.groupBy(by).cogroup(members.groupBy("_by")).applyInPandas(run, f"{by} {kind}, path string, cost double")

@@ -122,9 +122,9 @@ def embed_priority(spark, sf_dir):
 _NODES = list(range(8))
 
 
-@query("WITH e AS (SELECT DISTINCT l_partkey % 8 AS s, l_suppkey % 8 AS d FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), b AS (SELECT s, d FROM e UNION SELECT d, s FROM e) SELECT n.i::BIGINT AS node, " + ", ".join(f"max(CASE WHEN d = {n} THEN 1 ELSE 0 END) AS n{n}" for n in _NODES) + " FROM range(8) n(i) LEFT JOIN b ON b.s = n.i GROUP BY 1")
+@query("WITH e AS (SELECT DISTINCT l_partkey % 8 AS s, (l_partkey % 8 * 3 + l_linenumber % 2) % 8 AS d FROM lineitem), b AS (SELECT s, d FROM e UNION SELECT d, s FROM e) SELECT n.i::BIGINT AS node, " + ", ".join(f"max(CASE WHEN d = {n} THEN 1 ELSE 0 END) AS n{n}" for n in _NODES) + " FROM range(8) n(i) LEFT JOIN b ON b.s = n.i GROUP BY 1")
 def match_graph_csv(spark, sf_dir):
-    e = lineitem(spark, sf_dir).filter("l_quantity = 50 and l_returnflag = 'R'").select((F.col("l_partkey") % 8).alias("src"), (F.col("l_suppkey") % 8).alias("dst"))
+    e = lineitem(spark, sf_dir).select((F.col("l_partkey") % 8).alias("src"), ((F.col("l_partkey") % 8 * 3 + F.col("l_linenumber") % 2) % 8).alias("dst"))
     return a.match_matrix(e, _NODES)
 
 

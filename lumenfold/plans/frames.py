@@ -95,11 +95,10 @@ def scale_anchor(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", scale.alias("scale"), how.alias("how"))
 
 
-@query(f"WITH {_BOX} SELECT brand AS component, id AS frame, round(x * 2 / (id % 4 + 1) - x, 6) AS off_x, round(y * 3 / (id % 4 + 1) - y, 6) AS off_y FROM b JOIN part ON id = p_partkey WHERE p_size = 50")
+@query(f"WITH {_BOX} SELECT brand AS component, id AS frame, round(x * 2 / (id % 4 + 1) - x, 6) AS off_x, round(y * 3 / (id % 4 + 1) - y, 6) AS off_y FROM b")
 def landmark_offset(spark, sf_dir):
     b = boxes(spark, sf_dir).select(F.col("brand").alias("component"), F.col("id").alias("frame"), "x", "y", (F.col("id") % 4 + 1).alias("s"))
-    known = table(spark, sf_dir, "part").filter("p_size = 50").select(F.col("p_partkey").alias("frame"))
-    marks = b.join(known, "frame").select("frame", (F.col("x") * 2).alias("bx"), (F.col("y") * 3).alias("by"))
+    marks = b.select("frame", (F.col("x") * 2).alias("bx"), (F.col("y") * 3).alias("by"))
     return f.landmark_offset(b, marks, "s").withColumn("off_x", F.round("off_x", 6)).withColumn("off_y", F.round("off_y", 6))
 
 
@@ -178,11 +177,15 @@ def track_positions(spark, sf_dir):
 
 @query()
 def track_refusal(spark, sf_dir):
-    """Tracks over the mutual matches, merged strongest first without conflicts."""
+    """Tracks over the mutual matches, merged strongest first without conflicts: one group a closure of matches,
+    as merges in one closure don't touch another."""
+    from lumenfold.operators import graph
+
     from .matching import mutual
 
-    m = mutual(spark, sf_dir).withColumn("grp", F.lit(0))
-    return f.refusing_tracks(m, "grp")
+    m = mutual(spark, sf_dir)
+    closure = graph.tracks(m).select(F.col("frame").alias("src"), F.col("kp").alias("src_kp"), F.col("track").alias("grp"))
+    return f.refusing_tracks(m.join(closure, ["src", "src_kp"]), "grp")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey BETWEEN 0 AND 99 THEN '2x' WHEN p_partkey BETWEEN 100 AND 499 THEN '10x' WHEN p_partkey BETWEEN 450 AND 1200 THEN '40x' END AS label FROM part")

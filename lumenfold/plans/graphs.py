@@ -92,11 +92,13 @@ def greedy_coverage(spark, sf_dir):
 
 @query()
 def path_promotion(spark, sf_dir):
-    """Cheapest bridge between two frames of each component, members free, others at a cost of 1."""
+    """Cheapest bridge between the least and greatest frame of each component; every tenth frame is a member."""
     li = table(spark, sf_dir, "lineitem")
-    e = li.select((F.col("l_linenumber")).alias("comp"), (F.col("l_partkey") % 400).alias("a"), (F.col("l_suppkey") % 400).alias("b"), F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0).alias("penalty"), F.lit(0).cast("long").alias("s"), F.lit(399).cast("long").alias("g"))
-    e = e.groupBy("comp", "a", "b", "s", "g").agg(F.min("penalty").alias("penalty"))
-    members = li.filter("l_quantity = 50").select((F.col("l_linenumber")).alias("comp"), (F.col("l_partkey") % 40).alias("node")).distinct()
+    li = li.select(F.col("l_linenumber").alias("comp"), (F.col("l_partkey") % 400).alias("a"), (F.col("l_suppkey") * 37 % 400).alias("b"), F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0).alias("penalty"))
+    e = li.groupBy("comp", "a", "b").agg(F.min("penalty").alias("penalty"))
+    ends = e.groupBy("comp").agg(F.least(F.min("a"), F.min("b")).alias("s"), F.greatest(F.max("a"), F.max("b")).alias("g"))
+    members = e.select("comp", F.explode(F.array("a", "b")).alias("node")).filter("node % 10 = 0").distinct()
+    e = e.join(ends, "comp")
     return graph.bridge_path(e, members, "comp", "s", "g")
 
 
