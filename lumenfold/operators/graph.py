@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -144,12 +144,16 @@ def spawn_components(frames: DataFrame, node: str = "frame", parent: str = "matc
     return f.join(n, "root").select("node", "root", F.col("component").cast("int").alias("component"))
 
 
+def observation_key(frame: str, kp: str) -> Column:
+    """A keypoint of a frame as one string, in the order of both numbers."""
+    return F.concat(F.lpad(F.col(frame).cast("string"), 19, "0"), F.lit(":"), F.lpad(F.col(kp).cast("string"), 19, "0"))
+
+
 def tracks(matches: DataFrame) -> DataFrame:
     """(frame, kp, track, conflict) from matches (src, dst, src_kp, dst_kp): the closure over all matches; a
     track is in conflict if any frame appears in it with two keypoints. The flag does not depend on the
     order of merging."""
-    key = lambda f, k: F.concat(F.lpad(F.col(f).cast("string"), 19, "0"), F.lit(":"), F.lpad(F.col(k).cast("string"), 19, "0"))
-    e = matches.select(key("src", "src_kp").alias("src"), key("dst", "dst_kp").alias("dst"))
+    e = matches.select(observation_key("src", "src_kp").alias("src"), observation_key("dst", "dst_kp").alias("dst"))
     c = connected_components(e)
     part = lambda i: F.split_part("node", F.lit(":"), F.lit(i)).cast("long")
     c = c.select(part(1).alias("frame"), part(2).alias("kp"), F.col("component").alias("track"))
