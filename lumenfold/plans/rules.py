@@ -117,3 +117,42 @@ def live_layers(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     layers = o.select(F.col("o_orderkey").alias("component"), F.col("o_totalprice").cast("double").alias("scale"), (F.col("o_orderstatus") == "F").alias("suspended"))
     return slides.live_layers(layers).select("component", "scale")
+
+
+# --- a batch aligned to the tracks known so far: every vector is a point of a plane, seen by windows of 400 ---
+
+_PLANE = """v AS (SELECT vec_id AS kp, (vec_id * 37 % 2000)::DOUBLE AS vx, (vec_id * 91 % 2000)::DOUBLE AS vy FROM embeddings),
+k AS (SELECT 1000 + i * 10 + j AS frame, i * 200 AS fx, j * 200 AS fy FROM range(10) a(i), range(10) b(j)), n AS (SELECT 2000 + i * 10 + j AS frame, i * 200 + 60 AS fx, j * 200 + 80 AS fy FROM range(10) a(i), range(10) b(j))"""
+
+
+def aligned(spark, sf_dir):
+    """A hundred known frames on a grid, and as many new ones moved by (60, 80); every second one has a winner."""
+    from lumenfold.operators import align
+
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("kp"), (F.col("vec_id") * 37 % 2000).cast("double").alias("vx"), (F.col("vec_id") * 91 % 2000).cast("double").alias("vy"), F.col("embedding").alias("desc"))
+    grid = spark.range(100).select(F.floor(F.col("id") / 10).alias("i"), (F.col("id") % 10).alias("j"))
+    place = lambda first, dx, dy: grid.select((first + F.col("i") * 10 + F.col("j")).alias("frame"), (F.col("i") * 200 + dx).cast("double").alias("fx"), (F.col("j") * 200 + dy).cast("double").alias("fy"))
+    known, new = place(1000, 0, 0), place(2000, 60, 80)
+    inside = F.col("vx").between(F.col("fx"), F.col("fx") + 400) & F.col("vy").between(F.col("fy"), F.col("fy") + 400)
+    seen = lambda f: v.join(F.broadcast(f), inside)
+    kp = lambda f: seen(f).select("frame", "kp", (F.col("vx") - F.col("fx")).alias("x"), (F.col("vy") - F.col("fy")).alias("y"), "desc")
+    old = kp(known)
+    observed = old.select(F.col("kp").alias("track"), "frame", "kp")
+    places = v.select(F.col("kp").alias("track"), F.col("vx").alias("x"), F.col("vy").alias("y"), F.lit(True).alias("live"), F.lit(True).alias("solved"))
+    images = new.select("frame", F.col("fx").alias("x"), F.col("fy").alias("y"), F.lit(400.0).alias("w"), F.lit(400.0).alias("h"))
+    fresh = kp(new)
+    wins = fresh.filter("frame % 2 = 0").select(F.col("frame").alias("dst"), F.col("kp").alias("dst_kp"), (F.col("frame") - 1000).alias("src")).join(old.select(F.col("frame").alias("src"), F.col("kp").alias("src_kp")), "src").filter("src_kp = dst_kp")
+    return align.align_batch(images, wins.select("src", "dst", "src_kp", "dst_kp"), old.union(fresh), observed, places)
+
+
+@query(f"""WITH {_PLANE}, w AS (SELECT n.frame, count(*) AS c FROM n JOIN k ON k.frame + 1000 = n.frame JOIN v ON vx BETWEEN n.fx AND k.fx + 400 AND vy BETWEEN n.fy AND k.fy + 400 WHERE n.frame % 2 = 0 GROUP BY 1)
+SELECT n.frame, c IS NOT NULL AS valid, CASE WHEN c IS NULL THEN fx - 200 ELSE fx END::DOUBLE AS x, CASE WHEN c IS NULL THEN fy - 200 ELSE fy END::DOUBLE AS y, CASE WHEN c IS NULL THEN 800 ELSE 400 END::DOUBLE AS w FROM n LEFT JOIN w USING (frame)""")
+def align_positions(spark, sf_dir):
+    p = aligned(spark, sf_dir).positions
+    return p.select(F.col("q").alias("frame"), "valid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "w")
+
+
+@query()
+def align_candidates(spark, sf_dir):
+    """Known frames each new one is matched with: tested against a plain greedy choice."""
+    return aligned(spark, sf_dir).candidates
