@@ -10,7 +10,8 @@ at which ``recall`` of these hardest pairs meet. Every pair that meets is verifi
 in double precision.
 
 Vectors that are equal are one class with a multiplicity. A class travels once to each cell it visits, its
-own included. A crowded cell is dealt out in pairs of blocks. Tasks return link counts by class and the
+own included. The residents of a crowded cell are cut into blocks and its visitors into slices; residents
+meet block by block, and a slice of visitors meets each block. Tasks return link counts by class and the
 links that join components, not pairs.
 """
 
@@ -30,8 +31,8 @@ from .words import tidy
 
 #: Rows that fit the codebooks; centres of a half, at most; vectors a cell should hold.
 SAMPLE, CENTRES, CELL = 20_000, 512, 2048
-#: Vectors of a block of a crowded cell, and those compared at once.
-BLOCK, STEP = 2048, 512
+#: Residents of a block and visitors of a slice of a crowded cell, and pairs compared at once.
+BLOCK, SLICE, MEET = 2048, 8192, 1 << 22
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -115,15 +116,14 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int =
 
 def _floats(column):
     """Usable rows (finite, not zero, no null components) of a list column, each judged by itself: (positions, float64 vectors) by length."""
-    rows = column.to_pylist()
-    by_length: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        if r and None not in r:
-            by_length.setdefault(len(r), []).append(i)
-    for places in by_length.values():
-        x = np.array([rows[i] for i in places], np.float64)
+    first = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)  # null components are NaN
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(first), 0)
+    for n in np.unique(size[size > 0]):
+        places = np.flatnonzero(size == n)
+        x = flat[first[places][:, None] + np.arange(n)]
         ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-        yield np.array(places)[ok], x[ok]
+        yield places[ok], x[ok]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -152,15 +152,26 @@ def _prepared(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "raw", "key", "dim"])
 
 
+def _usual(every: DataFrame) -> int:
+    common = every.filter("vec_id is not null and dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    return common["dim"] if common else 0
+
+
+def _part(dim: int):
+    return F.col("vec_id").isNotNull() & (F.col("dim") == dim)
+
+
+def prepared(vectors: DataFrame) -> DataFrame:
+    return vectors.mapInArrow(_prepared, "vec_id long, raw binary, key binary, dim int")
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, raw, key, rid) of all rows of (vec_id, v), ``raw`` and ``key`` null for those that take no part,
     and the length of those that do: the most frequent one among usable vectors with an id, the smallest of
     equally frequent ones. The length is 0 where there are none. ``rid`` numbers the rows, in no order."""
-    every = cut(vectors.mapInArrow(_prepared, "vec_id long, raw binary, key binary, dim int").withColumn("rid", F.monotonically_increasing_id()))
-    common = every.filter("vec_id is not null and dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = common["dim"] if common else 0
-    part = F.col("vec_id").isNotNull() & (F.col("dim") == dim)
-    return every.select("vec_id", F.when(part, F.col("raw")).alias("raw"), F.when(part, F.col("key")).alias("key"), "rid"), dim
+    every = cut(prepared(vectors).withColumn("rid", F.monotonically_increasing_id()))
+    dim = _usual(every)
+    return every.select("vec_id", F.when(_part(dim), F.col("raw")).alias("raw"), F.when(_part(dim), F.col("key")).alias("key"), "rid"), dim
 
 
 def doubles(raw: list[bytes], dim: int) -> np.ndarray:
@@ -180,25 +191,65 @@ def _visits(batches, index, dim: int):
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("times"), batch.column("raw"), lists], ["cls", "times", "raw", "cells"])
 
 
-def _meet(piece: dict, same: bool, cosine: float):
-    """Links between the classes that live in a cell and those that come to it: (a, times of a, b, times of b).
+def _alike(x: dict, y: dict, here: slice, cosine: float):
+    """Pairs at or above the threshold. Single precision decides but for those within its rounding error, which double precision does."""
+    near = x["single"][here] @ y["single"].T
+    slack = 4 * np.finfo(np.float32).eps * (x["unit"].shape[1] + 4)
+    m, g = np.nonzero(near >= cosine - slack)
+    keep = near[m, g] >= cosine + slack
+    close = np.flatnonzero(~keep)
+    for s in range(0, len(close), 65536):
+        at = close[s : s + 65536]
+        keep[at] = np.einsum("ij,ij->i", x["unit"][here][m[at]], y["unit"][g[at]]) >= cosine
+    return m[keep], g[keep]
+
+
+class _Tally:
+    """Link counts of the classes of a task, and the components its links join them in; the links themselves are not kept."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = np.unique(ids)
+        self.total, self.label = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids))
+
+    def add(self, a, times_a, b, times_b):
+        a, b = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
+        np.add.at(self.total, a, times_b)
+        np.add.at(self.total, b, times_a)
+        while True:  # labels are roots here
+            x, y = self.label[a], self.label[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            while ((up := self.label[self.label]) != self.label).any():
+                self.label = up
+
+    def rows(self):
+        some = self.total > 0
+        return list(zip(self.ids[some].tolist(), self.total[some].tolist(), self.ids[self.label[some]].tolist()))
+
+
+def _meet(left: dict, right: dict, same: bool, cosine: float, tally: _Tally) -> None:
+    """Tallies the links between the classes that live in a cell and those that come to it.
 
     Rows of ``left`` live in the cell; rows of ``right`` do too or visit it. Two that live in one cell meet there
     alone. Others may meet in either one's cell: they count where the smaller visits, or else where the larger does.
     ``same``: both sides are one block.
     """
-    left, right = piece["left"], piece["right"]
-    out = []
-    for s in range(0, len(left["cls"]), STEP):
-        here = slice(s, s + STEP)
-        m, g = np.nonzero(left["unit"][here] @ right["unit"].T >= cosine)
+    homes, home = np.unique(right["home"], return_inverse=True)
+    cells, row = np.concatenate(left["cells"]), np.repeat(np.arange(len(left["cls"])), [len(c) for c in left["cells"]])
+    at = np.minimum(np.searchsorted(homes, cells), len(homes) - 1)
+    visits = np.zeros((len(left["cls"]), len(homes)), bool)
+    visits[row[homes[at] == cells], at[homes[at] == cells]] = True
+    step = max(1, MEET // len(right["cls"]))
+    for s in range(0, len(left["cls"]), step):
+        here = slice(s, s + step)
+        m, g = _alike(left, right, here, cosine)
         a, b = left["cls"][here][m], right["cls"][g]
-        lives = right["lives"][g]
-        keep = lives & (a < b) if same else lives & (a != b)
-        for i in np.flatnonzero(~lives):
-            keep[i] = b[i] < a[i] or right["home"][g[i]] not in left["cells"][s + m[i]]
-        out.append((a[keep], left["times"][here][m][keep], b[keep], right["times"][g][keep]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+        resident = (a < b) if same else (a != b)
+        keep = np.where(right["lives"][g], resident, (b < a) | ~visits[s + m, home[g]])
+        tally.add(a[keep], left["times"][here][m][keep], b[keep], right["times"][g][keep])
 
 
 @tidy
@@ -207,42 +258,31 @@ def _linked(batches, cosine: float, dim: int):
     key, rows = None, []
 
     def frame(part):
+        x = unit(doubles([r[2] for r in part], dim))
         return {
             "cls": np.array([r[0] for r in part], np.int64),
             "times": np.array([r[1] for r in part], np.int64),
-            "unit": unit(doubles([r[2] for r in part], dim)),
-            "cells": [set(r[3]) for r in part],
+            "unit": x,
+            "single": x.astype(np.float32),
+            "cells": [np.array(r[3], np.int64) for r in part],
             "home": np.array([r[3][0] for r in part], np.int64),
             "lives": np.array([r[3][0] == key[0] for r in part]),
         }
 
     def done():
         cell, bi, bj = key
-        left = [r for r in rows if r[4] == bi and r[3][0] == cell]
-        right = rows if bi == bj else [r for r in rows if r[4] == bj]
-        if not left or not right:
-            return []
-        a, ta, b, tb = _meet({"left": frame(left), "right": frame(right)}, bi == bj, cosine)
-        if bi != bj:  # and the other block's inhabitants with this one's visitors
-            left, right = [r for r in right if r[3][0] == cell], [r for r in rows if r[4] == bi and r[3][0] != cell]
+
+        def of(blk, resident):
+            return [r for r in rows if r[4] == blk and (r[3][0] == cell) in resident]
+
+        sides = [(of(bi, (True,)), of(bj, (True, False)))]
+        if bi != bj:  # and the other block's residents with this one's visitors
+            sides.append((of(bj, (True,)), of(bi, (False,))))
+        tally = _Tally(np.array([r[0] for r in rows], np.int64))
+        for left, right in sides:
             if left and right:
-                more = _meet({"left": frame(left), "right": frame(right)}, False, cosine)
-                a, ta, b, tb = (np.concatenate(c) for c in zip((a, ta, b, tb), more))
-        if not len(a):
-            return []
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([tb, ta])).astype(np.int64)
-        label = np.arange(len(ids))
-        x, y = at[: len(a)], at[len(a) :]
-        while True:
-            low = label.copy()
-            np.minimum.at(low, x, label[y])
-            np.minimum.at(low, y, label[x])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        return list(zip(ids.tolist(), total.tolist(), ids[label].tolist()))
+                _meet(frame(left), frame(right), bi == bj, cosine, tally)
+        return tally.rows()
 
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], ["cls", "n", "root"])
@@ -271,13 +311,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    every, dim = usable(vectors)
-    alone = every.filter("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = cut(prepared(vectors).drop("raw"))  # narrow; the vectors themselves move once to their class
+    dim = _usual(every)
+    alone = every.filter(~F.coalesce(_part(dim), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
     if not dim:
         return alone.select("*", kept)
-    good = every.filter("key is not null")
-    classes = cut(good.groupBy("key").agg(F.first("raw").alias("raw"), F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("cls", F.monotonically_increasing_id()))
+    good = every.filter(_part(dim))
+    classes = cut(prepared(vectors).filter(_part(dim)).groupBy("key").agg(F.first("raw").alias("raw"), F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("cls", F.monotonically_increasing_id()))
     rows = classes.count()
     picked = sorted(r["raw"] for r in bounded_sample(classes, "key", SAMPLE).select("raw").collect())
     index = fit(unit(doubles(picked, dim)), rows, cosine, recall)
@@ -295,18 +336,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
 def _dealt(placed: DataFrame) -> DataFrame:
     """(cell, bi, bj, blk, cls, times, raw, cells), a row for each cell a class comes to, sorted by the first three.
 
-    Cells of more than ``BLOCK`` rows are dealt out in pairs of blocks, so a hot cell costs rows, not a task.
+    More than ``BLOCK`` residents of a cell are dealt into ``homes`` blocks, and visitors into slices, so that a
+    hot cell costs rows, not a task. Blocks and slices are numbered alike, below ``parts``; a resident goes to every
+    pair its block is in, a visitor to its slice's pairs with blocks of residents.
     """
     spark = placed.sparkSession
     come = placed.withColumn("cell", F.explode("cells"))
-    hot = come.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")  # at most CENTRES ** 2 narrow rows
-    sizes = {r["cell"]: r["blocks"] for r in hot.collect()}
+    lives = F.col("cell") == F.col("cells")[0]
+    count = come.groupBy("cell").agg(F.ceil(F.sum(lives.cast("int")) / BLOCK).cast("int").alias("homes"), F.ceil(F.sum((~lives).cast("int")) / SLICE).cast("int").alias("slices"))
+    other = count.filter("homes <> 1 or slices > 1").select("cell", "homes", F.greatest("homes", "slices").alias("parts")).collect()  # at most CENTRES ** 2 narrow rows
     names = ["cell", "bi", "bj", "blk", "cls", "times", "raw", "cells"]
-    if not sizes:
+    if not other:
         come = come.select("cell", *[F.lit(0).alias(c) for c in names[1:4]], *names[4:])
     else:
-        come = come.join(F.broadcast(spark.createDataFrame(list(sizes.items()), "cell int, blocks int")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        come = come.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        come = come.join(F.broadcast(spark.createDataFrame(other, "cell int, homes int, parts int")), "cell", "left").fillna(1, ["homes", "parts"])
+        come = come.filter("homes > 0")  # where nobody lives, visitors meet nobody
+        blk = F.pmod(F.xxhash64("cls"), F.when(lives, F.col("homes")).otherwise(F.col("parts"))).cast("int")
+        come = come.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(lives, F.col("parts")).otherwise(F.col("homes")) - 1)))
         come = come.select("cell", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), *names[3:])
     return come.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj").select(names)
 

@@ -115,10 +115,12 @@ def test_recall_at_the_threshold():
     assert np.mean(met) >= 0.98
 
 
-def test_links_across_many_cells(spark, monkeypatch):
-    """Links, counts and components of 3000 vectors in a grid of many cells, some crowded, equal brute force."""
+@pytest.mark.parametrize("block, slice_", [(64, 16384), (64, 40), (2048, 40), (16, 7)])
+def test_links_across_many_cells(spark, monkeypatch, block, slice_):
+    """Links, counts and components of 3000 vectors in a grid of many cells, some crowded, equal brute force, however cells are dealt out."""
     monkeypatch.setattr(multi_index, "CELL", 40)
-    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    monkeypatch.setattr(multi_index, "BLOCK", block)
+    monkeypatch.setattr(multi_index, "SLICE", slice_)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((2000, 16))
     x = np.concatenate([x, x[rng.integers(0, 400, 800)] + rng.normal(0, 0.3, (800, 16)), x[7] + rng.normal(0, 0.2, (200, 16))]).astype(np.float32)
