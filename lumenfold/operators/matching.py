@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 CHUNK = 2048
 
 
-def pack_signs(vector: str, bits: int = 63) -> Column:
-    """Signs of the first ``bits`` components as one BIGINT, the first component highest."""
-    return F.aggregate(F.slice(vector, 1, bits), F.lit(0).cast("long"), lambda acc, x: acc * 2 + F.when(x > 0, 1).otherwise(0))
+def pack_signs(vector: str) -> Column:
+    """Signs of a vector of at most 64 components as one BIGINT, the last component lowest."""
+    return F.aggregate(vector, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
 
 
 def frame_pairs(frames: DataFrame, window: int | None = None, same: str | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def frame_pairs(frames: DataFrame, window: int | None = None, same: str | None =
 
 
 def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.float64)
+    return np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)).astype(np.float64)
 
 
 def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -56,13 +56,13 @@ def mean_hypothesis(spark, sf_dir):
     return f.mean_hypothesis(e).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
-@query("""WITH RECURSIVE s AS (SELECT c_custkey % 60 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 60 AS a, s_nationkey * 2 AS b FROM supplier WHERE s_acctbal < 0),
+@query("""WITH RECURSIVE s AS (SELECT c_custkey % 600 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 600 AS a, s_nationkey * 24 AS b FROM supplier),
 e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), g AS (SELECT node, min(other) AS grp FROM r GROUP BY 1),
 j AS (SELECT component, size, coalesce(grp, component) AS grp FROM s LEFT JOIN g ON component = node), h AS (SELECT grp, component AS head, row_number() OVER (PARTITION BY grp ORDER BY component = 0 DESC, size DESC, component) AS k FROM j)
 SELECT component, head AS "into" FROM j JOIN h USING (grp) WHERE k = 1""")
 def component_priority(spark, sf_dir):
-    sizes = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 60).alias("component")).agg(F.count("*").alias("size"))
-    links = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select((F.col("s_suppkey") % 60).alias("a"), (F.col("s_nationkey") * 2).cast("long").alias("b")).distinct()
+    sizes = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 600).alias("component")).agg(F.count("*").alias("size"))
+    links = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 600).alias("a"), (F.col("s_nationkey") * 24).cast("long").alias("b")).distinct()
     return f.absorb_with_priority(sizes, links)
 
 
@@ -75,17 +75,17 @@ def membership_spread(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE l AS (SELECT s_nationkey::BIGINT AS slide, s_suppkey AS id, s_suppkey % 3 AS mag, s_suppkey % 10 = 0 AS placed FROM supplier),
-p AS (SELECT a.slide, a.id, b.id AS via, (a.id - b.id) * 1.5 AS rel FROM l a JOIN l b ON a.slide = b.slide AND a.mag <> b.mag AND abs(a.id - b.id) <= 60),
-w AS (SELECT slide, id, 0.0::DOUBLE AS off, NULL::BIGINT AS via, 0 AS r FROM l WHERE placed
- UNION ALL SELECT slide, id, off, via, r FROM (SELECT p.slide, p.id, w.off + p.rel AS off, p.via, w.r + 1 AS r FROM w JOIN p ON p.slide = w.slide AND p.via = w.id WHERE w.r < 6)),
-f AS (SELECT slide, id, min(r) AS r FROM w GROUP BY ALL), k AS (SELECT w.slide, w.id, w.via, w.off, w.r FROM w JOIN f USING (slide, id, r))
-SELECT DISTINCT id, r > 0 AS derived FROM f""")
+p AS (SELECT a.slide, a.id, b.id AS via FROM l a JOIN l b ON a.slide = b.slide AND a.mag <> b.mag AND abs(a.id - b.id) <= 60),
+w AS (SELECT slide, id, 0 AS r FROM l WHERE placed UNION SELECT p.slide, p.id, w.r + 1 FROM w JOIN p ON p.slide = w.slide AND p.via = w.id WHERE w.r < 20),
+f AS (SELECT slide, id, min(r) AS r FROM w GROUP BY ALL), t AS (SELECT f.slide, f.id, min(p.via) AS via FROM f JOIN p USING (slide, id) JOIN f g ON g.slide = f.slide AND g.id = p.via AND g.r = f.r - 1 GROUP BY ALL),
+o AS (SELECT slide, id, 0.0::DOUBLE AS off, NULL::BIGINT AS via FROM l WHERE placed UNION ALL SELECT t.slide, t.id, o.off + (t.id - t.via) * 1.5, t.via::BIGINT FROM o JOIN t ON t.slide = o.slide AND t.via = o.id)
+SELECT slide, id, off, via FROM o""")
 def layer_alignment(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     layers = s.select(F.col("s_nationkey").cast("long").alias("slide"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 3).alias("mag"), (F.col("s_suppkey") % 10 == 0).alias("placed"))
     o = layers.select("slide", F.col("id").alias("via"))
     pairs = layers.join(o, "slide").filter("abs(id - via) <= 60 and id <> via").select("slide", "id", "via", ((F.col("id") - F.col("via")) * 1.5).alias("off"))
-    return f.align_layers(layers, pairs).select("id", F.col("via").isNotNull().alias("derived"))
+    return f.align_layers(layers, pairs)
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag = 'R' THEN l_tax END, CASE WHEN l_linenumber > 2 THEN l_discount END, 0.5) AS scale, CASE WHEN l_returnflag = 'R' THEN 'features' WHEN l_linenumber > 2 THEN 'velocity' ELSE 'label' END AS how FROM lineitem")
@@ -102,9 +102,11 @@ def landmark_offset(spark, sf_dir):
     return f.landmark_offset(b, marks, "s").withColumn("off_x", F.round("off_x", 6)).withColumn("off_y", F.round("off_y", 6))
 
 
-@query("""WITH v AS (SELECT vec_id AS frame, embedding, unnest(range(0, 8)) AS kp FROM embeddings) SELECT frame, kp::INT AS kp, round(embedding[kp * 2 + 1]::DOUBLE / 0.25, 6) AS x, round(embedding[kp * 2 + 2]::DOUBLE / 0.25, 6) AS y, frame * 1024 + kp AS track FROM v""")
+@query("""WITH v AS (SELECT vec_id AS frame, embedding, unnest(range(0, len(embedding) // 2)) AS kp FROM embeddings) SELECT frame, kp::INT AS kp, round(embedding[kp * 2 + 1]::DOUBLE / 0.25, 6) AS x, round(embedding[kp * 2 + 2]::DOUBLE / 0.25, 6) AS y, frame * 1024 + kp AS track FROM v""")
 def keypoint_explode(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(F.get("embedding", k * 2).cast("double").alias("x"), F.get("embedding", k * 2 + 1).cast("double").alias("y"))).alias("kps"))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    kps = F.transform(F.sequence(F.lit(0), half - 1), lambda k: F.struct(F.get("embedding", k * 2).cast("double").alias("x"), F.get("embedding", k * 2 + 1).cast("double").alias("y")))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.when(half > 0, kps).alias("kps"))
     return f.explode_keypoints(e, 0.25).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 

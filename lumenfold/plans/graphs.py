@@ -62,13 +62,13 @@ def track_materialise(spark, sf_dir):
     return graph.materialise_tracks(graph.tracks(mutual(spark, sf_dir))).groupBy("n_frames").agg(F.count("*").alias("tracks"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT c_custkey % 60 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 60 AS a, s_nationkey * 2 AS b FROM supplier WHERE s_acctbal < 0),
+@query("""WITH RECURSIVE s AS (SELECT c_custkey % 600 AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT DISTINCT s_suppkey % 600 AS a, s_nationkey * 24 AS b FROM supplier),
 e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), g AS (SELECT node, min(other) AS grp FROM r GROUP BY 1),
 j AS (SELECT component, size, coalesce(grp, component) AS grp FROM s LEFT JOIN g ON component = node), h AS (SELECT grp, component AS head, row_number() OVER (PARTITION BY grp ORDER BY size DESC, component) AS k FROM j)
 SELECT component, head AS "into" FROM j JOIN h USING (grp) WHERE k = 1""")
 def component_absorb(spark, sf_dir):
-    sizes = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 60).alias("component")).agg(F.count("*").alias("size"))
-    links = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select((F.col("s_suppkey") % 60).alias("a"), (F.col("s_nationkey") * 2).cast("long").alias("b")).distinct()
+    sizes = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 600).alias("component")).agg(F.count("*").alias("size"))
+    links = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 600).alias("a"), (F.col("s_nationkey") * 24).cast("long").alias("b")).distinct()
     return graph.absorb(sizes, links)
 
 
@@ -92,12 +92,13 @@ def greedy_coverage(spark, sf_dir):
 
 @query()
 def path_promotion(spark, sf_dir):
-    """Cheapest bridge between the least and greatest frame of each component; every tenth frame is a member."""
+    """Cheapest bridge between the least and greatest frame of each component; members are frames few of whose edges are penalised."""
     li = table(spark, sf_dir, "lineitem")
     li = li.select(F.col("l_linenumber").alias("comp"), (F.col("l_partkey") % 400).alias("a"), (F.col("l_suppkey") * 37 % 400).alias("b"), F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0).alias("penalty"))
     e = li.groupBy("comp", "a", "b").agg(F.min("penalty").alias("penalty"))
     ends = e.groupBy("comp").agg(F.least(F.min("a"), F.min("b")).alias("s"), F.greatest(F.max("a"), F.max("b")).alias("g"))
-    members = e.select("comp", F.explode(F.array("a", "b")).alias("node")).filter("node % 10 = 0").distinct()
+    nodes = e.select("comp", F.explode(F.array("a", "b")).alias("node"), "penalty").groupBy("comp", "node").agg(F.avg("penalty").alias("penalty"))
+    members = nodes.filter("penalty < 0.05").select("comp", "node")
     e = e.join(ends, "comp")
     return graph.bridge_path(e, members, "comp", "s", "g")
 

@@ -12,7 +12,7 @@ from .registry import query, table
 
 _KP = """
 k AS (SELECT vec_id AS kp, vec_id % 10 AS frame,
-  CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (63 - i)::INT) ELSE 0::BIGINT END)) AS BIGINT) AS dsc FROM embeddings),
+  CAST(CASE WHEN embedding[1] > 0 THEN -9223372036854775808 ELSE 0 END + list_sum(list_transform(range(2, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (64 - i)::INT) ELSE 0::BIGINT END)) AS BIGINT) AS dsc FROM embeddings),
 near AS (SELECT a.frame AS src, b.frame AS dst, a.kp AS q, b.kp AS t, bit_count(xor(a.dsc, b.dsc))::DOUBLE AS d FROM k a JOIN k b ON a.frame < b.frame),
 fwd AS (SELECT *, row_number() OVER (PARTITION BY src, dst, q ORDER BY d, t) AS r FROM near),
 bwd AS (SELECT *, row_number() OVER (PARTITION BY src, dst, t ORDER BY d, q) AS r FROM near),

@@ -16,10 +16,10 @@ W = 32
 
 
 def _raw(spark, sf_dir):
-    """Each page's bytes as a frame 32 pixels wide: as many whole pairs of rows as there are."""
-    rows = F.floor(F.octet_length("html") / (2 * W)) * 2
-    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("html"), rows.cast("int").alias("rows"))
-    return p.filter("rows >= 8").select("page_id", "rows", F.substring("html", F.lit(1), F.col("rows") * W).alias("content"))
+    """Each page's bytes as a frame 32 pixels wide, filled up with zeros to whole pairs of rows, 8 rows at least."""
+    html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    rows = F.greatest(F.ceil(F.octet_length(html) / (2 * W)) * 2, F.lit(8)).cast("int")
+    return table(spark, sf_dir, "pages").select("page_id", rows.alias("rows"), F.rpad(html, rows * W, F.lit(b"\0")).alias("content"))
 
 
 def _frame(content: bytes) -> np.ndarray:
