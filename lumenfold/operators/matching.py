@@ -236,10 +236,11 @@ def find_homography(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, rounds
     return (h / h[2, 2], int(best.sum())) if abs(h[2, 2]) > 1e-12 else (None, 0)
 
 
-def consensus_homography(matches: DataFrame, tolerance: float = 3.0, rounds: int = 2000, confidence: float = 0.995) -> DataFrame:
+def consensus_homography(matches: DataFrame, tolerance: float = 3.0, rounds: int = 2000, confidence: float = 0.995, with_error: bool = False) -> DataFrame:
     """(src, dst, h, inliers) from correspondences (src, dst, x1, y1, x2, y2): the 3x3 homography, row by row.
 
-    A pair of frames is one task's group, bounded by the keypoints of a frame. Rows are ordered first and draws
+    With ``with_error`` also the mean distance of inliers from where they are projected. A pair of frames is one
+    task's group, bounded by the keypoints of a frame. Rows are ordered first and draws
     seeded, so reruns agree. Correspondences with a null or non-finite coordinate are left out; pairs on which
     no four agree have a null ``h`` and no inliers.
     """
@@ -249,6 +250,54 @@ def consensus_homography(matches: DataFrame, tolerance: float = 3.0, rounds: int
         x = x[np.isfinite(x).all(axis=1)]
         x = x[np.lexsort(x.T[::-1])]
         h, inliers = find_homography(x[:, :2], x[:, 2:], tolerance, rounds, confidence)
-        return pd.DataFrame({"src": part["src"].iloc[:1], "dst": part["dst"].iloc[:1], "h": [None if h is None else h.ravel().tolist()], "inliers": [inliers]})
+        out = {"src": part["src"].iloc[:1], "dst": part["dst"].iloc[:1], "h": [None if h is None else h.ravel().tolist()], "inliers": [inliers]}
+        if with_error:
+            off = np.zeros(0) if h is None else np.linalg.norm(_projected(h, x[:, :2]) - x[:, 2:], axis=1)
+            off = off[off <= tolerance]
+            out["error"] = [float(off.mean()) if len(off) else None]
+        return pd.DataFrame(out)
 
-    return matches.select("src", "dst", "x1", "y1", "x2", "y2").groupBy("src", "dst").applyInPandas(run, "src long, dst long, h array<double>, inliers long")
+    kind = "src long, dst long, h array<double>, inliers long" + ", error double" * with_error
+    return matches.select("src", "dst", "x1", "y1", "x2", "y2").groupBy("src", "dst").applyInPandas(run, kind)
+
+
+#: Scales of a frame, at most.
+LEVELS = 256
+
+
+def scale_pair_search(keypoints: DataFrame, pairs: DataFrame, ratio: float = 0.75, tolerance: float = 3.0, least: int = 4) -> DataFrame:
+    """(src, dst, turn, src_level, dst_level, inliers, error, h) of each pair's best scales; pairs without any are left out.
+
+    ``keypoints``: (frame, level, scale, kp, x, y, desc), a frame's keypoints found at several scales, in the
+    coordinates of that scale; levels are numbered below ``LEVELS``. Every scale of ``src`` is tried with every
+    one of ``dst``: two nearest, ratio test, homography on ``least`` matches or more. ``h`` is in coordinates of
+    full size. Tries with a mean error over ``tolerance``, or whose ``h`` is not nearly a scaling and a shift, don't
+    count. Of the others the one with most inliers is taken, the first (by source, then target level) of equals.
+    """
+    sub = (F.col("frame") * LEVELS + F.col("level")).cast("long")
+    places = keypoints.select(sub.alias("sub"), "kp", "x", "y")
+    levels = keypoints.select("frame", "level", "scale").distinct()
+    side = lambda name: levels.select(F.col("frame").alias(name), F.col("level").alias(f"{name}_level"), F.col("scale").alias(f"{name}_scale"))
+    tries = pairs.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst")
+    tries = tries.select("*", (F.col("src") * LEVELS + F.col("src_level")).cast("long").alias("a"), (F.col("dst") * LEVELS + F.col("dst_level")).cast("long").alias("b"))
+    near = ratio_matches(knn2(keypoints.select(sub.alias("frame"), "kp", "desc"), tries.select(F.col("a").alias("src"), F.col("b").alias("dst"))), ratio)
+    points = near.join(places.toDF("src", "q", "x1", "y1"), ["src", "q"]).join(places.toDF("dst", "t1", "x2", "y2"), ["dst", "t1"])
+    fits = consensus_homography(points, tolerance, with_error=True).filter((F.col("inliers") >= least) & (F.col("error") <= tolerance))
+    full = tries.join(fits.withColumnsRenamed({"src": "a", "dst": "b"}), ["a", "b"]).withColumn("h", _full_size("h", F.col("src_scale"), F.col("dst_scale")))
+    turn = (F.col("src_level") * LEVELS + F.col("dst_level")).cast("long").alias("turn")
+    return best_scale(full.filter(scaling_gate("h")).select("src", "dst", turn, "src_level", "dst_level", "inliers", "error", "h"))
+
+
+def _full_size(h: str, src_scale: Column, dst_scale: Column) -> Column:
+    """A homography between scaled frames as one between frames of full size, its last entry 1."""
+    rows, columns = (1 / dst_scale, 1 / dst_scale, F.lit(1.0)), (src_scale, src_scale, F.lit(1.0))
+    m = [F.get(h, F.lit(3 * i + j)) * rows[i] * columns[j] for i in range(3) for j in range(3)]
+    return F.when(F.abs(m[8]) >= 1e-12, F.array(*[x / m[8] for x in m]))
+
+
+def scaling_gate(h: str = "h") -> Column:
+    """Accepts a 3x3 homography (array, row by row) with hardly any rotation, shear, unevenness or perspective."""
+    m = [F.get(h, F.lit(i)) for i in range(9)]
+    mean = (F.abs(m[0]) + F.abs(m[4])) / 2
+    even = (mean >= 1e-3) & (F.abs(m[0] - m[4]) <= 0.08 * mean)
+    return even & (F.abs(m[1]) <= 0.08) & (F.abs(m[3]) <= 0.08) & (F.abs(m[6]) <= 1e-3) & (F.abs(m[7]) <= 1e-3)

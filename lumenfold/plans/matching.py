@@ -150,3 +150,30 @@ def homography_consensus(spark, sf_dir):
     gate = m.geometry_gate("h", "t_x", "t_y", 640, 480)
     h = h.withColumn("t_x", F.get("h", F.lit(2))).withColumn("t_y", F.get("h", F.lit(5))).withColumn("accepted", gate)
     return h.select("src", "dst", "inliers", *[F.round(F.get("h", F.lit(i)), 5).alias(f"h{i}") for i in range(6)], "accepted")
+
+
+# --- frames of a hundred keypoints at two scales each; at each scale some keypoints are far from their place ---
+
+_FAR = {"src": "(vec_id // 7 + level) % (3 + vec_id // 100 % 3) = 0", "dst": "(vec_id // 3 + 2 * level) % (4 + vec_id // 100 % 2) = 0"}
+
+
+@query(f"""WITH s AS (SELECT vec_id, level, {_FAR["src"]} AS far FROM embeddings, range(2) l(level)), d AS (SELECT vec_id, level, {_FAR["dst"]} AS far FROM embeddings, range(2) l(level)),
+t AS (SELECT vec_id // 100 AS src, s.level AS src_level, d.level AS dst_level, count(*) FILTER (NOT s.far AND NOT d.far) AS inliers FROM s JOIN d USING (vec_id) GROUP BY ALL HAVING inliers >= 4),
+b AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY inliers DESC, src_level, dst_level) AS r FROM t)
+SELECT src, src + 1000000000 AS dst, src_level, dst_level, inliers, 0.0::DOUBLE AS error, 1.01::DOUBLE AS h0, 0.02::DOUBLE AS h1, 5::DOUBLE AS h2, (-0.01)::DOUBLE AS h3, 0.99::DOUBLE AS h4, 7::DOUBLE AS h5 FROM b WHERE r = 1""")
+def scale_pair_search(spark, sf_dir):
+    """Each frame against itself under a known homography, over all pairs of scales."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 100).alias("frame"), "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("level"))
+    x, y, shift = F.col("vec_id") * 37 % 640, F.col("vec_id") * 91 % 480, F.col("vec_id") * 13 % 200 + 100
+    sides = {"src": (x, y, 0, 1, (1.0, 0.5)), "dst": (x * 1.01 + y * 0.02 + 5, x * -0.01 + y * 0.99 + 7, 1_000_000_000, -1, (0.5, 0.25))}
+
+    def side(name):
+        px, py, first, sign, scales = sides[name]
+        far = F.when(F.expr(_FAR[name].replace("//", "div")), sign * shift).otherwise(0)
+        scale = F.when(F.col("level") == 0, scales[0]).otherwise(scales[1])
+        return e.select((F.col("frame") + first).alias("frame"), "level", scale.alias("scale"), F.col("vec_id").alias("kp"), ((px + far) * scale).alias("x"), ((py + far) * scale).alias("y"), F.col("embedding").alias("desc"))
+
+    pairs = e.select(F.col("frame").alias("src"), (F.col("frame") + 1_000_000_000).alias("dst")).distinct()
+    best = m.scale_pair_search(side("src").union(side("dst")), pairs)
+    numbers = [F.round(F.get("h", F.lit(i)), 5).alias(f"h{i}") for i in range(6)]
+    return best.select("src", "dst", "src_level", "dst_level", "inliers", F.round("error", 5).alias("error"), *numbers)

@@ -120,6 +120,31 @@ def test_homography_of_too_few_or_equal_points(spark):
     assert matching.consensus_homography(same).count() == 1
 
 
+def scale_rows(frame, level, scale, h, n=60, seed=5):
+    """(frame, level, scale, kp, x, y, desc) of ``n`` points moved by ``h`` and then scaled; equal descriptors in every frame."""
+    rng = np.random.default_rng(seed)
+    at, desc = rng.random((n, 2)) * 640, rng.standard_normal((n, 16))
+    at = matching._projected(np.array(h, float), at) * scale
+    return [(frame, level, scale, k, *map(float, at[k]), desc[k].tolist()) for k in range(n)]
+
+
+def test_scale_pair_search(spark):
+    """Best scales by inliers, first of equals; rotated, stretched and empty pairs have none."""
+    one = [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+    shift = [[1.02, 0.01, 40], [-0.01, 1.0, -25], [0, 0, 1]]
+    turned = [[0.94, 0.34, 0], [-0.34, 0.94, 0], [0, 0, 1]]
+    uneven = [[1.0, 0, 0], [0, 1.2, 0], [0, 0, 1]]
+    rows = scale_rows(1, 0, 1.0, one) + scale_rows(1, 1, 0.5, one)
+    weak = [(*r[:4], r[4] + (200 + 9 * r[3] if r[3] % 3 == 0 else 0), *r[5:]) for r in scale_rows(2, 0, 1.0, shift)]
+    rows += weak + scale_rows(2, 3, 0.25, shift) + scale_rows(3, 0, 1.0, turned) + scale_rows(4, 0, 1.0, uneven) + scale_rows(5, 0, 1.0, one, n=3)
+    k = spark.createDataFrame(rows, "frame long, level long, scale double, kp long, x double, y double, desc array<double>")
+    pairs = spark.createDataFrame([(1, n) for n in (2, 3, 4, 5, 9)], "src long, dst long")
+    got = matching.scale_pair_search(k, pairs).collect()
+    assert [(r.src, r.dst, r.src_level, r.dst_level, r.inliers) for r in got] == [(1, 2, 0, 3, 60)]
+    assert np.allclose(np.array(got[0].h).reshape(3, 3), shift, atol=1e-6) and got[0].error < 1e-6
+    assert matching.scale_pair_search(k.limit(0), pairs).count() == 0
+
+
 def test_names_and_transcripts(spark, tmp_path):
     (tmp_path / "names").write_bytes(b"a b\r\n\t\r\nc\r\n")
     assert [r.name for r in frames.read_names(spark, str(tmp_path / "names")).collect()] == ["ab", "c"]
