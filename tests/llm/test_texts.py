@@ -472,6 +472,70 @@ def test_score_corpus(odd):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_expected_counts_against_enumeration():
+    """Baum-Welch counts are the sums over all state paths, each weighed by its share of the text's probability."""
+    rng = np.random.default_rng(4)
+    m = hmm.Model(*(x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)))), emit=rng.random((6, 3)))
+    m.emit /= m.emit.sum(axis=0)
+    docs = [np.array([0, 3, 5, 1]), np.array([2]), np.array([1, 1, 4, 5, 0])]
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((hmm.CLASSES, 3))
+    for d in docs:
+        paths = list(np.ndindex(*[3] * len(d)))
+        weight = np.array([m.start[p[0]] * np.prod([m.emit[x, z] for x, z in zip(d, p)]) * np.prod([m.move[y, z] for y, z in zip(p, p[1:])]) for p in paths])
+        for p, w in zip(paths, weight / weight.sum()):
+            start[p[0]] += w
+            for y, z in zip(p, p[1:]):
+                move[y, z] += w
+            for x, z in zip(d, p):
+                emit[x, z] += w
+    for got, want in zip(hmm.expected_counts(m, docs), (start, move, emit)):
+        assert np.abs(got - want).max() < 1e-9
+
+
+def test_scores_against_a_plain_forward_pass(spark, monkeypatch):
+    """Scores of whole texts, words of their own class, rare and unseen ones, equal a token by token reading of the rules."""
+    made = []
+    monkeypatch.setattr(hmm, "_trained", lambda *a, train=hmm._trained: made.append(train(*a)) or made[0])
+    monkeypatch.setattr(hmm, "ROUNDS", 2)
+    r = np.random.default_rng(6)
+    word = lambda k: f"W{k}x{k * 7 % 97}"
+    rows = [(i, " ".join(word(k) for k in r.integers(0, 60, r.integers(1, 50)))) for i in range(40)]
+    rows += [(100, " ".join(word(k) for k in range(36_000))), (101, None), (102, "never seen words W5x35"), (103, " ".join(word(k) for k in range(30_000, 40_000, 7)))]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    assert not held(100)
+    got = {x.doc_id: x.score for x in hmm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    count: collections.Counter = collections.Counter(w for i, t in rows if not held(i) for w in split(t))
+    every = sorted({w for _, t in rows for w in split(t)})
+    size = np.array([len(w) for w in every])
+    hashes = hmm.hash_words(np.frombuffer("".join(every).encode(), np.uint8), np.cumsum(size) - size, size).view(np.int64)
+    rank = {w: k for k, (w, _) in enumerate(sorted(zip(every, hashes), key=lambda x: (-count[x[0]], x[1])))}
+    own = lambda w: count[w] > 0 and rank[w] < hmm.TOP
+
+    def shape(w):
+        b, h = w.encode(), min(len(w.encode()), 3)
+        for j in range(3):
+            h = h * 257 + b[max(len(b) - 1 - j, 0)]
+        return int(hmm.mix(np.array([h], np.uint64), 11)[0]) % hmm.SHAPES
+
+    total, types = collections.Counter(), collections.Counter()
+    for w, c in count.items():
+        if not own(w):
+            total[shape(w)] += c
+            types[shape(w)] += 1
+    assert sum(types.values()) > 3000
+    m = made[0]
+    for i, text in rows:
+        want, alpha = 0.0, None
+        for w in [*split(text), None]:
+            cls = hmm.END if w is None else rank[w] if own(w) else hmm.TOP + shape(w)
+            if w is not None and not own(w):
+                want += math.log10((count[w] + 0.1) / (total[shape(w)] + 0.1 * (types[shape(w)] + 1)))
+            alpha = (m.start if alpha is None else alpha @ m.move) * m.emit[cls]
+            want += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert abs(got[i] - want) < 1e-6 * max(1, -want), i
+
+
 def test_rare_words_come_by_the_join(odd, monkeypatch):
     """With no word sent along, every count comes from the shuffle, and base scores are the same."""
     one = sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in hmm.score_corpus(odd).collect())
