@@ -156,3 +156,53 @@ def align_positions(spark, sf_dir):
 def align_candidates(spark, sf_dir):
     """Known frames each new one is matched with: tested against a plain greedy choice."""
     return aligned(spark, sf_dir).candidates
+
+
+# --- new components: orders are frames, those of status P the first frames of new components ---
+
+_ANCHOR = """f AS (SELECT o_custkey % 50 AS slide, o_orderkey AS frame, o_custkey % 3 AS component, (o_orderkey * 13 % 3000)::DOUBLE AS x, (o_custkey * 7 % 1000)::DOUBLE AS y, CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 1.0 END::DOUBLE AS mpp, o_custkey % 4 > 0 AS observed, o_orderstatus = 'P' AS root FROM orders),
+k AS (SELECT * EXCLUDE (root), lag(frame) OVER w AS pf, lag(component) OVER w AS pc, lag(x) OVER w AS px, lag(y) OVER w AS py FROM f WHERE NOT root WINDOW w AS (PARTITION BY slide ORDER BY frame)),
+b AS (SELECT r.slide, r.frame AS root, r.mpp, r.observed, k.frame AS last, k.component AS into_, k.x AS lx, k.y AS ly, k.mpp AS lm, k.observed AS lo, r.mpp <> k.mpp AS changed,
+ k.x + CASE WHEN pc = k.component THEN (k.x - px) * (r.frame - k.frame) / (k.frame - pf) ELSE 0 END AS qx, k.y + CASE WHEN pc = k.component THEN (k.y - py) * (r.frame - k.frame) / (k.frame - pf) ELSE 0 END AS qy
+ FROM (SELECT * FROM f WHERE root) r ASOF JOIN k ON r.slide = k.slide AND r.frame > k.frame),
+t AS (SELECT slide, root, 0 AS turn, last AS target, lx AS x, ly AS y, lm AS tm FROM b UNION ALL
+ SELECT slide, root, turn, target, x, y, tm FROM (SELECT b.slide, root, k.frame AS target, k.x, k.y, k.mpp AS tm, row_number() OVER (PARTITION BY b.slide, root ORDER BY (400 - abs(k.x - qx)) * (300 - abs(k.y - qy)) DESC, k.frame) AS turn
+ FROM b JOIN k ON k.slide = b.slide AND k.component = into_ AND k.frame <> last AND abs(k.x - qx) < 400 AND abs(k.y - qy) < 300 WHERE NOT changed) WHERE turn < 3)"""
+
+
+def anchor_inputs(spark, sf_dir):
+    o, key = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    f = o.select((key % 50).alias("slide"), F.col("o_orderkey").alias("frame"), (key % 3).alias("component"), (F.col("o_orderkey") * 13 % 3000).cast("double").alias("x"), (key * 7 % 1000).cast("double").alias("y"), F.when(F.col("o_orderpriority") == "1-URGENT", 0.5).otherwise(1.0).alias("mpp"), (key % 4 > 0).alias("observed"), F.col("o_orderstatus").alias("status"))
+    roots = f.filter("status = 'P'").select("slide", "frame", F.col("frame").alias("component"), "mpp", "observed", F.lit(400.0).alias("w"), F.lit(300.0).alias("h"))
+    return roots, f.filter("status <> 'P'").withColumn("scale", 1.0 + F.col("component")).drop("status")
+
+
+@query(f"WITH {_ANCHOR} SELECT slide, root AS component, turn, CASE WHEN changed THEN root ELSE target END AS src, CASE WHEN changed THEN target ELSE root END AS dst FROM t JOIN b USING (slide, root)")
+def anchor_targets(spark, sf_dir):
+    from lumenfold.operators import anchor
+
+    return anchor.anchor_targets(*anchor_inputs(spark, sf_dir)).select("slide", "component", "turn", "src", "dst")
+
+
+@query(f"""WITH {_ANCHOR}, h AS (SELECT *, CASE WHEN changed THEN mpp / lm ELSE lm / tm END * (1 + ((root + target) % 5 - 2) * 0.02) AS a, (root % 90)::DOUBLE AS dx, (target % 70)::DOUBLE AS dy FROM t JOIN b USING (slide, root) WHERE (root + target) % 3 > 0),
+g AS (SELECT *, CASE WHEN changed THEN CASE WHEN observed THEN abs(a - mpp / lm) < 0.05 * mpp / lm ELSE abs(a - 0.5 / lm) < 0.05 * 0.5 / lm OR abs(a - 1 / lm) < 0.05 / lm END ELSE abs(a - lm / tm) < 0.05 * lm / tm AND abs(a - 1) < 0.05 END AS good FROM h),
+w AS (SELECT slide, root, target, x, y, a, dx, dy, row_number() OVER (PARTITION BY slide, root ORDER BY turn) AS r FROM g WHERE good),
+o AS (SELECT b.*, w.target, w.x, w.y, a, dx, dy, CASE WHEN a IS NOT NULL THEN 'features' WHEN NOT changed THEN 'velocity' WHEN lo THEN 'label' END AS how FROM b LEFT JOIN w ON w.slide = b.slide AND w.root = b.root AND r = 1)
+SELECT slide, root AS component, into_ AS "into", CASE WHEN how = 'features' AND NOT changed THEN target WHEN how IS NOT NULL THEN last END AS landmark, round(CASE how WHEN 'features' THEN a WHEN 'velocity' THEN 1 WHEN 'label' THEN mpp / lm END * (1.0 + into_), 6) AS scale,
+ round(CASE how WHEN 'features' THEN CASE WHEN changed THEN lx + dx ELSE x - dx END WHEN 'velocity' THEN qx WHEN 'label' THEN lx + 400 * (1 - mpp / lm) / 2 END, 6) AS x,
+ round(CASE how WHEN 'features' THEN CASE WHEN changed THEN ly + dy ELSE y - dy END WHEN 'velocity' THEN qy WHEN 'label' THEN ly + 300 * (1 - mpp / lm) / 2 END, 6) AS y, how FROM o""")
+def component_anchor(spark, sf_dir):
+    """Homographies by rule: two thirds of targets have one, its scale off by up to four per cent."""
+    from lumenfold.operators import anchor
+
+    roots, resolved = anchor_inputs(spark, sf_dir)
+    targets = anchor.anchor_targets(roots, resolved)
+    at = targets.join(roots.select("slide", "component", F.col("mpp").alias("r_mpp")), ["slide", "component"]).withColumn("changed", F.col("src") == F.col("component"))
+    target = F.when(F.col("changed"), F.col("dst")).otherwise(F.col("src"))
+    lasts = anchor._last_resolved(roots, resolved, "slide").select("slide", "component", F.col("last.mpp").alias("l_mpp"))
+    at = at.join(lasts, ["slide", "component"]).filter((F.col("component") + target) % 3 > 0)
+    a = F.when(F.col("changed"), F.col("r_mpp") / F.col("l_mpp")).otherwise(F.col("l_mpp") / F.col("mpp")) * (1 + ((F.col("component") + target) % 5 - 2) * 0.02)
+    zero = F.lit(0.0)
+    found = at.select("src", "dst", F.array(a, zero, (F.col("component") % 90).cast("double"), zero, a, (target % 70).cast("double"), zero, zero, F.lit(1.0)).alias("h"))
+    out = anchor.anchored(roots, resolved, targets, found, [0.5, 1.0])
+    return out.select("slide", "component", "into", "landmark", *[F.round(c, 6).alias(c) for c in ("scale", "x", "y")], "how")

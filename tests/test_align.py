@@ -62,3 +62,29 @@ def test_nothing_new(spark, plane):
     got = align.align_batch(images.limit(0), wins.limit(0), kp, observed, places)
     assert got.positions.count() == 0 and got.candidates.count() == 0
     assert {(r.frame, r.kp) for r in got.observed.collect()} == {(r.frame, r.kp) for r in observed.collect()}
+
+
+def test_anchor_components(spark):
+    """A new component by features of the last frame, by those of another magnification, by velocity, by label, and not at all."""
+    from lumenfold.operators import anchor
+
+    from .test_kernels import scale_rows
+
+    one, shift = [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [[1, 0, 30], [0, 1, -20], [0, 0, 1]]
+    half = [[0.5, 0, 100], [0, 0.5, 80], [0, 0, 1]]
+    frame = "slide long, frame long, component long, x double, y double, mpp double, observed boolean, scale double"
+    resolved = [(s, f, 7, 100.0 * f, 10.0, 1.0, s != 5, 2.0) for s in (1, 2, 3, 4, 5) for f in (10 * s, 10 * s + 2)]
+    roots = [(1, 13, 100, 1.0, True, 400.0, 300.0), (2, 23, 101, 0.5, False, 400.0, 300.0), (3, 33, 102, 1.0, True, 400.0, 300.0), (4, 43, 103, 0.5, True, 400.0, 300.0), (5, 53, 104, 0.5, True, 400.0, 300.0), (6, 63, 105, 0.5, True, 400.0, 300.0)]
+    keys = scale_rows(12, 0, 0.5, one) + scale_rows(13, 0, 1.0, shift) + scale_rows(23, 0, 1.0, one) + scale_rows(22, 0, 1.0, half)
+    a = spark.createDataFrame(roots, "slide long, frame long, component long, mpp double, observed boolean, w double, h double")
+    b = spark.createDataFrame(resolved, frame)
+    k = spark.createDataFrame(keys, "frame long, level long, scale double, kp long, x double, y double, desc array<double>")
+    got = {r.component: (r.landmark, r.how, *[None if v is None else round(v, 4) for v in (r.scale, r.x, r.y)]) for r in anchor.anchor_components(a, b, k, [0.5, 1.0]).collect()}
+    assert got == {
+        100: (12, "features", 2.0, 1170.0, 30.0),
+        101: (22, "features", 1.0, 2300.0, 90.0),
+        102: (32, "velocity", 2.0, 3300.0, 10.0),
+        103: (42, "label", 1.0, 4300.0, 85.0),
+        104: (None, None, None, None, None),
+    }
+    assert anchor.anchor_components(a, b.limit(0), k, [1.0]).count() == 0 and anchor.anchor_components(a.limit(0), b, k, [1.0]).count() == 0
