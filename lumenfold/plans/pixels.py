@@ -74,6 +74,35 @@ def mosaic_export(spark, sf_dir):
     return _raw(spark, sf_dir).select("page_id", assemble("content").alias("m")).select("page_id", "m.*")
 
 
+@query("""WITH r AS (SELECT page_id, hex(coalesce(html, '')) AS hx, length(hx) // 2 AS n, greatest((n + 63) // 64 * 2, 8) AS rows FROM pages),
+b AS (SELECT page_id, rows, list_transform(range(0, rows * 32), lambda i: CASE WHEN i < n THEN (strpos('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1 ELSE 0 END) AS v FROM r),
+m AS (SELECT page_id, quantile_disc(x, 0.5) AS level FROM (SELECT page_id, unnest(v) AS x FROM b) GROUP BY 1),
+c AS (SELECT page_id, rows, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM b),
+h AS (SELECT page_id, sum(s)::BIGINT AS half FROM (SELECT page_id, floor(sum(x) / 4.0 + 0.5) AS s FROM c GROUP BY page_id, i // 64, i % 32 // 2) GROUP BY 1),
+g AS (SELECT page_id, rows, coalesce(sum(x) FILTER (i // 32 % 2 = 0 AND i % 2 = 0), 0)::BIGINT AS blue, coalesce(sum(x) FILTER (i // 32 % 2 = 0 AND i % 2 = 1), 0)::BIGINT AS green_1, coalesce(sum(x) FILTER (i // 32 % 2 = 1 AND i % 2 = 0), 0)::BIGINT AS green_2, coalesce(sum(x) FILTER (i // 32 % 2 = 1 AND i % 2 = 1), 0)::BIGINT AS red,
+ sum(least(floor(x * CASE WHEN i // 32 % 2 = 0 AND i % 2 = 0 THEN 2.25 WHEN i // 32 % 2 = 1 AND i % 2 = 1 THEN 0.75 ELSE 1.0 END::DOUBLE + 0.5), 255))::BIGINT AS gained, count(*) FILTER (x > 100) * 2 > count(*) AS white FROM c GROUP BY ALL)
+SELECT page_id, rows::BIGINT AS rows, blue, green_1, green_2, red, gained, half, level::BIGINT AS level, list_count(list_filter(v, lambda x: x > level))::BIGINT AS above,
+ list_sum(list_transform(range(0, rows * 32), lambda i: greatest(v[i + 1], v[(rows - 1 - i // 32) * 32 + i % 32 + 1])))::BIGINT AS merged, white, round((0.11 * v[69] + 0.59 * (v[70] + v[101]) / 2 + 0.30 * v[102])::DOUBLE, 6) AS luminance
+FROM b JOIN m USING (page_id) JOIN h USING (page_id) JOIN g USING (page_id, rows)""")
+def frame_planes(spark, sf_dir):
+    """Sums of each frame's colour planes, of its gained, halved and mirrored-and-merged images; its median, and one place's luminance."""
+
+    @F.pandas_udf("blue long, green_1 long, green_2 long, red long, gained long, half long, level long, above long, merged long, white boolean, luminance double")
+    def measure(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            raw = _frame(c)
+            planes = px.split_colors(raw)
+            level, bits = px.threshold_bits(raw)
+            images = (*(planes[k] for k in ("B", "G1", "G2", "R")), px.color_gain(raw, 2.25, 1.0, 0.75), px.resize_half(raw))
+            sums = [int(x.sum(dtype=np.int64)) for x in images]
+            merged = px.merge_masks(raw, raw[::-1])
+            rows.append((*sums, level, int(np.bitwise_count(bits).sum()), int(merged.sum(dtype=np.int64)), px.mostly_white(raw, 100), round(px.luminance_at(raw, 3, 5), 6)))
+        return pd.DataFrame(rows, columns=["blue", "green_1", "green_2", "red", "gained", "half", "level", "above", "merged", "white", "luminance"])
+
+    return _raw(spark, sf_dir).select("page_id", F.col("rows").cast("long").alias("rows"), measure("content").alias("m")).select("page_id", "rows", "m.*")
+
+
 @query("SELECT page_id, strlen(html) = 4096 AS good_size, strlen(html) AS n FROM pages")
 def frame_size_check(spark, sf_dir):
     n = F.octet_length("html")
