@@ -11,29 +11,47 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text as t
 
 
+#: Passages of one or two words that are broadcast and sought in every text; more are joined by pairs of characters.
+SHORT = 10_000
+
+
 def evidence_exact(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, last_word): passages that occur in documents, after normalising both.
 
-    ``passages`` is the bounded side (a slide's concepts, a benchmark): it is matched through its rarest
-    sort of key, the first ``5`` words, so documents are not paired with every passage.
+    Inside a text the words of a match are whole but for the first and last, so a passage is found by the
+    words after its first, up to four of them, and texts are not paired with every passage.
     """
-    k = 5
     d = documents.select("doc_id", t.normalize(F.col("text")).alias("text")).filter("text <> ''")
     p = passages.select("item_id", t.normalize(F.col("text")).alias("needle")).filter("needle <> ''").withColumn("w", F.split("needle", " "))
-    long, short = p.filter(F.size("w") > k), p.filter(F.size("w") <= k)
-    # inside a text the words of a match are whole but for the first and last, so keys are words 2 .. 5
-    p_key = long.withColumn("key", F.xxhash64(F.slice("w", 2, k - 1))).drop("w")
-    words = d.withColumn("w", F.split("text", " ")).withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 2), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, k - 1)))))).select("doc_id", "key")
-    hits = words.join(p_key, "key").select("doc_id", "item_id", "needle").distinct().join(d, "doc_id")
-    both = hits.select("doc_id", "item_id", "needle", "text")
-    if short.limit(1).count():  # too short for a key: compared with every text
-        few = d.join(F.broadcast(short.drop("w")), F.expr("instr(text, needle) > 0")).select("doc_id", "item_id", "needle", "text")
-        both = both.union(few)
+    p = p.withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
+    both = d.select("doc_id", F.lit(None).cast(p.schema["item_id"].dataType).alias("item_id"), F.col("text").alias("needle"), "text").limit(0)
+    sizes = sorted(r["n"] for r in p.select(F.greatest("n", F.lit(0)).alias("n")).distinct().collect())  # 0 to 4
+    for n in [n for n in sizes if n]:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
+        keys = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, n))))
+        words = d.withColumn("w", F.split("text", " ")).select("doc_id", F.explode(keys).alias("key"))
+        keyed = p.filter(F.col("n") == n).select("item_id", "needle", F.xxhash64(F.slice("w", 2, n)).alias("key"))
+        hits = words.join(keyed, "key").select("doc_id", "item_id", "needle").distinct()
+        both = both.union(hits.join(d, "doc_id").select("doc_id", "item_id", "needle", "text"))
+    if 0 in sizes:
+        both = both.union(_short_hits(d, p.filter("n <= 0").select("item_id", "needle", "w")))
     both = both.withColumn("at", F.instr("text", F.col("needle"))).filter("at > 0")
     first = t.word_index(F.col("text"), F.col("at") - 1)
     return both.select("doc_id", "item_id", first.alias("first_word"), (first + F.length("needle") - F.length(F.replace("needle", F.lit(" "), F.lit("")))).alias("last_word"))
 
 
+def _short_hits(d: DataFrame, short: DataFrame) -> DataFrame:
+    """Texts that may hold passages of one or two words, which can be parts of words."""
+    if short.count() <= SHORT:
+        return d.join(F.broadcast(short.drop("w")), F.expr("instr(text, needle) > 0")).select("doc_id", "item_id", "needle", "text")
+    longest = F.when(F.length(F.get("w", F.lit(1))) > F.length(F.get("w", F.lit(0))), F.get("w", F.lit(1))).otherwise(F.get("w", F.lit(0)))
+    keyed = short.select("item_id", "needle", F.substring(longest, 1, 2).alias("key"))
+    pairs = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.array(F.substring(w, i, F.lit(1)), F.substring(w, i, F.lit(2)))))
+    grams = d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.split("text", " ")), pairs)))).alias("key"))
+    hits = grams.join(keyed, "key").select("doc_id", "item_id", "needle").distinct()
+    return hits.join(d, "doc_id").select("doc_id", "item_id", "needle", "text")
+
+
 def _window_hash(n: int):
     return lambda i: F.xxhash64(F.slice("words", i, F.lit(n)))
 

@@ -237,3 +237,23 @@ def test_short_and_long_passages(spark):
     p = spark.createDataFrame([(1, "brown fox"), (2, "quick brown fox jumps over IT"), (3, "over the"), (4, ""), (5, None)], "item_id long, text string")
     assert rows(spans.evidence_exact(d, p)) == [(1, 1, 2, 3), (1, 2, 1, 6)]
     assert rows(spans.evidence_tokens(d, p)) == [(1, 1, 2, 3), (1, 2, 1, 6)]
+
+
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_short_and_long_evidence(spark, monkeypatch, bound):
+    """Passages of one to seven words, whole and in parts of words, are found where a plain search finds them."""
+    monkeypatch.setattr(spans, "SHORT", bound)
+    texts = {1: "the quick brown fox jumps over the lazy dog again", 2: "a b c d e f g h", 3: "", 4: None, 5: "Größe ist über  alles\n groß", 6: "x", 7: "one two one two three"}
+    needles = ["x", "own fo", "e", "b c d", "quick brown fox", "ick brown fox ju", "brown fox jumps over th", "quick brown fox jumps over the", "the quick brown fox jumps over the lazy", "two three", "e two th", "über alles", "ße ist üb", "nowhere", "", None, "dog again x"]
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    p = spark.createDataFrame(list(enumerate(needles)), "item_id long, text string")
+    want = set()
+    for i, text in texts.items():
+        text = " ".join((text or "").lower().split())
+        for k, n in enumerate(needles):
+            if n and n in text:
+                first = text[: text.index(n)].count(" ")
+                want.add((i, k, first, first + n.count(" ")))
+    got = [tuple(r) for r in spans.evidence_exact(d, p).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 15
+    assert spans.evidence_exact(d, p.limit(0)).count() == 0
