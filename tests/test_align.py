@@ -124,3 +124,11 @@ def test_anchor_targets_dont_pair_a_component_with_itself(spark):
     rows = out.filter("turn = 0").collect()
     assert len(rows) == n // 2 and all(r.src == r.component - 100001 for r in rows)
     assert out.groupBy("turn").count().orderBy("turn").collect() == [(0, n // 2), (1, n // 2 - 99), (2, n // 2 - 99)]  # the first root of a row is projected beyond the others
+
+
+def test_component_anchor_doesnt_pair_a_component_with_itself(spark, data):
+    """Both uses of the targets look frames up by place."""
+    from lumenfold.plans.catalogue import QUERIES
+
+    plan = QUERIES["component_anchor"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "< 400.0" not in plan
