@@ -11,9 +11,9 @@
 4. A hot bucket (over ``BLOCK`` classes) is first compared in chunks, each with the same few pivots, so most
    of its classes join one component. Only classes of different components are compared further: the largest
    component's with the others', and those with each other, in pairs of blocks. Where even that would copy a
-   class over ``WIDE`` times, the bucket is split by every second band first: a pair at the threshold shares
-   two bands of 24 but for one in a million. So rows stay linear in the bucket. Nothing is asked for here:
-   classes that have a similar one of another component go to step 5.
+   class over ``WIDE`` times, the bucket is split by groups of fields first: similar signatures differ in at
+   most so many fields, so of one group more, outside the bucket's own band, one is equal. No similar pair is
+   lost by it. Nothing is asked for here: classes that have a similar one of another component go to step 5.
 5. Buckets in which a class had more similar partners than it asked for are closed exactly: the classes
    they hold are grouped, groups are dealt out in pairs of blocks of their full sets (the largest
    component found so far isn't compared with itself), intersections of a pair of blocks are one matrix
@@ -35,7 +35,7 @@ from .words import hash_words, mix, pieces, shingle_hashes, tidy, utf8, word_spa
 PERMS, ROWS, BITS = 96, 4, 4
 #: Classes of one bucket that are compared in one piece; larger buckets are hot. Pivots of a hot bucket, about.
 BLOCK, PIVOTS = 1024, 32
-#: Blocks of a hot bucket outside its largest component; with more, it is split by second bands.
+#: Blocks of a hot bucket outside its largest component; with more, it is split by groups of fields.
 WIDE = 24
 #: Documents of one class beyond which they are not brought together to learn their component.
 MANY = 4096
@@ -360,7 +360,7 @@ def _components(docs: DataFrame, live: DataFrame, classes: DataFrame, k: int, pe
     sets = _sets_of(docs, live, classes.join(need.toDF("cls").distinct(), "cls", "left_semi").select("cls", "rep", "d1", "d2"), k)
     comp = connected_components(_confirmed(asked, sets, percent), "a", "b").withColumnRenamed("node", "cls")
     if crowd is not None:
-        held = held.union(_compared(_crossing(crowd, comp, classes), classes, least, 0).distinct())
+        held = held.union(_compared(_crossing(crowd, comp, classes, least), classes, least, 0).distinct())
     held = cut(held)
     if not held.limit(1).count():
         return comp
@@ -384,8 +384,9 @@ def _chunks(crowd: DataFrame) -> DataFrame:
     return crowd.select("bkey", at, F.lit(-1).alias("bj"), pivot.cast("int").alias("blk"), "cls")
 
 
-def _crossing(crowd: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bkey, bi, bj, blk, cls, comp): hot buckets in pairs of blocks that bring classes of different components together."""
+def _crossing(crowd: DataFrame, comp: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(bkey, bi, bj, blk, cls, comp): hot buckets in pairs of blocks that bring classes of different components
+    together, all that are similar by ``least``."""
     m = crowd.join(comp, "cls", "left").select("bkey", "cls", F.coalesce("component", "cls").alias("comp"))
     m = cut(m)
     sized = cut(spread(m, _shape(m, F.lit(1), BLOCK), "bkey", "cls").filter("main is not null"))
@@ -393,9 +394,50 @@ def _crossing(crowd: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFram
     wide = sized.filter(F.col("others") > WIDE)
     if not wide.limit(1).count():
         return runs
-    bands = wide.select("bkey", "cls", "comp").join(classes.select("cls", "bands"), "cls").withColumn("band", F.explode("bands")).filter("band <> bkey")
-    sub = cut(bands.select(F.xxhash64(F.least("bkey", "band"), F.greatest("bkey", "band")).alias("bkey"), "cls", "comp").distinct())
-    return runs.union(_in_blocks(sub.join(_shape(sub, F.lit(1), BLOCK), "bkey")))
+    signed = wide.select("bkey", "cls", "comp").join(classes.select("cls", "sig", "bands"), "cls")
+    sub = cut(signed.mapInArrow(functools.partial(_split, least=least), "bkey long, cls long, comp long"))
+    return runs.union(_in_blocks(spread(sub, _shape(sub, F.lit(1), BLOCK), "bkey", "cls").filter("main is not null")))
+
+
+def field_groups(least: float) -> list[list[np.ndarray]]:
+    """For each band: groups of the other bands' fields, so many that signatures with a similarity of at least
+    ``least`` that share the band are equal in one of them."""
+    chance = 1 / (1 << BITS)
+    differ = int(np.floor((1 - least) * (1 - chance) * PERMS + 1e-6))
+    others = [np.delete(np.arange(PERMS), np.arange(b * ROWS, (b + 1) * ROWS)) for b in range(PERMS // ROWS)]
+    return [np.array_split(o, min(differ + 1, len(o))) if differ < len(o) else [o[:0]] for o in others]
+
+
+def split_keys(bkey: np.ndarray, sig: np.ndarray, bands: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the parts of its bucket ``bkey`` that each row falls in, one for each group of fields."""
+    shifts = np.arange(0, 64, BITS, dtype=np.uint64)
+    fields = ((sig[:, :, None] >> shifts) & np.uint64((1 << BITS) - 1)).reshape(len(sig), -1)
+    band = (bands == bkey[:, None]).argmax(axis=1)
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b, groups in enumerate(field_groups(least)):
+        at = np.flatnonzero(band == b)
+        for g, group in enumerate(groups if len(at) else []):
+            key = mix(bkey[at].view(np.uint64), 400 + g)
+            for f in group:
+                key = mix(key ^ fields[at, f], 500)
+            rows.append(at)
+            keys.append(key.view(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+@tidy
+def _split(batches, least: float):
+    """Rows (bkey, cls, comp, sig, bands) of wide buckets dealt to the parts that ``split_keys`` names."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bkey", "cls", "comp")}
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
+        at, keys = split_keys(t["bkey"], sig, bands, least)
+        for s in range(0, len(at), 200_000):
+            part = slice(s, s + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(t["cls"][at[part]]), pa.array(t["comp"][at[part]])], ["bkey", "cls", "comp"])
 
 
 def _shape(m: DataFrame, weight, most, key: str = "bkey", heavy: int | None = None) -> DataFrame:

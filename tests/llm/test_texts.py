@@ -649,3 +649,27 @@ def test_toxicity_of_odd_rows(odd, none, spark):
     assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.toxicity(none, lab).count() == 0
     assert toxicity.toxicity(odd, lab.limit(0)).count() == len(odd_rows())
+
+
+def test_wide_buckets_keep_pairs_of_one_band(spark, monkeypatch):
+    """Two similar signatures that share one band only still meet when their hot bucket is split."""
+    monkeypatch.setattr(minhash, "BLOCK", 1)
+    monkeypatch.setattr(minhash, "WIDE", 0)
+    rng = np.random.default_rng(6)
+    least = 0.67
+    shifts = np.arange(0, 64, minhash.BITS, dtype=np.uint64)
+    pairs = []
+    for b in range(24):
+        one = rng.integers(0, 16, minhash.PERMS)
+        two = one.copy()
+        two[[4 * o + int(rng.integers(4)) for o in range(24) if o != b]] ^= 5  # every other band differs
+        sig = [np.bitwise_or.reduce(v.astype(np.uint64).reshape(-1, 16) << shifts, axis=1) for v in (one, two)]
+        assert minhash.similarity(sig[0], sig[1]) >= least
+        bands = [[1000 * b + 100 * side + i for i in range(24)] for side in (1, 2)]
+        bands[1][b] = bands[0][b]
+        pairs.append((bands[0][b], sig, bands))
+    classes = spark.createDataFrame([(2 * i + s, bytearray(p[1][s].tobytes()), p[2][s]) for i, p in enumerate(pairs) for s in (0, 1)], "cls long, sig binary, bands array<long>")
+    crowd = spark.createDataFrame([(p[0], 2 * i + s, 2) for i, p in enumerate(pairs) for s in (0, 1)], "bkey long, cls long, n long")
+    comp = spark.createDataFrame([], "cls long, component long")
+    met = minhash._crossing(crowd, comp, classes, least).groupBy("bkey", "bi", "bj").agg({"cls": "collect_set"}).collect()
+    assert {i for i in range(24)} == {c // 2 for r in met for c in r[3] if {c, c ^ 1} <= set(r[3])}
