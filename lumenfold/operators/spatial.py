@@ -11,25 +11,61 @@ from pyspark.sql import functions as F
 from lumenfold.functions import geometry as g
 
 
+#: Boxes or members of one cell that meet a cell's other side in one piece; more are dealt out.
+BLOCK = 2048
+#: Ids of equal boxes that go as one list.
+COPIES = 256
+
+
 def _cells(boxes: DataFrame, cell: float, names: tuple[str, str, str, str]) -> DataFrame:
     x, y, w, h = (F.col(n) for n in names)
     span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
     return boxes.withColumn("cx", F.explode(span(x, x + w))).withColumn("cy", F.explode(span(y, y + h)))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, cell: float, on: list[str] | None = None, closed: bool = True) -> DataFrame:
-    """Pairs of boxes (id, x, y, w, h) of ``a`` and ``b`` that intersect; ``on``: further equal columns.
+def _dealt_join(l: DataFrame, r: DataFrame, key: list[str], by: str, weight: Column | None = None) -> DataFrame:
+    """Equi-join that is never broadcast, in a number of tasks that doesn't follow the bytes: a cell's work grows with
+    its pairs. Rows of ``l`` in a crowded cell (by ``weight``, 1 a row) are dealt to parts by a hash of ``by``; the
+    cell's rows of ``r`` go to each."""
+    conf = l.sparkSession.conf
+    n = max(int(conf.get("spark.sql.shuffle.partitions")), 4 * l.sparkSession.sparkContext.defaultParallelism)
+    parts = l.groupBy(*key).agg(F.ceil(F.sum(F.lit(1) if weight is None else weight) / BLOCK).cast("int").alias("_parts")).hint("merge")
+    l = l.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    r = r.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    key = [*key, "_part"]
+    return l.repartition(n, *key).join(r.repartition(n, *key).hint("merge"), key).drop("_part")
+
+
+def overlap_classes(a: DataFrame, b: DataFrame, cell: float, on: list[str] | None = None, closed: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Pairs of boxes of ``a`` and ``b`` that intersect, with the lists ``a_ids`` and ``b_ids`` of those that are equal
+    to them in all columns: copies of a box are compared once. ``expand_classes`` makes pairs of ids."""
+    on, keep = on or [], keep or []
+
+    def side(d: DataFrame, p: str) -> DataFrame:
+        same = d.groupBy(*on, *[F.col(c).alias(p + c) for c in ("x", "y", "w", "h", *keep)]).agg(F.collect_list("id").alias("ids"))
+        chunk = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / COPIES).cast("int")), lambda i: F.slice("ids", i * COPIES + 1, F.lit(COPIES)))
+        d = same.filter(F.size("ids") > 0).withColumn(p + "ids", F.explode(chunk)).drop("ids")
+        return _cells(d, cell, tuple(p + c for c in "xywh")).withColumn(p + "cx", F.floor(F.col(p + "x") / cell)).withColumn(p + "cy", F.floor(F.col(p + "y") / cell))
+
+    j = _dealt_join(side(a, "a_"), side(b, "b_"), [*on, "cx", "cy"], "a_ids", F.size("a_ids"))
+    first = (F.col("cx") == F.greatest("a_cx", "b_cx")) & (F.col("cy") == F.greatest("a_cy", "b_cy"))
+    less = (lambda p, q: p <= q) if closed else (lambda p, q: p < q)
+    meet = less(F.col("a_x"), F.col("b_x") + F.col("b_w")) & less(F.col("b_x"), F.col("a_x") + F.col("a_w")) & less(F.col("a_y"), F.col("b_y") + F.col("b_h")) & less(F.col("b_y"), F.col("a_y") + F.col("a_h"))
+    return j.filter(meet & first).drop("cx", "cy", "a_cx", "a_cy", "b_cx", "b_cy")
+
+
+def expand_classes(pairs: DataFrame) -> DataFrame:
+    """A row for each pair of ids, ``a_id`` and ``b_id``, in place of ``a_ids`` and ``b_ids``."""
+    return pairs.withColumn("a_id", F.explode("a_ids")).drop("a_ids").withColumn("b_id", F.explode("b_ids")).drop("b_ids")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, cell: float, on: list[str] | None = None, closed: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Pairs of boxes (id, x, y, w, h) of ``a`` and ``b`` that intersect; ``on``: further equal columns;
+    ``keep``: further columns of both that the pairs bring along, as a_ and b_.
 
     Closed intervals touch; open ones need a shared area. Choose ``cell`` near the usual box size.
     """
-    on = on or []
-    side = lambda d, p: d.select(*on, *[F.col(c).alias(p + c) for c in ("id", "x", "y", "w", "h")])
-    l, r = _cells(side(a, "a_"), cell, ("a_x", "a_y", "a_w", "a_h")), _cells(side(b, "b_"), cell, ("b_x", "b_y", "b_w", "b_h"))
-    j = l.join(r, [*on, "cx", "cy"])
-    first = (F.col("cx") == F.greatest(F.floor(F.col("a_x") / cell), F.floor(F.col("b_x") / cell))) & (F.col("cy") == F.greatest(F.floor(F.col("a_y") / cell), F.floor(F.col("b_y") / cell)))
-    less = (lambda p, q: p <= q) if closed else (lambda p, q: p < q)
-    meet = less(F.col("a_x"), F.col("b_x") + F.col("b_w")) & less(F.col("b_x"), F.col("a_x") + F.col("a_w")) & less(F.col("a_y"), F.col("b_y") + F.col("b_h")) & less(F.col("b_y"), F.col("a_y") + F.col("a_h"))
-    return j.filter(first & meet).drop("cx", "cy")
+    return expand_classes(overlap_classes(a, b, cell, on, closed, keep))
 
 
 def overlap_scores(pairs: DataFrame, matched: Column) -> DataFrame:
@@ -45,12 +81,16 @@ def member_overlaps(members: DataFrame, by: str, radius: float, round_view: bool
     """Unordered pairs of one component whose centres are close: by squared distance for round views
     (under int(0.7 r^2)), else by each axis (under (1 - crop) * 0.9 * size)."""
     reach = (int(0.7 * radius**2)) ** 0.5 if round_view else (1 - crop) * 0.9 * size
-    m = members.withColumn("cx", F.floor(F.col("x") / reach)).withColumn("cy", F.floor(F.col("y") / reach))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    o = m.select(by, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", around.alias("o")).select(by, "id2", "x2", "y2", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    j = m.join(o, [by, "cx", "cy"]).filter("id < id2")
+    m = members.select(by, "id", "x", "y", F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
+    # a pair meets once: in its own cell, or in the cell of the one whose neighbour to the right or above the other's is
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))]))
+    o = m.select(by, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", around.alias("o"))
+    own = ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own")
+    o = o.select(by, "id2", "x2", "y2", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), own)
+    j = _dealt_join(m, o, [by, "cx", "cy"], "id").filter(F.when(F.col("own"), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2")))
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    return j.filter(dx * dx + dy * dy < int(0.7 * radius**2) if round_view else (F.abs(dx) < reach) & (F.abs(dy) < reach)).select(by, "id", "id2")
+    j = j.filter(dx * dx + dy * dy < int(0.7 * radius**2) if round_view else (F.abs(dx) < reach) & (F.abs(dy) < reach))
+    return j.select(by, F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"))
 
 
 def union_box(boxes: DataFrame, by: list[str]) -> DataFrame:
