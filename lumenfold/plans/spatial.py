@@ -27,19 +27,16 @@ _W, _H = "(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))", "(least(a.y + a.h
  round({_W} * {_H} / (a.w * a.h), 6) AS area_ratio FROM b a JOIN b ON a.id < b.id AND {_MEET}""")
 def bbox_overlap(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    pairs = s.overlap_join(b, b, 256.0).filter("a_id < b_id")
-    brand = b.select("id", "brand")
-    pairs = pairs.join(brand.toDF("a_id", "ba"), "a_id").join(brand.toDF("b_id", "bb"), "b_id")
-    out = s.overlap_scores(pairs, F.col("ba") == F.col("bb"))
-    return out.select("a_id", "b_id", F.round("diag_ratio", 6).alias("diag_ratio"), F.round("area_ratio", 6).alias("area_ratio"))
+    out = s.overlap_scores(s.overlap_classes(b, b, 256.0, keep=["brand"]), F.col("a_brand") == F.col("b_brand"))
+    out = out.select("a_ids", "b_ids", F.round("diag_ratio", 6).alias("diag_ratio"), F.round("area_ratio", 6).alias("area_ratio"))
+    return s.expand_classes(out).filter("a_id < b_id").select("a_id", "b_id", "diag_ratio", "area_ratio")
 
 
 @query(f"WITH {_BOX} SELECT a.id AS a_id, b.id AS b_id FROM b a JOIN b ON a.brand <> b.brand AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 def frames_overlap(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    brand = b.select("id", "brand")
-    pairs = s.overlap_join(b, b, 256.0, closed=False).filter("a_id < b_id").select("a_id", "b_id")
-    return pairs.join(brand.toDF("a_id", "ba"), "a_id").join(brand.toDF("b_id", "bb"), "b_id").filter("ba <> bb").select("a_id", "b_id")
+    pairs = s.overlap_classes(b, b, 256.0, closed=False, keep=["brand"]).filter("a_brand <> b_brand").select("a_ids", "b_ids")
+    return s.expand_classes(pairs).filter("a_id < b_id").select("a_id", "b_id")
 
 
 @query(f"WITH {_BOX} SELECT a.brand, a.id, b.id AS id2 FROM b a JOIN b ON a.brand = b.brand AND a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < {int(0.7 * 300 ** 2)}")
