@@ -124,13 +124,22 @@ def owned_vertices(vertices: DataFrame, owners: DataFrame) -> DataFrame:
     return vertices.join(owners, ["component", "vertex"]).select("component", "frame").distinct()
 
 
+#: Parts that the frames of a label are dealt to, at least, to meet its components.
+PARTS = 48
+
+
 def cross_component_pairs(frames: DataFrame, components: DataFrame) -> DataFrame:
     """(frame, target): a frame against every live component of its label but its own.
 
     ``frames``: (frame, label, component); ``components``: (component, label, suspended).
     """
     live = components.filter("not suspended").select(F.col("component").alias("target"), "label")
-    return frames.join(live, "label").filter(F.col("target") != F.col("component")).select("frame", "target")
+    # few labels, and work that grows with pairs, not bytes: frames are dealt to parts, each with all of a label's components
+    n = max(PARTS, 4 * frames.sparkSession.sparkContext.defaultParallelism)
+    f = frames.select("frame", "label", "component").withColumn("_part", F.pmod(F.xxhash64("frame"), F.lit(n)).cast("int"))
+    live = live.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    j = f.repartition(n, "label", "_part").join(live.repartition(n, "label", "_part").hint("merge"), ["label", "_part"])
+    return j.filter(F.col("target") != F.col("component")).select("frame", "target")
 
 
 def feature_cascade(counts: DataFrame, least: int = 250) -> DataFrame:
